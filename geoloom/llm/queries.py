@@ -5,7 +5,7 @@ from __future__ import annotations
 from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 
-from geoloom.llm import chat, divergence, packing, pii, quality, sharding
+from geoloom.llm import chat, decontamination, divergence, packing, pii, quality, sharding
 from geoloom.llm.shared import table
 
 
@@ -21,6 +21,10 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), 24)
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -33,7 +37,7 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.render(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_quality_rules, op3_sharding, op7_quality, op8_pii, op9_chat)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_quality_rules, op3_sharding, op4_decontamination, op7_quality, op8_pii, op9_chat)}
 
 #: Queries that DuckDB can express on whole tables.
 ORACLE_SQL: dict[str, str] = {"op9_chat": chat.RENDER_SQL}
