@@ -4,24 +4,56 @@ from __future__ import annotations
 
 from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from geoloom.llm import packing, quality
+from geoloom.llm import decontamination, minhash, packing, pii, quality
 from geoloom.llm.shared import table, written
 
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier predicts as good."""
-    rejected = quality.classify(docs, table(spark, sf_dir, "labels")).where("predicted = 0").select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti").select(docs.columns)
+    """Documents that the classifier doesn't reject. A null doc_id is judged as the rows with it are: by the worst."""
+    judged = quality.classify(docs, table(spark, sf_dir, "labels"))
+    return _without(docs, judged.where("predicted = 0"))
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near-duplicates the documents of the lowest doc_id."""
+    return _without(docs, minhash.near_duplicates(docs).where("not keep"))
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    return _without(docs, decontamination.contaminated(docs, table(spark, sf_dir, "benchmark")))
+
+
+def pseudonymize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data in them replaced by pseudonyms; n_chars is that of the new text."""
+    out = pii.pseudonymize(docs.select(COLUMNS))
+    return out.withColumn("n_chars", F.length("text").cast("bigint")).select(COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents as pieces of sequences."""
     return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"))
 
 
-STAGES = [("quality classifier", keep_quality), ("packing", pack)]
+def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
+    """docs whose doc_id isn't among those rejected; only ids are shuffled twice."""
+    gone = rejected.select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__gone"]), "left_anti").select(COLUMNS)
+
+
+STAGES = [
+    ("quality classifier", keep_quality),
+    ("near-duplicates", one_of_each),
+    ("decontamination", decontaminate),
+    ("PII", pseudonymize),
+    ("packing", pack),
+]
 
-#: No SQL: the classifier's weights come from an inversion of matrices, and tokens from a tokenizer.
+#: No SQL: weights come from matrix factors, samples from hashes, tokens from a tokenizer. Tests compare with brute force.
 ORACLE_SQL = None
 
 

@@ -69,7 +69,7 @@ class Frequencies:
     """Texts of the corpus, and the document frequencies of the frequent shingles; weights follow."""
 
     def __init__(self, texts: int, share: float, keys: np.ndarray, counts: np.ndarray):
-        self.texts, self.share, self.keys = max(texts, 1), share, keys
+        self.texts, self.share, self.keys, self.counts = max(texts, 1), share, keys, counts
         rare = self._idf(np.array([1.0]))[0]
         self.idf, self.rare = np.append(self._idf(counts), rare).astype(np.float32), rare
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 
-from geoloom.llm import chat, decontamination, divergence, interpolation, minhash, packing, pii, quality, sharding
+from geoloom.llm import chat, decontamination, divergence, interpolation, minhash, packing, passages, pii, quality, sharding
 from geoloom.llm.shared import table
 
 
@@ -45,7 +45,11 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.render(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_quality_rules, op3_sharding, op4_decontamination, op5_near_duplicates, op6_language_model, op7_quality, op8_pii, op9_chat)}
+def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_quality_rules, op3_sharding, op4_decontamination, op5_near_duplicates, op6_language_model, op7_quality, op8_pii, op9_chat, op10_passages)}
 
 #: Queries that DuckDB can express on whole tables.
 ORACLE_SQL: dict[str, str] = {"op9_chat": chat.RENDER_SQL}
