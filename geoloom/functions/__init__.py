@@ -1 +1 @@
-
+"""Scalar functions as Column expressions, and Arrow kernels where expressions can't say it."""

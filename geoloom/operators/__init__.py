@@ -1 +1 @@
-
+"""Relational and geometric operators over DataFrames."""

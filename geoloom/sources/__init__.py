@@ -1 +1 @@
-
+"""Where rows come from."""

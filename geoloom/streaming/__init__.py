@@ -1 +1 @@
-
+"""The same surfaces over returns that keep arriving."""
