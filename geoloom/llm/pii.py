@@ -33,7 +33,7 @@ PATTERN = re.compile(
     r"|(?P<ssn>\d{3}-\d{2}-\d{4})(?![\w-])"
     r"|(?P<iso>\d{4}(?P<s1>[-/.])\d{2}(?P=s1)\d{2})(?!\d)"
     r"|(?P<day>\d{1,2}(?P<s2>[-/.])\d{1,2}(?P=s2)\d{4})(?!\d)"
-    r"|(?P<ip>\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})(?!\d|\.\d)"
+    r"|(?<!\d\.)(?P<ip>\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})(?!\d|\.\d)"
     r"|(?P<card>\d(?:[ -]?\d){11,18})(?![A-Za-z0-9])"
     r")"
 )
