@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from geoloom.functions import scalar
 from geoloom.operators import cells as spatial
-from geoloom.operators import features
+from geoloom.operators import features, polygons
 from geoloom.plans.catalogue import query
 from geoloom.plans.views import view, with_views
+from geoloom.sinks import drawings
 from geoloom.sources.tables import read
 
 _BOUNDS = features.Bounds(100, 100, 400, 350)
@@ -206,3 +207,47 @@ def enu_project(spark, sf_dir):
 def tree_jitter(spark, sf_dir):
     seed = F.crc32(F.concat(F.lit("tree:"), F.col("p_partkey").cast("string")).cast("binary")) / 4294967296.0
     return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.round(seed * 2 - 1, 9).alias("jitter"))
+
+
+_RING = "[{'x': x0, 'y': y0}, {'x': x1, 'y': y0 + id % 3}, {'x': x1 + 1, 'y': y1}, {'x': x0, 'y': y1 + 2}]"
+
+
+def _rings(spark, sf_dir):
+    point = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    c = F.col
+    return view(spark, sf_dir, "footprints").select("id", F.array(point(c("x0"), c("y0")), point(c("x1"), c("y0") + c("id") % 3), point(c("x1") + 1, c("y1")), point(c("x0"), c("y1") + 2)).alias("ring"))
+
+
+@query(with_views("footprints", """, p AS (SELECT id, x0 AS ax, y0 AS ay, x1 AS bx, y0 + id % 3 AS by_, x1 + 1 AS cx, y1 AS cy, x0 AS dx, y1 + 2 AS dy FROM footprints)
+SELECT id, round((ax * by_ - bx * ay + bx * cy - cx * by_ + cx * dy - dx * cy + dx * ay - ax * dy) / 2, 6) AS area,
+  round(sqrt(pow(bx - ax, 2) + pow(by_ - ay, 2)) + sqrt(pow(cx - bx, 2) + pow(cy - by_, 2)) + sqrt(pow(dx - cx, 2) + pow(dy - cy, 2)) + sqrt(pow(ax - dx, 2) + pow(ay - dy, 2)), 6) AS perimeter FROM p"""))
+def ring_measures(spark, sf_dir):
+    return _rings(spark, sf_dir).select("id", F.round(polygons.signed_area(F.col("ring")), 6).alias("area"), F.round(polygons.perimeter(F.col("ring")), 6).alias("perimeter"))
+
+
+@query(with_views("footprints", """, c AS (SELECT DISTINCT id % 2 AS kind, r AS row, k AS col FROM (SELECT id, x0, x1, y0, y1, unnest(range(y0::BIGINT, y1::BIGINT)) AS r FROM footprints WHERE id % 10 < 2), LATERAL (SELECT unnest(range(x0::BIGINT, x1::BIGINT)) AS k))
+SELECT (SELECT COUNT(*) FROM (SELECT DISTINCT row, col FROM c)) AS together, (SELECT COUNT(*) FROM c a JOIN c b ON a.row = b.row AND a.col = b.col AND a.kind = 0 AND b.kind = 1) AS both, (SELECT COUNT(*) FROM c a WHERE kind = 0 AND NOT EXISTS (SELECT 1 FROM c b WHERE b.kind = 1 AND b.row = a.row AND b.col = a.col)) AS first_only"""))
+def mask_overlay(spark, sf_dir):
+    point = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+    boxes = view(spark, sf_dir, "footprints").where("id % 10 < 2").select("id", F.array(point("x0", "y0"), point("x1", "y0"), point("x1", "y1"), point("x0", "y1")).alias("ring"))
+    cells = polygons.to_mask(boxes).select((F.col("id") % 2).alias("kind"), "row", "col").distinct()
+    kinds = cells.groupBy("row", "col").agg(F.bool_or(F.col("kind") == 0).alias("a"), F.bool_or(F.col("kind") == 1).alias("b"))
+    return kinds.agg(F.count("*").alias("together"), F.count_if(F.expr("a and b")).alias("both"), F.count_if(F.expr("a and not b")).alias("first_only"))
+
+
+@query()
+def least_rectangles(spark, sf_dir):
+    corners = _rings(spark, sf_dir).select("id", polygons.least_rectangle(F.col("ring")).alias("r"))
+    return corners.select("id", F.round(polygons.signed_area(F.col("r")), 4).alias("area"))
+
+
+@query()
+def clip_rings(spark, sf_dir):
+    cut = _rings(spark, sf_dir).select("id", polygons.clip_to_box(F.col("ring"), (100.0, 100.0, 600.0, 500.0)).alias("r"))
+    return cut.where(F.size("r") > 2).select("id", F.round(polygons.signed_area(F.col("r")), 4).alias("area"))
+
+
+@query()
+def svg_sheets(spark, sf_dir):
+    own = _rings(spark, sf_dir).select((F.col("id") % 4).alias("sheet"), F.concat(F.lit("layer "), F.col("id") % 3).alias("layer"), F.col("id").alias("place"), F.lit("#222222").alias("colour"), F.lit(0.35).alias("stroke"), F.col("ring").alias("points"), F.lit(True).alias("closed"))
+    return drawings.documents(own, 1000, 1000)
