@@ -12,9 +12,11 @@ def components(links: DataFrame) -> DataFrame:
     """(node, root) of every node of links (a, b): root is one node of its component, the same for all of them.
 
     In a round each node goes to the least of itself and its neighbours, and links join what their ends went to; links
-    within one node go. Nodes should be in random order (hashes), so that a round leaves a fraction of them even of a
-    chain. A node with very many links is summed before the shuffle, and its joins are split as skewed ones."""
-    links = written(links.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    within one node go. Nodes are ordered by a hash of theirs, so that a round leaves a fraction of them even of a chain
+    whose nodes ascend. A node with very many links is summed before the shuffle, and its joins are split as skewed ones."""
+    mixed = lambda c: F.struct(F.xxhash64(F.lit(77), c).alias("h"), F.col(c).alias("v")).alias(c)
+    links = links.where("a != b").select(mixed("a"), mixed("b"))
+    links = written(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     found = None
     while True:
         ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -28,4 +30,4 @@ def components(links: DataFrame) -> DataFrame:
         joined = links.join(of_a, "a").join(of_b, "b").where("ra != rb")
         links = written(joined.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
         if links.isEmpty():
-            return found
+            return found.select("node.v", "root.v").toDF("node", "root")
