@@ -117,7 +117,7 @@ class Discriminant:
         return 1 / (1 + np.exp(np.clip(density[0] - density[1], -700, 700)))
 
 
-def fit(rows: DataFrame, pooled_share: float = 0.1, sphere_share: float = 0.05) -> Discriminant | None:
+def fit(rows: DataFrame, pooled_share: float = 0.3, sphere_share: float = 0.2) -> Discriminant | None:
     """From all rows (x, y): one aggregate of first and second moments per class, two rows for the driver. None without both classes."""
     d = len(FEATURES)
     pairs = [(i, j) for i in range(d) for j in range(i, d)]
