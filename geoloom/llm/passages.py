@@ -34,15 +34,20 @@ _SALT = np.random.default_rng(10_1925).integers(0, 1 << 64, HASHES, dtype=np.uin
 _SPAN = "a bigint, b bigint, a_id bigint, b_id bigint, a_start bigint, a_length bigint, b_start bigint, b_length bigint, similarity double"
 
 
-def compact_windows(values: np.ndarray, least: int) -> list[tuple[int, int, int]]:
-    """(l, c, r), both ends included, of the Cartesian tree's nodes of `least` positions or more. Of equal least values the one in the middle is taken."""
+def compact_windows(values: np.ndarray, least: int, distinct: bool = False) -> list[tuple[int, int, int]]:
+    """(l, c, r), both ends included, of the Cartesian tree's nodes of `least` positions or more. Of equal least values the
+    one in the middle is taken; distinct: there are no equal values."""
     out, todo = [], [(0, len(values) - 1)] if len(values) >= least else []
     while todo:
         low, high = todo.pop()
         own = values[low : high + 1]
-        at = int(own.argmin())
-        ties = np.flatnonzero(own == own[at])
-        c = low + (at if len(ties) == 1 else int(ties[np.abs(ties - len(own) // 2).argmin()]))
+        c = int(own.argmin())
+        if not distinct:
+            same = own == own[c]
+            if np.count_nonzero(same) > 1:
+                ties = np.flatnonzero(same)
+                c = int(ties[np.abs(ties - len(own) // 2).argmin()])
+        c += low
         out.append((low, c, high))
         if c - low >= least:
             todo.append((low, c - 1))
@@ -51,18 +56,30 @@ def compact_windows(values: np.ndarray, least: int) -> list[tuple[int, int, int]
     return out
 
 
-def hashed_windows(own: np.ndarray, least: int) -> list[tuple[int, np.ndarray, list[tuple[int, int, int]]]]:
-    """(hash, values of all shingles, windows) under each hash."""
-    out = []
-    for k in range(HASHES):
-        values = mix(own ^ _SALT[k])
-        out.append((k, values, compact_windows(values, least)))
-    return out
+class Sequence:
+    """A text's shingles in order, and under each hash their values and compact windows, computed when asked for."""
+
+    def __init__(self, own: np.ndarray, least: int):
+        self.own, self.least, self.known, self.distinct = own, least, {}, None
 
+    def windows(self, k: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+        if k not in self.known:
+            if self.distinct is None:
+                self.distinct = len(np.unique(self.own)) == len(self.own)
+            values = mix(self.own ^ _SALT[k])
+            self.known[k] = values, compact_windows(values, self.least, self.distinct)
+        return self.known[k]
 
-def text_runs(batch: pa.RecordBatch, column: str = "text") -> list[np.ndarray]:
+    def minima(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(values, places) of the windows' least hashes."""
+        values, found = self.windows(k)
+        at = np.array([c for _, c, _ in found], np.int64)
+        return values[at], at
+
+
+def text_runs(column: pa.Array) -> list[np.ndarray]:
     """The shingles of each text in order."""
-    offsets, runs = shingles(*word_hashes(*text_bytes(batch.column(column))), SIZE)
+    offsets, runs = shingles(*word_hashes(*text_bytes(column)), SIZE)
     return [runs[low:high] for low, high in zip(offsets[:-1], offsets[1:], strict=True)]
 
 
@@ -75,11 +92,12 @@ def windows(texts: DataFrame, weighted: Frequencies, least: int) -> DataFrame:
         for batch in slices(batches):
             keys, salts, hashes, owners = [], [], [], []
             nodes = batch.column("node").to_numpy()
-            for node, own in zip(nodes, text_runs(batch), strict=True):
+            for node, own in zip(nodes, text_runs(batch.column("text")), strict=True):
                 if len(own) < least:
                     continue
-                for k, values, found in hashed_windows(own, least):
-                    at = np.unique(own[[c for _, c, _ in found]])
+                text = Sequence(own, least)
+                for k in range(HASHES):
+                    at = np.unique(own[text.minima(k)[1]])
                     keys.append(mix((at ^ _SALT[k]) + np.uint64(k)))
                     place = np.minimum(np.searchsorted(often, at), max(0, len(often) - 1))
                     split = np.where(often[place] == at, np.ceil(octaves[place]), 0).astype(np.int64) if len(often) else np.zeros(len(at), np.int64)
@@ -119,11 +137,11 @@ def _neighbours(met: DataFrame) -> DataFrame:
 
 
 def candidates(met: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of nodes that follow one another under MIN_HASHES hashes and more."""
+    """Distinct pairs (a, b) of nodes that follow one another under MIN_HASHES hashes and more, and which these are (bits of hashes)."""
     out = written(_neighbours(met))
     again = _neighbours(out.where("b is null").select("key", F.lit(0).cast("smallint").alias("salt"), F.col("a").alias("node"), "hash"))
     pairs = out.where("b is not null").unionByName(again.where("b is not null")).select("hash", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return pairs.groupBy("a", "b").agg(F.bit_or(F.expr("shiftleft(1, cast(hash as int))")).alias("h")).where(F.bit_count("h") >= MIN_HASHES).select("a", "b")
+    return pairs.groupBy("a", "b").agg(F.bit_or(F.expr("shiftleft(1, cast(hash as int))")).alias("hashes")).where(F.bit_count("hashes") >= MIN_HASHES)
 
 
 def _extended(a: np.ndarray, b: np.ndarray, i: int, j: int) -> tuple[int, int]:
@@ -136,21 +154,24 @@ def _extended(a: np.ndarray, b: np.ndarray, i: int, j: int) -> tuple[int, int]:
     return int(differs.argmax()) if differs.any() else n, after
 
 
-def shared_passages(a: np.ndarray, b: np.ndarray, least: int, similarity: float) -> list[tuple[int, int, int, int, float]]:
-    """(start, shingles) in a and in b, and the Jaccard similarity, of passages that the shingle sequences a and b share."""
-    seeds = []
-    for (_, va, wa), (_, vb, wb) in zip(hashed_windows(a, least), hashed_windows(b, least), strict=True):
-        at: dict[int, list[tuple[int, int, int]]] = {}
-        for w in wb:
-            at.setdefault(int(vb[w[1]]), []).append(w)
-        firsts: set[int] = set()
-        for w in wa:
-            value = int(va[w[1]])
-            others = at.get(value, ())
-            seeds += [(w[1], o[1]) for o in (others[:1] if value in firsts else others)]
-            firsts.add(value)
+def shared_passages(x: Sequence, y: Sequence, hashes: int, similarity: float) -> list[tuple[int, int, int, int, float]]:
+    """(start, shingles) in x and in y, and the Jaccard similarity, of passages of x.least shingles and more that both share.
+
+    hashes: bits of those under which windows are joined. Matches grow from the windows' least shingles as far as texts are
+    equal; those a little apart are joined."""
+    a, b, least = x.own, y.own, x.least
+    if len(a) == len(b) and (a == b).all():
+        return [(0, len(a), 0, len(b), 1.0)] if len(a) >= least else []
+    seeds: set[tuple[int, int]] = set()
+    for k in range(HASHES):
+        if hashes >> k & 1:
+            (va, ca), (vb, cb) = x.minima(k), y.minima(k)
+            for value in np.intersect1d(va, vb):
+                i, j = ca[va == value].tolist(), cb[vb == value].tolist()
+                seeds.update((i[0], q) for q in j)
+                seeds.update((p, j[0]) for p in i)
     runs: list[tuple[int, int, int]] = []  # start in a, start in b, shingles
-    for i, j in sorted(set(seeds)):
+    for i, j in sorted(seeds):
         if a[i] == b[j] and not any(s <= i < s + n and i - s == j - t for s, t, n in runs[-8:]):
             before, after = _extended(a, b, i, j)
             runs.append((i - before, j - before, before + after))
@@ -167,9 +188,9 @@ def shared_passages(a: np.ndarray, b: np.ndarray, least: int, similarity: float)
     for s, s2, t, t2 in {tuple(x) for x in joined} | {(s, s + n, t, t + n) for s, t, n in runs}:
         if min(s2 - s, t2 - t) < least:
             continue
-        x, y = np.unique(a[s:s2]), np.unique(b[t:t2])
-        both = len(np.intersect1d(x, y, assume_unique=True))
-        same = both / (len(x) + len(y) - both)
+        u, v = np.unique(a[s:s2]), np.unique(b[t:t2])
+        both = len(np.intersect1d(u, v, assume_unique=True))
+        same = both / (len(u) + len(v) - both)
         if same >= similarity:
             out.append((s, s2 - s, t, t2 - t, same))
     out.sort(key=lambda p: -min(p[1], p[3]))
@@ -199,16 +220,24 @@ def repeated_passages(docs: DataFrame, least_words: int = 50, similarity: float
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in _SPAN.split(", ")]
-        for batch in slices(batches, "ta", 1 << 20):
+        for batch in slices(batches, "ta"):
+            a, b = (batch.column(c).to_pylist() for c in "ab")
+            first = {n: ("ta", i) for i, n in enumerate(a)} | {n: ("tb", i) for i, n in enumerate(b)}  # each text once
+            known: dict[int, Sequence] = {}
+            for side in ("ta", "tb"):
+                own = {n: i for n, (c, i) in first.items() if c == side}
+                column = batch.column(side).take(pa.array(own.values(), pa.int64()))
+                known |= {n: Sequence(x, least) for n, x in zip(own, text_runs(column), strict=True)}
             rows = []
-            for k, (x, y) in enumerate(zip(text_runs(batch, "ta"), text_runs(batch, "tb"), strict=True)):
-                rows += [(k, s, n + SIZE - 1, t, m + SIZE - 1, same) for s, n, t, m, same in shared_passages(x, y, least, similarity)]
+            for k, hashes in enumerate(batch.column("hashes").to_pylist()):
+                found = shared_passages(known[a[k]], known[b[k]], hashes, similarity)
+                rows += [(k, s, n + SIZE - 1, t, m + SIZE - 1, same) for s, n, t, m, same in found]
             if rows:
                 at, *spans, same = zip(*rows, strict=True)
                 told = batch.select(["a", "b", "a_id", "b_id"]).take(pa.array(at))
                 yield pa.RecordBatch.from_arrays([*told.columns, *(pa.array(s, pa.int64()) for s in spans), pa.array(same, pa.float64())], names=names)
 
-    found = written(pairs.join(of_a, "a").join(of_b, "b").select("a", "b", "a_id", "b_id", "ta", "tb").mapInArrow(run, _SPAN))
+    found = written(pairs.join(of_a, "a").join(of_b, "b").select("a", "b", "hashes", "a_id", "b_id", "ta", "tb").mapInArrow(run, _SPAN))
     root = components(found.select("a", "b"))
     sides = [found.select(F.col(x).alias("node"), F.col(f"{x}_id").alias("doc_id"), F.col(f"{x}_start").alias("start"), F.col(f"{x}_length").alias("length"), F.struct(F.col(f"{y}_id").alias("other_id"), F.col(f"{y}_start").alias("other_start"), "similarity").alias("o")) for x, y in ("ab", "ba")]
     told = sides[0].unionByName(sides[1]).groupBy("node", "doc_id", "start", "length").agg(F.min("o").alias("o")).join(root, "node")
