@@ -88,15 +88,44 @@ def judge(docs: DataFrame, most_chars: float = 0.22, most_common: float = 0.35,
     common_distance at most most_common (texts of least_words words and more; languages of COMMON). References of a language
     come from its texts that don't fail the base and have least_words words; one without such texts has no distances (null),
     and nothing goes for them. Null and empty texts have no words, so they fail the base. Null and unknown languages share
-    one reference. Rows with repeated or null ids are judged each. At most a row per language of COMMON and one is broadcast."""
+    one reference. Rows with repeated or null ids are judged each. At most a row per language of COMMON and one is broadcast.
+    Distances are rounded to six digits, so that the order of sums decides nothing."""
     stats = written(statistics(docs).withColumn("base_failed", base_failed()))
     sure = stats.where(f"not base_failed and n_words >= {least_words}")
     shares = sure.select("language", F.expr(_shares("chars")).alias("c"), F.expr(_shares("common")).alias("w"))
     means = shares.groupBy("language").agg(F.array(*(F.avg(F.col("c")[k]) for k in range(len(CHARS)))).alias("__c"), F.array(*(F.avg(F.col("w")[k]) for k in range(21))).alias("__w"))
     told = stats.join(F.broadcast(means), "language", "left")
-    told = told.withColumn("chars_distance", F.expr(f"if(__c is null, null, {_distance(_shares('chars'), '__c')})"))
-    told = told.withColumn("common_distance", F.expr(f"if(__w is null or language = '{OTHER}', null, {_distance(_shares('common'), '__w')})"))
+    told = told.withColumn("chars_distance", F.expr(f"if(__c is null, null, round({_distance(_shares('chars'), '__c')}, 6))"))
+    told = told.withColumn("common_distance", F.expr(f"if(__w is null or language = '{OTHER}', null, round({_distance(_shares('common'), '__w')}, 6))"))
     far = f"(word_chars >= {least_chars} and coalesce(chars_distance, 0) > {most_chars}) or (n_words >= {least_words} and coalesce(common_distance, 0) > {most_common})"
     return told.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.expr(f"not base_failed and not ({far})").alias("kept"), "language", "chars_distance", "common_distance"
     )
+
+
+def judge_sql(most_chars: float = 0.22, most_common: float = 0.35, least_chars: int = 200, least_words: int = 50) -> str:
+    """DuckDB SQL for the rows of judge over the table documents: windows and histograms by unnesting instead of by array."""
+    word, lists = r"[\x20\x09-\x0D]", ", ".join(f"'{k}': {v!r}" for k, v in COMMON.items())
+    patterns = ["[a-z]+", " +", "[A-Z]+", "[0-9]+", "[#*$%&|<>]+", "[.,;:!?''\"()-]+", r"[\x09-\x0D]+"]
+    stages = [f"s{k + 1} AS (SELECT *, regexp_replace(t{k}, '{p}', '', 'g') AS t{k + 1} FROM {f's{k}' if k else 'd'})" for k, p in enumerate(patterns)]
+    chars = ", ".join([*(f"length(t{k}) - length(t{k + 1})" for k in range(7)), "length(t7)"])
+
+    def distance(p: str, q: str, n: int) -> str:
+        term = lambda x, y: f"CASE WHEN {x} > 0 THEN {x} * log2(2 * {x} / ({x} + {y})) ELSE 0 END"
+        return f"round(sqrt(greatest(0, {' + '.join(f'({term(f"{p}[{k}]", f"{q}[{k}]")} + {term(f"{q}[{k}]", f"{p}[{k}]")}) / 2' for k in range(1, n + 1))})), 6)"
+
+    mean = lambda c, n: f"[{', '.join(f'avg({c}[{k}])' for k in range(1, n + 1))}]"
+    far = f"(word_chars >= {least_chars} AND coalesce(chars_distance, 0) > {most_chars}) OR (n_words >= {least_words} AND coalesce(common_distance, 0) > {most_common})"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t0, CASE WHEN lower(lang) IN ({", ".join(map(repr, COMMON))}) THEN lower(lang) ELSE '{OTHER}' END AS language FROM documents),
+w AS (SELECT r, list_filter(regexp_split_to_array(t0, '{word}+'), lambda x: x <> '') AS w, list_filter(string_split(t0, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+g AS (SELECT r, i, w[i:i + 4] AS g FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS i FROM w)),
+n AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + 5)) AS p FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS c FROM g) WHERE c > 1) GROUP BY r),
+{", ".join(stages)},
+m AS (SELECT s7.r, doc_id, language, [{chars}] AS chars, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(t4) - length(t5) AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(n.n, 0) AS n_repeat_words,
+  list_transform(range(1, 21), lambda k: CASE WHEN language = '{OTHER}' THEN 0 ELSE len(list_filter(w, lambda x: x = MAP {{{lists}}}[language][k])) END) AS c FROM s7 JOIN w USING (r) LEFT JOIN n USING (r)),
+b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, list_append(c, n_words - list_sum(c)) AS common FROM m),
+p AS (SELECT *, list_transform(chars, lambda v: CASE WHEN list_sum(chars) = 0 THEN 0 ELSE v / list_sum(chars) END) AS ps, list_transform(common, lambda v: CASE WHEN n_words = 0 THEN 0 ELSE v / n_words END) AS ws FROM b),
+q AS (SELECT language, {mean("ps", 8)} AS qc, {mean("ws", 21)} AS qw FROM p WHERE NOT base_failed AND n_words >= {least_words} GROUP BY language),
+j AS (SELECT p.*, CASE WHEN qc IS NOT NULL THEN {distance("ps", "qc", 8)} END AS chars_distance, CASE WHEN qw IS NOT NULL AND language <> '{OTHER}' THEN {distance("ws", "qw", 21)} END AS common_distance FROM p LEFT JOIN q USING (language))
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed, NOT base_failed AND NOT ({far}) AS kept, language, chars_distance, common_distance FROM j"""

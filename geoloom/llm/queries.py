@@ -52,4 +52,4 @@ def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_packing, op2_quality_rules, op3_sharding, op4_decontamination, op5_near_duplicates, op6_language_model, op7_quality, op8_pii, op9_chat, op10_passages)}
 
 #: Queries that DuckDB can express on whole tables.
-ORACLE_SQL: dict[str, str] = {"op9_chat": chat.RENDER_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_quality_rules": divergence.judge_sql(), "op9_chat": chat.RENDER_SQL}
