@@ -141,18 +141,25 @@ def matched(samples: DataFrame, candidates: DataFrame, edges: DataFrame, track:
         places = s[["x", "y"]].to_numpy(float)
         off = -0.5 * (OFF_M / SIGMA_M) ** 2
         emit = [[-0.5 * (d / SIGMA_M) ** 2 for _, _, d in own] + [off] for own in states]
+        steps = np.hypot(*np.diff(places, axis=0).T) if len(places) > 1 else np.zeros(0)
+        reach = 3 * float(steps.max(initial=0)) + 2 * RADIUS_M + 30
+        known: dict[int, dict[int, float]] = {}  # lengths from a node, once a track
         score, back = np.array(emit[0]), []
         for k in range(1, len(states)):
-            straight = float(np.hypot(*(places[k] - places[k - 1])))
+            straight = float(steps[k - 1])
             limit = 3 * straight + 2 * RADIUS_M + 30
             moves = np.full((len(score), len(emit[k])), -np.inf)
             moves[-1, :], moves[:, -1] = -SWITCH, -SWITCH
             moves[-1, -1] = 0
             for i, (e, t, _) in enumerate(states[k - 1]):
-                far = _distances(graph, ends, e, t, limit)
+                p, q, own = ends[e]
+                for n in (p, q):
+                    if n not in known:
+                        known[n] = _distances(graph, n, reach)
                 for j, (f, u, _) in enumerate(states[k]):
                     a, b, length = ends[f]
-                    d = min(far.get(a, math.inf) + u * length, far.get(b, math.inf) + (1 - u) * length)
+                    way = lambda n: min(t * own + known[p].get(n, math.inf), (1 - t) * own + known[q].get(n, math.inf))  # noqa: B023, E731
+                    d = min(way(a) + u * length, way(b) + (1 - u) * length)
                     if e == f:
                         d = min(d, abs(u - t) * length)
                     if d <= limit:
@@ -173,11 +180,10 @@ def matched(samples: DataFrame, candidates: DataFrame, edges: DataFrame, track:
     return own.applyInPandas(run, f"{track} {types[track]}, seq bigint, edge bigint")
 
 
-def _distances(graph: dict, ends: dict, edge: int, t: float, limit: float) -> dict[int, float]:
-    """Lengths along the roads from a place on an edge to the nodes within limit."""
-    a, b, length = ends[edge]
+def _distances(graph: dict, node: int, limit: float) -> dict[int, float]:
+    """Lengths along the roads from a node to those within limit."""
     best: dict[int, float] = {}
-    heap = [(t * length, a), ((1 - t) * length, b)]
+    heap = [(0.0, node)]
     while heap:
         d, n = heapq.heappop(heap)
         if d > limit or n in best:

@@ -59,14 +59,14 @@ def survey_claims(spark, sf_dir):
 
 
 @query(with_views("lines", """, s AS (SELECT id AS line, k, ax + (bx - ax) * k / 6 AS x, ay + (by_ - ay) * k / 6 AS y FROM lines, (SELECT unnest(range(7)) AS k) WHERE id % 8 = 0), p AS (SELECT id // 8 % 2 AS owner, ax + id % 5 AS x, ay + id % 3 AS y FROM lines WHERE id % 8 = 1),
-v AS (SELECT line, k, arg_min(owner, (d, owner)) AS owner FROM (SELECT line, k, owner, pow(s.x - p.x, 2) + pow(s.y - p.y, 2) AS d FROM s, p WHERE pow(s.x - p.x, 2) + pow(s.y - p.y, 2) <= 2500) GROUP BY line, k), c AS (SELECT line, owner, COUNT(*) AS votes FROM v GROUP BY line, owner)
+v AS (SELECT line, k, arg_min(owner, (d, owner)) AS owner FROM (SELECT line, k, owner, pow(s.x - p.x, 2) + pow(s.y - p.y, 2) AS d FROM s, p WHERE pow(s.x - p.x, 2) + pow(s.y - p.y, 2) <= 22500) GROUP BY line, k), c AS (SELECT line, owner, COUNT(*) AS votes FROM v GROUP BY line, owner)
 SELECT line, owner, votes FROM c WHERE votes >= 0.3 * 7 QUALIFY ROW_NUMBER() OVER (PARTITION BY line ORDER BY votes DESC, owner) = 1"""))
 def picked_lines(spark, sf_dir):
     own = view(spark, sf_dir, "lines")
     on = lambda a, b: F.col(a) + (F.col(b) - F.col(a)) * F.col("k") / 6
     samples = own.where("id % 8 = 0").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(6)))).select(F.col("id").alias("line"), "k", on("ax", "bx").alias("x"), on("ay", "by_").alias("y"))
     picks = own.where("id % 8 = 1").select((F.floor(F.col("id") / 8) % 2).alias("owner"), (F.col("ax") + F.col("id") % 5).alias("x"), (F.col("ay") + F.col("id") % 3).alias("y"))
-    return measure.picked(samples, picks, 50.0, 0.3)
+    return measure.picked(samples, picks, 150.0, 0.3)
 
 
 @query(with_views("footprints", "SELECT a.id FROM footprints a WHERE a.id % 2 = 0 AND coalesce((SELECT SUM((least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0))) FROM footprints b WHERE b.id % 2 = 1 AND a.x0 < b.x1 AND a.x1 > b.x0 AND a.y0 < b.y1 AND a.y1 > b.y0), 0) <= 0.25 * (a.x1 - a.x0) * (a.y1 - a.y0)"))

@@ -47,8 +47,8 @@ FROM supplier JOIN nation ON s_nationkey % 5 = n_nationkey % 5""",
     "records": """
 SELECT l_partkey AS building, l_tax AS coverage, l_discount AS explained, l_quantity / 10 AS density, CAST(2010 + l_suppkey % 12 AS INT) AS year, CAST(l_linenumber AS DOUBLE) / 7 AS class_share, l_suppkey AS source, l_orderkey AS url FROM lineitem""",
     "lines": """
-SELECT o_orderkey AS id, CAST(o_custkey % 5 AS INT) AS rank, CAST((o_orderkey * 37) % 500 AS DOUBLE) AS ax, CAST((o_orderkey * 53) % 500 AS DOUBLE) AS ay,
-       CAST((o_orderkey * 37) % 500 + CASE WHEN o_orderkey % 2 = 0 THEN 12 ELSE 0 END AS DOUBLE) AS bx, CAST((o_orderkey * 53) % 500 + CASE WHEN o_orderkey % 2 = 0 THEN 0 ELSE 12 END AS DOUBLE) AS by_
+SELECT o_orderkey AS id, CAST(o_custkey % 5 AS INT) AS rank, CAST((o_orderkey * 37) % 2000 AS DOUBLE) AS ax, CAST((o_orderkey * 53) % 2000 AS DOUBLE) AS ay,
+       CAST((o_orderkey * 37) % 2000 + CASE WHEN o_orderkey % 2 = 0 THEN 12 ELSE 0 END AS DOUBLE) AS bx, CAST((o_orderkey * 53) % 2000 + CASE WHEN o_orderkey % 2 = 0 THEN 0 ELSE 12 END AS DOUBLE) AS by_
 FROM orders WHERE o_orderkey % 4 < 2""",
     "edges": """
 SELECT o_orderkey AS id, o_custkey % 300 AS a, (o_custkey * 7 + o_orderkey) % 300 AS b, CAST(1 + o_orderkey % 9 AS DOUBLE) AS cost FROM orders WHERE o_orderkey % 30 = 0""",
