@@ -137,11 +137,11 @@ def _neighbours(met: DataFrame) -> DataFrame:
 
 
 def candidates(met: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of nodes that follow one another under MIN_HASHES hashes and more, and which these are (bits of hashes)."""
+    """Distinct pairs (a, b) of nodes that follow one another under MIN_HASHES hashes and more."""
     out = written(_neighbours(met))
     again = _neighbours(out.where("b is null").select("key", F.lit(0).cast("smallint").alias("salt"), F.col("a").alias("node"), "hash"))
     pairs = out.where("b is not null").unionByName(again.where("b is not null")).select("hash", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return pairs.groupBy("a", "b").agg(F.bit_or(F.expr("shiftleft(1, cast(hash as int))")).alias("hashes")).where(F.bit_count("hashes") >= MIN_HASHES)
+    return pairs.groupBy("a", "b").agg(F.bit_or(F.expr("shiftleft(1, cast(hash as int))")).alias("h")).where(F.bit_count("h") >= MIN_HASHES).select("a", "b")
 
 
 def _extended(a: np.ndarray, b: np.ndarray, i: int, j: int) -> tuple[int, int]:
@@ -154,22 +154,21 @@ def _extended(a: np.ndarray, b: np.ndarray, i: int, j: int) -> tuple[int, int]:
     return int(differs.argmax()) if differs.any() else n, after
 
 
-def shared_passages(x: Sequence, y: Sequence, hashes: int, similarity: float) -> list[tuple[int, int, int, int, float]]:
+def shared_passages(x: Sequence, y: Sequence, similarity: float) -> list[tuple[int, int, int, int, float]]:
     """(start, shingles) in x and in y, and the Jaccard similarity, of passages of x.least shingles and more that both share.
 
-    hashes: bits of those under which windows are joined. Matches grow from the windows' least shingles as far as texts are
-    equal; those a little apart are joined."""
+    Windows are joined under all hashes. Matches grow from their least shingles as far as texts are equal; those a little
+    apart are joined."""
     a, b, least = x.own, y.own, x.least
     if len(a) == len(b) and (a == b).all():
         return [(0, len(a), 0, len(b), 1.0)] if len(a) >= least else []
     seeds: set[tuple[int, int]] = set()
     for k in range(HASHES):
-        if hashes >> k & 1:
-            (va, ca), (vb, cb) = x.minima(k), y.minima(k)
-            for value in np.intersect1d(va, vb):
-                i, j = ca[va == value].tolist(), cb[vb == value].tolist()
-                seeds.update((i[0], q) for q in j)
-                seeds.update((p, j[0]) for p in i)
+        (va, ca), (vb, cb) = x.minima(k), y.minima(k)
+        for value in set(va.tolist()).intersection(vb.tolist()):
+            i, j = ca[va == value].tolist(), cb[vb == value].tolist()
+            seeds.update((i[0], q) for q in j)
+            seeds.update((p, j[0]) for p in i)
     runs: list[tuple[int, int, int]] = []  # start in a, start in b, shingles
     for i, j in sorted(seeds):
         if a[i] == b[j] and not any(s <= i < s + n and i - s == j - t for s, t, n in runs[-8:]):
@@ -229,15 +228,15 @@ def repeated_passages(docs: DataFrame, least_words: int = 50, similarity: float
                 column = batch.column(side).take(pa.array(own.values(), pa.int64()))
                 known |= {n: Sequence(x, least) for n, x in zip(own, text_runs(column), strict=True)}
             rows = []
-            for k, hashes in enumerate(batch.column("hashes").to_pylist()):
-                found = shared_passages(known[a[k]], known[b[k]], hashes, similarity)
+            for k in range(batch.num_rows):
+                found = shared_passages(known[a[k]], known[b[k]], similarity)
                 rows += [(k, s, n + SIZE - 1, t, m + SIZE - 1, same) for s, n, t, m, same in found]
             if rows:
                 at, *spans, same = zip(*rows, strict=True)
                 told = batch.select(["a", "b", "a_id", "b_id"]).take(pa.array(at))
                 yield pa.RecordBatch.from_arrays([*told.columns, *(pa.array(s, pa.int64()) for s in spans), pa.array(same, pa.float64())], names=names)
 
-    found = written(pairs.join(of_a, "a").join(of_b, "b").select("a", "b", "hashes", "a_id", "b_id", "ta", "tb").mapInArrow(run, _SPAN))
+    found = written(pairs.join(of_a, "a").join(of_b, "b").select("a", "b", "a_id", "b_id", "ta", "tb").mapInArrow(run, _SPAN))
     root = components(found.select("a", "b"))
     sides = [found.select(F.col(x).alias("node"), F.col(f"{x}_id").alias("doc_id"), F.col(f"{x}_start").alias("start"), F.col(f"{x}_length").alias("length"), F.struct(F.col(f"{y}_id").alias("other_id"), F.col(f"{y}_start").alias("other_start"), "similarity").alias("o")) for x, y in ("ab", "ba")]
     told = sides[0].unionByName(sides[1]).groupBy("node", "doc_id", "start", "length").agg(F.min("o").alias("o")).join(root, "node")
