@@ -225,11 +225,11 @@ def ring_measures(spark, sf_dir):
     return _rings(spark, sf_dir).select("id", F.round(polygons.signed_area(F.col("ring")), 6).alias("area"), F.round(polygons.perimeter(F.col("ring")), 6).alias("perimeter"))
 
 
-@query(with_views("footprints", """, c AS (SELECT DISTINCT id % 2 AS kind, r AS row, k AS col FROM (SELECT id, x0, x1, y0, y1, unnest(range(y0::BIGINT, y1::BIGINT)) AS r FROM footprints WHERE id % 10 < 2), LATERAL (SELECT unnest(range(x0::BIGINT, x1::BIGINT)) AS k))
+@query(with_views("footprints", """, c AS (SELECT DISTINCT id % 2 AS kind, r AS row, k AS col FROM (SELECT id, x0, x1, y0, y1, unnest(range(y0::BIGINT, y1::BIGINT)) AS r FROM footprints), LATERAL (SELECT unnest(range(x0::BIGINT, x1::BIGINT)) AS k))
 SELECT (SELECT COUNT(*) FROM (SELECT DISTINCT row, col FROM c)) AS together, (SELECT COUNT(*) FROM c a JOIN c b ON a.row = b.row AND a.col = b.col AND a.kind = 0 AND b.kind = 1) AS both, (SELECT COUNT(*) FROM c a WHERE kind = 0 AND NOT EXISTS (SELECT 1 FROM c b WHERE b.kind = 1 AND b.row = a.row AND b.col = a.col)) AS first_only"""))
 def mask_overlay(spark, sf_dir):
     point = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
-    boxes = view(spark, sf_dir, "footprints").where("id % 10 < 2").select("id", F.array(point("x0", "y0"), point("x1", "y0"), point("x1", "y1"), point("x0", "y1")).alias("ring"))
+    boxes = view(spark, sf_dir, "footprints").select("id", F.array(point("x0", "y0"), point("x1", "y0"), point("x1", "y1"), point("x0", "y1")).alias("ring"))
     cells = polygons.to_mask(boxes).select((F.col("id") % 2).alias("kind"), "row", "col").distinct()
     kinds = cells.groupBy("row", "col").agg(F.bool_or(F.col("kind") == 0).alias("a"), F.bool_or(F.col("kind") == 1).alias("b"))
     return kinds.agg(F.count("*").alias("together"), F.count_if(F.expr("a and b")).alias("both"), F.count_if(F.expr("a and not b")).alias("first_only"))

@@ -13,10 +13,10 @@ _STEP = "coalesce(sqrt(pow(x - px, 2) + pow(y - py, 2)), 0)"
 _STEPS = f"s AS (SELECT *, {_STEP} AS step FROM (SELECT *, LAG(x) OVER w AS px, LAG(y) OVER w AS py FROM tracks WINDOW w AS (PARTITION BY track ORDER BY seq))), g AS (SELECT *, SUM(step) OVER (PARTITION BY track ORDER BY seq ROWS UNBOUNDED PRECEDING) AS along, SUM(step) OVER (PARTITION BY track) AS total FROM s)"
 
 
-@query(with_views("tracks", f", {_STEPS} SELECT track, seq, round(along, 4) AS along, round(along / total, 9) AS at FROM g WHERE seq % 5 = 0"))
+@query(with_views("tracks", f", {_STEPS} SELECT track, seq, round(along, 4) AS along, round(along / total, 9) AS at FROM g"))
 def track_length(spark, sf_dir):
     at = lines.shares(view(spark, sf_dir, "tracks"), "track")
-    return at.where("seq % 5 = 0").select("track", "seq", F.round("along", 4).alias("along"), F.round("at", 9).alias("at"))
+    return at.select("track", "seq", F.round("along", 4).alias("along"), F.round("at", 9).alias("at"))
 
 
 @query(with_views("tracks", f", {_STEPS}, h AS (SELECT *, along / total AS pos, (along - step) / total AS prior FROM g) SELECT track, seq, round(px + (x - px) * a, 4) AS x0, round(py + (y - py) * a, 4) AS y0, round(px + (x - px) * b, 4) AS x1, round(py + (y - py) * b, 4) AS y1 FROM (SELECT *, (greatest(0.25, prior) - prior) / (pos - prior) AS a, (least(0.75, pos) - prior) / (pos - prior) AS b FROM h WHERE px IS NOT NULL AND pos > prior AND pos > 0.25 AND prior < 0.75)"))
@@ -55,37 +55,28 @@ def share_outside(spark, sf_dir):
     return lines.share_outside(view(spark, sf_dir, "tracks"), "track", (200, 100, 800, 600), 500).withColumn("outside", F.round("outside", 6))
 
 
-_ENDS = "SELECT l_orderkey * 10 + l_linenumber AS \"end\", l_partkey % 20 AS seam, CAST(l_suppkey % 6 AS BIGINT) AS kind, CASE WHEN l_returnflag = 'A' THEN -1 ELSE 1 END AS side, CAST((l_orderkey * 137) % 40960 AS DOUBLE) / 10 AS along FROM lineitem WHERE l_orderkey % 7 = 0 AND l_linenumber = 1"
-
-
-@query(f"""WITH e AS (SELECT "end", seam, kind, side, along FROM ({_ENDS}) QUALIFY ROW_NUMBER() OVER (PARTITION BY "end" ORDER BY seam, kind, side, along) = 1),
-p AS (SELECT a.seam, a.kind, a."end" AS a, b."end" AS b, abs(a.along - b.along) AS gap, (a.along + b.along) / 2 AS along FROM e a JOIN e b ON a.seam = b.seam AND a.kind = b.kind AND a.side < 0 AND b.side > 0 AND abs(a.along - b.along) <= 20)
-SELECT seam, kind, a, b, round(gap, 6) AS gap, round(along, 6) AS along FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY a ORDER BY gap, b) AS na, ROW_NUMBER() OVER (PARTITION BY b ORDER BY gap, a) AS nb FROM p) WHERE na = 1 AND nb = 1""")
+@query(with_views("ends", """, p AS (SELECT a.seam, a.kind, a.id AS a, b.id AS b, abs(a.along - b.along) AS gap, (a.along + b.along) / 2 AS along FROM ends a JOIN ends b ON a.seam = b.seam AND a.kind = b.kind AND a.side < 0 AND b.side > 0 AND abs(a.along - b.along) <= 20)
+SELECT seam, kind, a, b, round(gap, 6) AS gap, round(along, 6) AS along FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY a ORDER BY gap, b) AS na, ROW_NUMBER() OVER (PARTITION BY b ORDER BY gap, a) AS nb FROM p) WHERE na = 1 AND nb = 1"""))
 def seam_join(spark, sf_dir):
-    from pyspark.sql.window import Window
-
-    ends = spark.sql(_ENDS.replace('"end"', "`end`").replace("FROM lineitem", "FROM {lineitem}"), lineitem=view(spark, sf_dir, "lineitem"))
-    ends = ends.withColumn("n", F.row_number().over(Window.partitionBy("end").orderBy("seam", "kind", "side", "along"))).where("n = 1").drop("n")
+    ends = view(spark, sf_dir, "ends").withColumnRenamed("id", "end")
     return lines.seam_pairs(ends, 20.0).select("seam", "kind", "a", "b", F.round("gap", 6).alias("gap"), F.round("along", 6).alias("along"))
 
 
-_NEAR = "(SELECT part, x, y FROM (SELECT DISTINCT part, x, y FROM points WHERE part % 10 = 0) QUALIFY ROW_NUMBER() OVER (PARTITION BY part ORDER BY x, y) = 1)"
+_NEAR = "(SELECT part, MIN(x) AS x, MIN(y) AS y FROM points GROUP BY part)"
 
 
 @query(with_views("points lines", f""", d AS (SELECT p.part AS point, l.id AS segment, greatest(0, least(1, ((p.x - ax) * (bx - ax) + (p.y - ay) * (by_ - ay)) / (pow(bx - ax, 2) + pow(by_ - ay, 2)))) AS t, p.x, p.y, ax, ay, bx, by_ FROM {_NEAR} p, lines l),
 e AS (SELECT point, segment, t, sqrt(pow(x - ax - t * (bx - ax), 2) + pow(y - ay - t * (by_ - ay), 2)) AS distance FROM d)
 SELECT point, segment, round(distance, 6) AS distance, round(t, 6) AS t, rank FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY point ORDER BY distance, segment) AS rank FROM e WHERE distance <= 12) WHERE rank <= 8"""))
 def nearest_k(spark, sf_dir):
-    from pyspark.sql.window import Window
-
-    points = view(spark, sf_dir, "points").where("part % 10 = 0").withColumn("n", F.row_number().over(Window.partitionBy("part").orderBy("x", "y"))).where("n = 1").select(F.col("part").alias("point"), "x", "y")
+    points = view(spark, sf_dir, "points").groupBy(F.col("part").alias("point")).agg(F.min("x").alias("x"), F.min("y").alias("y"))
     segments = view(spark, sf_dir, "lines").select(F.col("id").alias("segment"), "ax", "ay", "bx", F.col("by_").alias("by"))
     return lines.nearest_segments(points, segments, 12.0).withColumns({"distance": F.round("distance", 6), "t": F.round("t", 6)})
 
 
 @query(with_views("lines", """, s AS (SELECT id, rank, ax, ay, bx, by_, k, n, ax + (bx - ax) * k / n AS x, ay + (by_ - ay) * k / n AS y, sqrt(pow(bx - ax, 2) + pow(by_ - ay, 2)) AS len FROM (SELECT *, 6 AS n FROM lines), (SELECT unnest(range(7)) AS k)),
 o AS (SELECT *, sqrt(pow(bx - ax, 2) + pow(by_ - ay, 2)) AS len FROM lines),
-h AS (SELECT DISTINCT s.id, s.k FROM s JOIN o ON o.rank < s.rank AND abs((s.bx - s.ax) * (o.bx - o.ax) + (s.by_ - s.ay) * (o.by_ - o.ay)) / (s.len * o.len) >= cos(radians(28)) AND pow(s.x - o.ax - greatest(0, least(1, ((s.x - o.ax) * (o.bx - o.ax) + (s.y - o.ay) * (o.by_ - o.ay)) / (o.len * o.len))) * (o.bx - o.ax), 2) + pow(s.y - o.ay - greatest(0, least(1, ((s.x - o.ax) * (o.bx - o.ax) + (s.y - o.ay) * (o.by_ - o.ay)) / (o.len * o.len))) * (o.by_ - o.ay), 2) <= 9)
+h AS (SELECT DISTINCT s.id, s.k FROM s JOIN o ON o.rank < s.rank AND s.x BETWEEN o.ax - 3 AND o.bx + 3 AND s.y BETWEEN o.ay - 3 AND o.by_ + 3 AND abs((s.bx - s.ax) * (o.bx - o.ax) + (s.by_ - s.ay) * (o.by_ - o.ay)) / (s.len * o.len) >= cos(radians(28)) AND pow(s.x - o.ax - greatest(0, least(1, ((s.x - o.ax) * (o.bx - o.ax) + (s.y - o.ay) * (o.by_ - o.ay)) / (o.len * o.len))) * (o.bx - o.ax), 2) + pow(s.y - o.ay - greatest(0, least(1, ((s.x - o.ax) * (o.bx - o.ax) + (s.y - o.ay) * (o.by_ - o.ay)) / (o.len * o.len))) * (o.by_ - o.ay), 2) <= 9)
 SELECT s.id, COUNT(*) AS samples, round(COUNT(h.k) / COUNT(*), 6) AS shadowed FROM s LEFT JOIN h ON h.id = s.id AND h.k = s.k GROUP BY s.id"""))
 def line_shadow_share(spark, sf_dir):
     own = view(spark, sf_dir, "lines").withColumnRenamed("by_", "by")
@@ -123,23 +114,23 @@ def interval_minus(spark, sf_dir):
     return lines.less_intervals(own, bars, "key").select("key", F.round("a", 9).alias("a"), F.round("b", 9).alias("b"))
 
 
-_EDITS = "SELECT l_orderkey AS id, CAST(l_partkey % 8 AS DOUBLE) / 16 AS lo, CAST(l_partkey % 8 + 2 + l_linenumber AS DOUBLE) / 16 AS hi, CASE WHEN l_returnflag = 'A' THEN l_quantity END AS width, CASE WHEN l_returnflag <> 'A' THEN l_suppkey END AS colour FROM lineitem WHERE l_orderkey % 5 = 0"
+_EDITS = "SELECT l_orderkey AS id, CAST(l_partkey % 8 AS DOUBLE) / 16 AS lo, CAST(l_partkey % 8 + 2 + l_linenumber AS DOUBLE) / 16 AS hi, CASE WHEN l_returnflag = 'A' THEN l_quantity END AS width, CASE WHEN l_returnflag <> 'A' THEN l_suppkey END AS colour FROM lineitem"
 
 
-@query(f"""WITH e AS (SELECT id, lo, hi, MAX(width) AS width, MAX(colour) AS colour FROM ({_EDITS}) GROUP BY id, lo, hi), p AS (SELECT o_orderkey AS id, k / 8.0::DOUBLE AS t0, (k + 1) / 8.0::DOUBLE AS t1 FROM orders, (SELECT unnest(range(8)) AS k) WHERE o_orderkey % 5 = 0)
+@query(f"""WITH e AS (SELECT id, lo, hi, MAX(width) AS width, MAX(colour) AS colour FROM ({_EDITS}) GROUP BY id, lo, hi), p AS (SELECT o_orderkey AS id, k / 8.0::DOUBLE AS t0, (k + 1) / 8.0::DOUBLE AS t1 FROM orders, (SELECT unnest(range(8)) AS k))
 SELECT p.id, t0, t1, arg_min(width, (hi - lo, -lo)) FILTER (width IS NOT NULL) AS width, arg_min(colour, (hi - lo, -lo)) FILTER (colour IS NOT NULL) AS colour FROM p LEFT JOIN e ON e.id = p.id AND lo <= t0 + 1e-9 AND hi >= t1 - 1e-9 GROUP BY p.id, t0, t1""")
 def edit_override(spark, sf_dir):
     told = spark.sql(_EDITS.replace("FROM lineitem", "FROM {lineitem}"), lineitem=view(spark, sf_dir, "lineitem")).groupBy("id", "lo", "hi").agg(F.max("width").alias("width"), F.max("colour").alias("colour"))
     eighth = F.explode(F.sequence(F.lit(0), F.lit(7)))
-    pieces = view(spark, sf_dir, "orders").where("o_orderkey % 5 = 0").select(F.col("o_orderkey").alias("id"), eighth.alias("k")).select("id", (F.col("k") / 8.0).alias("t0"), ((F.col("k") + 1) / 8.0).alias("t1"))
+    pieces = view(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), eighth.alias("k")).select("id", (F.col("k") / 8.0).alias("t0"), ((F.col("k") + 1) / 8.0).alias("t1"))
     return edits.overriding(pieces, told, ["width", "colour"])
 
 
-@query("""SELECT coalesce(a.c_custkey, b.o_custkey) AS key, coalesce(b.v, a.v) AS value, CASE WHEN b.v IS NULL THEN 'kept' WHEN a.v IS NULL THEN 'added' WHEN a.v = b.v THEN 'same' ELSE 'replaced' END AS change
-FROM (SELECT c_custkey, c_custkey % 7 AS v FROM customer WHERE c_custkey % 3 < 2) a FULL JOIN (SELECT o_custkey, o_custkey % 5 AS v FROM orders WHERE o_orderkey % 9 = 0 GROUP BY ALL) b ON a.c_custkey = b.o_custkey""")
+@query("""SELECT coalesce(a.c_custkey, b.key) AS key, coalesce(b.v, a.v) AS value, CASE WHEN b.v IS NULL THEN 'kept' WHEN a.v IS NULL THEN 'added' WHEN a.v = b.v THEN 'same' ELSE 'replaced' END AS change
+FROM (SELECT c_custkey, c_custkey % 7 AS v FROM customer) a FULL JOIN (SELECT o_custkey + 200 AS key, MAX(o_orderkey) % 5 AS v FROM orders GROUP BY 1) b ON a.c_custkey = b.key""")
 def edits_merge(spark, sf_dir):
-    base = view(spark, sf_dir, "customer").where("c_custkey % 3 < 2").select(F.col("c_custkey").alias("key"), (F.col("c_custkey") % 7).alias("value"))
-    extra = view(spark, sf_dir, "orders").where("o_orderkey % 9 = 0").select(F.col("o_custkey").alias("key"), (F.col("o_custkey") % 5).alias("value")).distinct()
+    base = view(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), (F.col("c_custkey") % 7).alias("value"))
+    extra = view(spark, sf_dir, "orders").groupBy((F.col("o_custkey") + 200).alias("key")).agg((F.max("o_orderkey") % 5).alias("value"))
     return edits.merged(base, extra)
 
 
@@ -150,9 +141,9 @@ def lru_evict(spark, sf_dir):
 
 
 @query("""SELECT id, row, col, round(w * (col - 1) / columns, 6) AS west, round(h - h * row / rows, 6) AS south, round(w * col / columns, 6) AS east, round(h - h * (row - 1) / rows, 6) AS north FROM (
-  SELECT *, unnest(range(1, columns + 1)) AS col FROM (SELECT *, unnest(range(1, rows + 1)) AS row FROM (SELECT *, greatest(1, ceil(w / 210 - 1e-9))::BIGINT AS columns, greatest(1, ceil(h / 210 - 1e-9))::BIGINT AS rows FROM (SELECT p_partkey AS id, (p_size * 21)::DOUBLE AS w, p_retailprice::DOUBLE AS h FROM part WHERE p_partkey % 10 = 0 AND p_size > 0))))""")
+  SELECT *, unnest(range(1, columns + 1)) AS col FROM (SELECT *, unnest(range(1, rows + 1)) AS row FROM (SELECT *, greatest(1, ceil(w / 210 - 1e-9))::BIGINT AS columns, greatest(1, ceil(h / 210 - 1e-9))::BIGINT AS rows FROM (SELECT p_partkey AS id, (p_size * 21)::DOUBLE AS w, p_retailprice::DOUBLE AS h FROM part WHERE p_size > 0))))""")
 def section_grid(spark, sf_dir):
-    models = view(spark, sf_dir, "part").where("p_partkey % 10 = 0").select(F.col("p_partkey").alias("id"), F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), (F.col("p_size") * 21).cast("double").alias("x1"), F.col("p_retailprice").alias("y1"))
+    models = view(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), (F.col("p_size") * 21).cast("double").alias("x1"), F.col("p_retailprice").alias("y1"))
     return edits.sections(models).select("id", "row", "col", *(F.round(c, 6).alias(c) for c in ("west", "south", "east", "north")))
 
 
@@ -162,12 +153,12 @@ def filament_order(spark, sf_dir):
     return edits.numbered_by_first_use(parts, "model", "colour", "at")
 
 
-@query("""WITH t AS (SELECT l_suppkey AS model, l_orderkey % 12 AS a, l_partkey % 12 AS b, (l_orderkey + l_linenumber) % 12 AS c FROM lineitem WHERE l_orderkey % 20 = 0),
+@query("""WITH t AS (SELECT l_suppkey AS model, l_orderkey % 40 AS a, l_partkey % 40 AS b, (l_orderkey + l_linenumber) % 40 AS c FROM lineitem),
 u AS (SELECT model, least(a, b) AS u, greatest(a, b) AS v FROM t UNION ALL SELECT model, least(b, c), greatest(b, c) FROM t UNION ALL SELECT model, least(c, a), greatest(c, a) FROM t)
 SELECT model, COUNT(*) AS edges, COUNT(*) FILTER (n = 1) AS open, COUNT(*) FILTER (n > 2) AS shared FROM (SELECT model, u, v, COUNT(*) AS n FROM u GROUP BY ALL) GROUP BY model""")
 def edge_manifold(spark, sf_dir):
     o, p, n = F.col("l_orderkey"), F.col("l_partkey"), F.col("l_linenumber")
-    faces = view(spark, sf_dir, "lineitem").where("l_orderkey % 20 = 0").select(F.col("l_suppkey").alias("model"), (o % 12).alias("a"), (p % 12).alias("b"), ((o + n) % 12).alias("c"))
+    faces = view(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("model"), (o % 40).alias("a"), (p % 40).alias("b"), ((o + n) % 40).alias("c"))
     return edits.edge_report(faces, "model")
 
 
@@ -178,9 +169,9 @@ def bounded_route(spark, sf_dir):
     return graph.routes_within(view(spark, sf_dir, "edges"), sources, 4)
 
 
-@query(with_views("edges", ", u AS (SELECT a, b FROM edges WHERE id % 60 = 0 UNION SELECT b, a FROM edges WHERE id % 60 = 0), r AS (SELECT a AS node, a AS root FROM u UNION SELECT u.b, r.root FROM r JOIN u ON u.a = r.node WHERE r.root < u.b) SELECT node, MIN(root) AS root FROM r GROUP BY node"))
+@query(with_views("links", ", u AS (SELECT a, b FROM links UNION SELECT b, a FROM links), r AS (SELECT a AS node, a AS root FROM u UNION SELECT u.b, r.root FROM r JOIN u ON u.a = r.node WHERE r.root < u.b) SELECT node, MIN(root) AS root FROM r GROUP BY node"))
 def graph_components(spark, sf_dir):
-    return graph.components(view(spark, sf_dir, "edges").where("id % 60 = 0"))
+    return graph.components(view(spark, sf_dir, "links"))
 
 
 @query()
@@ -202,7 +193,7 @@ def simplify_line(spark, sf_dir):
 
 @query()
 def plotting_order(spark, sf_dir):
-    own = view(spark, sf_dir, "lines").where("id % 8 < 2").select((F.col("id") % 16).alias("sheet"), "id", F.col("ax").alias("x0"), F.col("ay").alias("y0"), F.col("bx").alias("x1"), F.col("by_").alias("y1"))
+    own = view(spark, sf_dir, "lines").select(F.floor(F.col("id") / 500).alias("sheet"), "id", F.col("ax").alias("x0"), F.col("ay").alias("y0"), F.col("bx").alias("x1"), F.col("by_").alias("y1"))
     return graph.plotting_order(own, "sheet")
 
 
@@ -216,14 +207,14 @@ def polyline_codec(spark, sf_dir):
 
 @query()
 def snap_tracks(spark, sf_dir):
-    places = view(spark, sf_dir, "tracks").where("seq <= 40").withColumn("x", F.col("x") % 500).withColumn("y", F.col("y") % 500)
+    places = view(spark, sf_dir, "tracks").withColumn("x", F.col("x") % 500).withColumn("y", F.col("y") % 500)
     step = lines.measured(places, "track", lines.flat_step()).select("track", "seq", (F.round(F.col("x") / 10) * 10 + F.col("seq") % 7).alias("x"), F.col("y"))
     streets = spark.range(0, 2 * 6 * 5).select(F.col("id").alias("edge"), (F.col("id") % 2).alias("d"), (F.floor(F.col("id") / 2) % 6 * 100).cast("double").alias("lane"), (F.floor(F.col("id") / 12) * 100).cast("double").alias("at"))
     node = lambda x, y: (x * 10 + y).cast("bigint")
     segments = streets.select("edge", *(F.when(F.col("d") == 0, F.col(p)).otherwise(F.col(q)).alias(c) for c, p, q in (("ax", "at", "lane"), ("ay", "lane", "at"))), F.when(F.col("d") == 0, F.col("at") + 100).otherwise(F.col("lane")).alias("bx"), F.when(F.col("d") == 0, F.col("lane")).otherwise(F.col("at") + 100).alias("by"))
     samples = step.select("track", "seq", "x", "y")
-    key = F.col("track") * 1000 + F.col("seq")
+    key = F.col("track") * 10_000_000 + F.col("seq")
     near = lines.nearest_segments(samples.select(key.alias("point"), "x", "y"), segments.withColumnRenamed("edge", "segment"), graph.RADIUS_M)
-    candidates = near.select(F.floor(F.col("point") / 1000).alias("track"), (F.col("point") % 1000).alias("seq"), F.col("segment").alias("edge"), "t", "distance")
+    candidates = near.select(F.floor(F.col("point") / 10_000_000).alias("track"), (F.col("point") % 10_000_000).alias("seq"), F.col("segment").alias("edge"), "t", "distance")
     roads = segments.select("edge", node(F.col("ax") / 100, F.col("ay") / 100).alias("a"), node(F.col("bx") / 100, F.col("by") / 100).alias("b"), F.lit(100.0).alias("length"))
     return graph.matched(samples, candidates, samples.select("track").distinct().crossJoin(roads), "track")

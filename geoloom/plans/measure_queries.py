@@ -48,31 +48,30 @@ def supported_height(spark, sf_dir):
     return measure.supported_heights(cells, "b", 3.0)
 
 
-_SURVEYED = "(SELECT s_suppkey AS survey, s_suppkey * 37 % 100 AS place, (s_suppkey * 13 % 50)::DOUBLE AS x0, (s_suppkey * 29 % 50)::DOUBLE AS y0, (s_suppkey * 13 % 50 + 12)::DOUBLE AS x1, (s_suppkey * 29 % 50 + 9)::DOUBLE AS y1 FROM supplier WHERE s_suppkey < 100)"
+_SURVEYED = "(SELECT s_suppkey AS survey, s_suppkey * 37 % 100 AS place, (s_suppkey * 13 % 50)::DOUBLE AS x0, (s_suppkey * 29 % 50)::DOUBLE AS y0, (s_suppkey * 13 % 50 + 12)::DOUBLE AS x1, (s_suppkey * 29 % 50 + 9)::DOUBLE AS y1 FROM supplier)"
 
 
 @query(with_views("grid", f"SELECT row, col, arg_min(survey, place * 1000 + survey) AS survey FROM grid JOIN {_SURVEYED} ON col + 0.5 BETWEEN x0 AND x1 AND row + 0.5 BETWEEN y0 AND y1 GROUP BY row, col"))
 def survey_claims(spark, sf_dir):
     s, at = F.col("s_suppkey"), lambda k, more=0: (F.col("s_suppkey") * k % 50 + more).cast("double")
-    surveys = view(spark, sf_dir, "supplier").where("s_suppkey < 100").select(s.alias("survey"), (s * 37 % 100).alias("place"), at(13).alias("x0"), at(29).alias("y0"), at(13, 12).alias("x1"), at(29, 9).alias("y1"))
+    surveys = view(spark, sf_dir, "supplier").select(s.alias("survey"), (s * 37 % 100).alias("place"), at(13).alias("x0"), at(29).alias("y0"), at(13, 12).alias("x1"), at(29, 9).alias("y1"))
     return measure.claims(view(spark, sf_dir, "grid"), surveys)
 
 
-@query(with_views("lines", """, s AS (SELECT id AS line, k, ax + (bx - ax) * k / 6 AS x, ay + (by_ - ay) * k / 6 AS y FROM lines, (SELECT unnest(range(7)) AS k) WHERE id % 8 = 0), p AS (SELECT id // 8 % 2 AS owner, ax + id % 5 AS x, ay + id % 3 AS y FROM lines WHERE id % 8 = 1),
-v AS (SELECT line, k, arg_min(owner, (d, owner)) AS owner FROM (SELECT line, k, owner, pow(s.x - p.x, 2) + pow(s.y - p.y, 2) AS d FROM s, p WHERE pow(s.x - p.x, 2) + pow(s.y - p.y, 2) <= 22500) GROUP BY line, k), c AS (SELECT line, owner, COUNT(*) AS votes FROM v GROUP BY line, owner)
-SELECT line, owner, votes FROM c WHERE votes >= 0.3 * 7 QUALIFY ROW_NUMBER() OVER (PARTITION BY line ORDER BY votes DESC, owner) = 1"""))
+@query(with_views("lines picks", """, s AS (SELECT id AS line, k, ax + (bx - ax) * k / 6 AS x, ay + (by_ - ay) * k / 6 AS y FROM lines, (SELECT unnest(range(7)) AS k)),
+v AS (SELECT line, k, arg_min(owner, (d, owner)) AS owner FROM (SELECT line, k, owner, pow(s.x - p.x, 2) + pow(s.y - p.y, 2) AS d FROM s, picks p WHERE s.x BETWEEN p.x - 25 AND p.x + 25 AND s.y BETWEEN p.y - 25 AND p.y + 25 AND pow(s.x - p.x, 2) + pow(s.y - p.y, 2) <= 625) GROUP BY line, k), c AS (SELECT line, owner, COUNT(*) AS votes FROM v GROUP BY line, owner)
+SELECT line, owner, votes FROM c WHERE votes >= 0.7 * 7 QUALIFY ROW_NUMBER() OVER (PARTITION BY line ORDER BY votes DESC, owner) = 1"""))
 def picked_lines(spark, sf_dir):
-    own = view(spark, sf_dir, "lines")
     on = lambda a, b: F.col(a) + (F.col(b) - F.col(a)) * F.col("k") / 6
-    samples = own.where("id % 8 = 0").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(6)))).select(F.col("id").alias("line"), "k", on("ax", "bx").alias("x"), on("ay", "by_").alias("y"))
-    picks = own.where("id % 8 = 1").select((F.floor(F.col("id") / 8) % 2).alias("owner"), (F.col("ax") + F.col("id") % 5).alias("x"), (F.col("ay") + F.col("id") % 3).alias("y"))
-    return measure.picked(samples, picks, 150.0, 0.3)
+    sampled = view(spark, sf_dir, "lines").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(6))))
+    samples = sampled.select(F.col("id").alias("line"), "k", on("ax", "bx").alias("x"), on("ay", "by_").alias("y"))
+    return measure.picked(samples, view(spark, sf_dir, "picks"), 25.0)
 
 
-@query(with_views("footprints", "SELECT a.id FROM footprints a WHERE a.id % 2 = 0 AND coalesce((SELECT SUM((least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0))) FROM footprints b WHERE b.id % 2 = 1 AND a.x0 < b.x1 AND a.x1 > b.x0 AND a.y0 < b.y1 AND a.y1 > b.y0), 0) <= 0.25 * (a.x1 - a.x0) * (a.y1 - a.y0)"))
+@query(with_views("footprints tiles", "SELECT a.id FROM footprints a WHERE coalesce((SELECT SUM((least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0))) FROM tiles b WHERE a.x0 < b.x1 AND a.x1 > b.x0 AND a.y0 < b.y1 AND a.y1 > b.y0), 0) <= 0.25 * (a.x1 - a.x0) * (a.y1 - a.y0)"))
 def not_in_tiles(spark, sf_dir):
     boxes = view(spark, sf_dir, "footprints").select("id", "x0", "y0", "x1", "y1")
-    return measure.not_covered(boxes.where("id % 2 = 0"), boxes.where("id % 2 = 1")).select("id")
+    return measure.not_covered(boxes, view(spark, sf_dir, "tiles")).select("id")
 
 
 @query(with_views("grid", """, v AS (SELECT row, col, CASE WHEN (row * 7 + col * 3) % 41 = 0 THEN -32768.0 ELSE v * 3 - 90 END::DOUBLE AS v FROM grid)
@@ -95,11 +94,11 @@ def mesh_volume(spark, sf_dir):
     return measure.signed_volume(faces, "model").select("model", F.round("volume", 4).alias("volume"))
 
 
-@query("SELECT id, CASE WHEN lo <= 0 AND hi >= 1 THEN seg ELSE seg || '@' || lo::DOUBLE || '-' || hi::DOUBLE END AS key, lo AS low, hi AS high FROM (SELECT o_orderkey AS id, 'r:' || o_custkey AS seg, (o_orderkey % 4)::DOUBLE / 8 AS lo, (o_orderkey % 4 + 5)::DOUBLE / 8 AS hi FROM orders) WHERE lo > 0 AND hi < 1")
+@query("SELECT id, CASE WHEN lo <= 0 AND hi >= 1 THEN seg ELSE seg || '@' || CASE WHEN lo = 0 THEN '0' ELSE lo::VARCHAR END || '-' || CASE WHEN hi = 1 THEN '1' ELSE hi::VARCHAR END END AS key, lo AS low, hi AS high FROM (SELECT o_orderkey AS id, 'r:' || o_custkey AS seg, (o_orderkey % 4)::DOUBLE / 8 AS lo, (o_orderkey % 4 + 5)::DOUBLE / 8 AS hi FROM orders)")
 def road_keys(spark, sf_dir):
     o = F.col("o_orderkey")
-    low, high = (o % 4) / 8.0, (o % 4 + 5) / 8.0
-    keyed = view(spark, sf_dir, "orders").select(o.alias("id"), keys.road_key(F.concat(F.lit("r:"), F.col("o_custkey")), low, high).alias("key"), low.alias("l"), high.alias("h")).where("l > 0 and h < 1")
+    key = keys.road_key(F.concat(F.lit("r:"), F.col("o_custkey")), (o % 4) / 8.0, (o % 4 + 5) / 8.0)
+    keyed = view(spark, sf_dir, "orders").select(o.alias("id"), key.alias("key"))
     back = keys.parsed_road_key(F.col("key"))
     return keyed.select("id", "key", back["low"].alias("low"), back["high"].alias("high"))
 
@@ -110,13 +109,13 @@ def latest_release(spark, sf_dir):
     return keys.latest_release(names.union(names.select(F.lit("drafts"))), "name")
 
 
-@query("SELECT id, w AS west, e AS east FROM (SELECT c_custkey AS id, (c_custkey % 400 - 200)::DOUBLE AS w, (c_custkey % 300 - 100)::DOUBLE AS e FROM customer) WHERE abs(w) <= 180 AND abs(e) <= 180 AND e > w AND id % 3 < 2")
+@query("SELECT id, CASE WHEN good THEN w END AS west, CASE WHEN good THEN e END AS east FROM (SELECT *, abs(w) <= 180 AND abs(e) <= 180 AND e > w AND id % 3 < 2 AS good FROM (SELECT c_custkey AS id, (c_custkey % 400 - 200)::DOUBLE AS w, (c_custkey % 300 - 100)::DOUBLE AS e FROM customer))")
 def bounds_text(spark, sf_dir):
     k = F.col("c_custkey")
     w, e = k % 400 - 200, k % 300 - 100
     text = F.when(k % 3 == 0, F.concat_ws(", ", w, F.lit("10"), e, F.lit("20.5"))).when(k % 3 == 1, F.concat(F.lit("bbox=["), w, F.lit(" ; 10 ;"), e, F.lit(";20]"))).otherwise(F.concat_ws(" ", w, e))
     box = keys.bounds_in(text)
-    return view(spark, sf_dir, "customer").select(k.alias("id"), box["west"].alias("west"), box["east"].alias("east")).where("west is not null")
+    return view(spark, sf_dir, "customer").select(k.alias("id"), box["west"].alias("west"), box["east"].alias("east"))
 
 
 @query("SELECT o_orderkey AS id, o_orderkey % 2 = 0 AND o_custkey % 3 < 2 AS estimated FROM orders")

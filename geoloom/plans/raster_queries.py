@@ -39,9 +39,9 @@ def occupied_cell(spark, sf_dir):
     return raster.occupancy(view(spark, sf_dir, "points"), 200.0, 200.0, [1.0, 1.05, 1.25, 2.0, 4.0]).withColumn("empty", F.round("empty", 6))
 
 
-@query(with_views("grid", "SELECT a.row, a.col, ROUND(AVG(b.v), 4) AS mean FROM grid a JOIN grid b ON abs(a.row - b.row) <= 1 AND abs(a.col - b.col) <= 1 GROUP BY a.row, a.col"))
+@query(with_views("grid", "SELECT a.row, a.col, ROUND(AVG(b.n), 4) AS mean FROM grid a JOIN grid b ON abs(a.row - b.row) <= 1 AND abs(a.col - b.col) <= 1 GROUP BY a.row, a.col"))
 def box_mean(spark, sf_dir):
-    return raster.box_mean(view(spark, sf_dir, "grid"), "v").withColumn("mean", F.round("mean", 4))
+    return raster.box_mean(view(spark, sf_dir, "grid"), "n").withColumn("mean", F.round("mean", 4))
 
 
 @query(with_views("grid", ", f AS (SELECT r AS row, c AS col, COALESCE(v, 0) AS v FROM (SELECT unnest(range(60)) AS r), (SELECT unnest(range(60)) AS c) LEFT JOIN grid ON row = r AND col = c) SELECT a.row, a.col, MAX(b.v) AS stat FROM f a JOIN f b ON abs(a.row - b.row) <= 2 AND abs(a.col - b.col) <= 2 GROUP BY a.row, a.col"))

@@ -22,23 +22,23 @@ FROM lineitem""",
     "cells": """
 SELECT CAST(FLOOR(y + CAST(0.5 AS DOUBLE)) AS BIGINT) AS row, CAST(FLOOR(x + CAST(0.5 AS DOUBLE)) AS BIGINT) AS col, z, cls, single, (cls IN (3, 4, 5) OR (cls = 1 AND NOT single)) AS plant FROM points""",
     "grid": """
-SELECT CAST((l_orderkey * 91) % 60 AS BIGINT) AS row, CAST((l_partkey * 37) % 60 AS BIGINT) AS col, MAX(l_quantity) AS v, COUNT(*) AS n FROM lineitem WHERE l_suppkey % 20 = 0 GROUP BY 1, 2""",
-    "mask": """SELECT row, col FROM grid WHERE v < 46""",
+SELECT CAST((l_orderkey * 91) % 60 AS BIGINT) AS row, CAST((l_partkey * 37) % 60 AS BIGINT) AS col, AVG(l_quantity) AS v, COUNT(*) AS n FROM lineitem GROUP BY 1, 2 HAVING SUM(l_discount) >= COUNT(*) * CAST(0.05 AS DOUBLE)""",
+    "mask": """SELECT row, col FROM grid WHERE v < 25.5""",
     "footprints": """
 SELECT p_partkey AS id, CAST((p_partkey * 37) % 1000 AS DOUBLE) AS x0, CAST((p_partkey * 53) % 1000 AS DOUBLE) AS y0, CAST((p_partkey * 37) % 1000 + 3 + p_size % 10 AS DOUBLE) AS x1,
        CAST((p_partkey * 53) % 1000 + 3 + p_size % 7 AS DOUBLE) AS y1, LOWER(p_type) AS class, CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE CAST(p_size AS DOUBLE) * 3 END AS height,
        CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE CAST(p_size AS DOUBLE) END AS floors, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE p_name END AS name, p_partkey % 2 = 0 AS has_parts
 FROM part""",
     "parts_of": """
-SELECT l_orderkey * 10 + l_linenumber AS id, (l_partkey * 7) % 2600 AS building_id, l_returnflag = 'R' AS is_underground, l_quantity > 30 AS useful FROM lineitem WHERE l_linenumber = 1""",
+SELECT l_orderkey * 10 + l_linenumber AS id, (l_partkey * 7) % 2600 AS building_id, l_returnflag = 'R' AS is_underground, l_quantity > 30 AS useful FROM lineitem""",
     "tracks": """
 SELECT user_id AS track, CAST(ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS seq, CAST((event_id * 37) % 1000 AS DOUBLE) + value AS x, CAST((event_id * 53) % 700 AS DOUBLE) AS y FROM events""",
     "segments": """
-SELECT o_orderkey AS id, CASE o_orderpriority WHEN '1-URGENT' THEN 'motorway' WHEN '2-HIGH' THEN 'primary' WHEN '5-LOW' THEN 'footway' ELSE 'lane' END AS class FROM orders WHERE o_orderkey % 5 = 0""",
+SELECT o_orderkey AS id, CASE o_orderpriority WHEN '1-URGENT' THEN 'motorway' WHEN '2-HIGH' THEN 'primary' WHEN '5-LOW' THEN 'footway' ELSE 'lane' END AS class FROM orders""",
     "rules": """
 SELECT l_orderkey AS id, CAST(l_linenumber * 1000000 + l_partkey AS BIGINT) AS place, CASE l_returnflag WHEN 'A' THEN 'width' WHEN 'R' THEN 'level' ELSE 'flag' END AS kind,
        CAST(CAST(l_quantity AS INT) % 9 AS DOUBLE) AS value, CASE WHEN l_suppkey % 13 = 0 THEN NULL ELSE CAST(l_partkey % 8 AS DOUBLE) / 16 END AS a, CAST(l_partkey % 8 + l_linenumber * 2 - 1 AS DOUBLE) / 16 AS b
-FROM lineitem WHERE l_orderkey % 5 = 0""",
+FROM lineitem""",
     "surveys": """
 SELECT n_nationkey AS area, s_suppkey AS survey, CASE WHEN s_suppkey % 9 = 0 THEN 0 ELSE 15000 + (s_suppkey * 97) % 4000 END AS day, CAST((s_suppkey * 31) % 101 AS DOUBLE) / 100 AS coverage,
        CAST((s_suppkey * 17) % 23 + 1 AS DOUBLE) / 2 AS density, CAST(s_suppkey % 4 AS DOUBLE) / 4 AS class_quality, CASE s_suppkey % 4 WHEN 0 THEN 'EPT' WHEN 1 THEN 'COPC' WHEN 2 THEN 'I3S' ELSE 'LAZ' END AS format,
@@ -49,13 +49,19 @@ SELECT l_partkey AS building, l_tax AS coverage, l_discount AS explained, l_quan
     "lines": """
 SELECT o_orderkey AS id, CAST(o_custkey % 5 AS INT) AS rank, CAST((o_orderkey * 37) % 2000 AS DOUBLE) AS ax, CAST((o_orderkey * 53) % 2000 AS DOUBLE) AS ay,
        CAST((o_orderkey * 37) % 2000 + CASE WHEN o_orderkey % 2 = 0 THEN 12 ELSE 0 END AS DOUBLE) AS bx, CAST((o_orderkey * 53) % 2000 + CASE WHEN o_orderkey % 2 = 0 THEN 0 ELSE 12 END AS DOUBLE) AS by_
-FROM orders WHERE o_orderkey % 4 < 2""",
+FROM orders""",
     "edges": """
-SELECT o_orderkey AS id, o_custkey % 300 AS a, (o_custkey * 7 + o_orderkey) % 300 AS b, CAST(1 + o_orderkey % 9 AS DOUBLE) AS cost FROM orders WHERE o_orderkey % 30 = 0""",
+SELECT o_orderkey AS id, o_custkey AS a, (o_custkey * 7 + o_orderkey) % 1500 AS b, CAST(1 + o_orderkey % 9 AS DOUBLE) AS cost FROM orders""",
+    "links": """SELECT o_orderkey AS a, o_custkey + 1000000000 AS b FROM orders""",
+    "ends": """
+SELECT o_orderkey AS id, o_custkey % 97 AS seam, o_orderkey % 6 AS kind, CASE WHEN o_orderstatus = 'F' THEN -1 ELSE 1 END AS side, CAST((o_orderkey * 137) % 40960 AS DOUBLE) / 10 AS along FROM orders""",
+    "picks": """SELECT c_nationkey AS owner, CAST((c_custkey * 37) % 2000 AS DOUBLE) AS x, CAST((c_custkey * 53) % 2000 AS DOUBLE) AS y FROM customer""",
+    "tiles": """
+SELECT o_orderkey AS id, CAST((o_orderkey * 41) % 1000 AS DOUBLE) AS x0, CAST((o_orderkey * 67) % 1000 AS DOUBLE) AS y0, CAST((o_orderkey * 41) % 1000 + 3 AS DOUBLE) AS x1, CAST((o_orderkey * 67) % 1000 + 2 AS DOUBLE) AS y1 FROM orders""",
     "places": """
 SELECT c_custkey AS id, CAST((c_custkey * 37) % 3600 AS DOUBLE) / 10 - 180 AS lon, CAST((c_custkey * 53) % 1600 AS DOUBLE) / 10 - 80 AS lat FROM customer""",
     "intervals": """
-SELECT l_suppkey AS key, CAST(l_partkey % 50 AS DOUBLE) / 64 AS a, CAST(l_partkey % 50 + 1 + l_linenumber AS DOUBLE) / 64 AS b FROM lineitem WHERE l_orderkey % 40 = 0""",
+SELECT l_orderkey AS key, CAST(l_partkey % 50 AS DOUBLE) / 64 AS a, CAST(l_partkey % 50 + 1 + l_linenumber AS DOUBLE) / 64 AS b FROM lineitem""",
 }
 
 
