@@ -30,10 +30,10 @@ STEPS = 4
 ITERATIONS = 60
 _LOW = np.uint64((1 << 40) - 1)
 
-TUNING, TRAINING, HELD_OUT = 0, 1, 2
+TUNING, TRAINING, HELD_OUT, TOTALS = 0, 1, 2, 3
 _ASK = "range int, block int, words binary, word_counts binary, pairs binary, pair_counts binary"
-_TOLD = "block int, range int, word_counts binary, pair_counts binary, total array<bigint>"
-_SCORED = "doc_id bigint, role int, pair_counts array<int>, word_counts array<int>, tuning_pairs array<int>, tuning_words array<int>"
+_TOLD = "block int, range int, n_words int, word_counts binary, n_pairs int, pair_counts binary, total array<bigint>"
+_SCORED = "doc_id bigint, role int, pair_counts array<int>, word_counts array<int>, tuning_pairs array<int>, tuning_words array<int>, total array<bigint>"
 
 
 def _ranges(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -51,17 +51,22 @@ class Block:
         tokens = np.full(self.offsets[-1], END)
         here = np.arange(len(words)) + np.repeat(np.arange(len(n)), n)
         tokens[here] = words
+        del words, here
+        self.roles = roles
+        role = np.repeat(roles.astype(np.int8), n + 1)
+        self.words, self.word_at, self.word_counts = self._distinct(tokens, role)
         before = np.empty_like(tokens)
         before[1:] = tokens[:-1]
         before[self.offsets[:-1]] = START
-        self.roles = roles
-        role = np.repeat(roles, n + 1)
-        self.words, self.word_at, self.word_counts = self._distinct(tokens, role)
-        self.pairs, self.pair_at, self.pair_counts = self._distinct(mix(before * np.uint64(0xA24BAED4963EE407) + tokens), role)
+        before *= np.uint64(0xA24BAED4963EE407)
+        before += tokens
+        del tokens
+        self.pairs, self.pair_at, self.pair_counts = self._distinct(mix(before), role)
 
     @staticmethod
     def _distinct(keys: np.ndarray, role: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         found, at = np.unique(keys, return_inverse=True)
+        at = at.astype(np.int32)  # a block is far smaller
         counts = [np.bincount(at[role == r], minlength=len(found)) for r in (TUNING, TRAINING)]
         return found, at, np.stack(counts, axis=1).astype(np.uint32)
 
@@ -76,6 +81,16 @@ def _unpack40(packed: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """Small numbers, nearly all of them 0 or 1, as compressed bytes."""
+    return pa.compress(np.ascontiguousarray(counts.T.astype("<u4")).tobytes(), codec="zstd", asbytes=True) if len(counts) else b""
+
+
+def _unpacked(packed: bytes, n: int) -> np.ndarray:
+    raw = pa.decompress(packed, decompressed_size=8 * n, codec="zstd", asbytes=True) if n else b""
+    return np.frombuffer(raw, "<u4").reshape(2, n).T
+
+
 def _table(rows: list[tuple], schema: str) -> pa.Table:
     types = {"int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32()), "array<bigint>": pa.list_(pa.int64())}
     fields = [c.split(" ") for c in schema.split(", ")]
@@ -88,7 +103,7 @@ def _asks(table: pa.Table, ranges: int) -> pa.Table:
     w, p = [0, *_ranges(block.words, ranges), len(block.words)], [0, *_ranges(block.pairs, ranges), len(block.pairs)]
     number = table["block"][0].as_py()
     return _table([
-        (k, number, block.words[w[k] : w[k + 1]].tobytes(), block.word_counts[w[k] : w[k + 1]].tobytes(), _pack40(block.pairs[p[k] : p[k + 1]]), block.pair_counts[p[k] : p[k + 1]].tobytes())
+        (k, number, block.words[w[k] : w[k + 1]].tobytes(), _packed(block.word_counts[w[k] : w[k + 1]]), _pack40(block.pairs[p[k] : p[k + 1]]), _packed(block.pair_counts[p[k] : p[k + 1]]))
         for k in range(ranges) if w[k] < w[k + 1] or p[k] < p[k + 1]
     ], _ASK)
 
@@ -96,30 +111,33 @@ def _asks(table: pa.Table, ranges: int) -> pa.Table:
 def _summed(keys: list[np.ndarray], counts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
     """What to tell each asker: the counts of its keys, summed over all; and the sums."""
     found, at = np.unique(np.concatenate(keys), return_inverse=True)
-    own = np.frombuffer(b"".join(counts), np.uint32).reshape(-1, 2)
+    own = np.concatenate([_unpacked(c, len(k)) for c, k in zip(counts, keys, strict=True)])
     sums = np.stack([np.bincount(at, own[:, k], len(found)) for k in (0, 1)], axis=1).astype(np.uint32)
     out, low = [], 0
     for k in keys:
-        out.append(sums[at[low : low + len(k)]].tobytes())
+        out.append(_packed(sums[at[low : low + len(k)]]))
         low += len(k)
     return out, sums
 
 
 def _tells(table: pa.Table) -> pa.Table:
     names = {name: table[name].to_pylist() for name in table.schema.names}
-    words, sums = _summed([np.frombuffer(w, np.uint64) for w in names["words"]], names["word_counts"])
-    pairs, _ = _summed([_unpack40(p) for p in names["pairs"]], names["pair_counts"])
+    asked_words, asked_pairs = [np.frombuffer(w, np.uint64) for w in names["words"]], [_unpack40(p) for p in names["pairs"]]
+    words, sums = _summed(asked_words, names["word_counts"])
+    pairs, _ = _summed(asked_pairs, names["pair_counts"])
     both = sums.astype(np.int64).sum(axis=1)
     train = sums[:, 1].astype(np.int64)
     total = [int(both.sum()), int((both > 0).sum()), int(train.sum()), int((train > 0).sum())]
-    return _table([(b, r, w, p, total if not k else None) for k, (b, r, w, p) in enumerate(zip(names["block"], names["range"], words, pairs, strict=True))], _TOLD)
+    told = zip(names["block"], names["range"], map(len, asked_words), words, map(len, asked_pairs), pairs, strict=True)
+    return _table([(*row, total if not k else None) for k, row in enumerate(told)], _TOLD)
 
 
 def _scored(key: tuple, texts: pa.Table, told: pa.Table) -> pa.Table:
-    """Per document the training count of each of its pairs and tokens, both parts summed; of tuning ones those of the other part too."""
-    order = np.argsort(told["range"].to_numpy())
+    """Per document the training count of each of its pairs and tokens, both parts summed; of tuning ones those of the other
+    part too. Totals of the ranges that told them to this block come last."""
+    told = told.sort_by("range")
     block = Block(texts["text"].combine_chunks(), texts["role"].to_numpy())
-    words, pairs = (np.frombuffer(b"".join(told[c].to_pylist()[k] for k in order), np.uint32).reshape(-1, 2) for c in ("word_counts", "pair_counts"))
+    words, pairs = (np.concatenate([_unpacked(*x) for x in zip(told[f"{c}_counts"].to_pylist(), told[f"n_{c}s"].to_pylist(), strict=True)]) for c in ("word", "pair"))
     if len(words) != len(block.words) or len(pairs) != len(block.pairs):
         raise RuntimeError("a block's texts changed between two reads")
     columns = {}
@@ -130,23 +148,25 @@ def _scored(key: tuple, texts: pa.Table, told: pa.Table) -> pa.Table:
     tuning = pa.array(block.roles != TUNING)
     lists = {name: pa.ListArray.from_arrays(offsets, pa.array(v, pa.int32())) for name, v in columns.items()}
     lists |= {name: pa.compute.if_else(tuning, pa.scalar(None, v.type), v) for name, v in lists.items() if name.startswith("tuning")}
-    return pa.table([texts["doc_id"].combine_chunks(), texts["role"].combine_chunks(), *(lists[c.split(" ")[0]] for c in _SCORED.split(", ")[2:])], names=[c.split(" ")[0] for c in _SCORED.split(", ")])
+    names = [c.split(" ")[0] for c in _SCORED.split(", ")]
+    totals = [(None, TOTALS, None, None, None, None, t) for t in told["total"].to_pylist() if t is not None]
+    scored = [texts["doc_id"].combine_chunks(), texts["role"].combine_chunks(), *(lists[c] for c in names[2:6]), pa.nulls(len(texts), pa.list_(pa.int64()))]
+    return pa.concat_tables([pa.table(scored, names=names), _table(totals, _SCORED)])
 
 
 def counted(docs: DataFrame) -> tuple[DataFrame, tuple[int, int, int, int]]:
     """(a written table _SCORED; tokens and distinct tokens of the training texts, and of the part that isn't for tuning)."""
-    blocks = partitions_for(docs)
+    blocks = 2 * partitions_for(docs)  # a task holds a block's words, pairs and counts several times over
     number = fold(docs["doc_id"], 40)
     role = F.when(number % 5 == 1, HELD_OUT).when(F.floor(number / 5) == 0, TUNING).otherwise(TRAINING).cast("int")
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
     block = F.pmod(F.xxhash64(docs["doc_id"].cast("bigint"), F.octet_length(text), F.crc32(text.cast("binary"))), F.lit(blocks)).cast("int")
     dealt = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), text.alias("text"), role.alias("role"), block.alias("block")).repartition(blocks, "block")
-    # both reads of a block put its texts in one order: equal rows are interchangeable
+    # one shuffle of the texts serves both reads; both put a block's texts in one order, where equal rows are interchangeable
     told = dealt.groupBy("block").applyInArrow(lambda t: _asks(_ordered(t), blocks), _ASK).groupBy("range").applyInArrow(_tells, _TOLD)
-    told = written(told)
-    out = written(dealt.groupBy("block").cogroup(told.drop("total").groupBy("block")).applyInArrow(lambda key, x, y: _scored(key, _ordered(x), y), _SCORED))
-    sums = told.where("total is not null").agg(*(F.sum(F.col("total")[k]) for k in range(4))).first()
-    return out, tuple(int(v or 0) for v in sums)
+    out = written(dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(lambda key, x, y: _scored(key, _ordered(x), y), _SCORED))
+    sums = out.where(f"role = {TOTALS}").agg(*(F.sum(F.col("total")[k]) for k in range(4))).first()
+    return out.where(f"role < {TOTALS}").drop("total"), tuple(int(v or 0) for v in sums)
 
 
 def _ordered(table: pa.Table) -> pa.Table:
@@ -165,6 +185,13 @@ def _contexts(words: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
+def _few(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of a few rows, for what is computed from a row's tokens is many times their size."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _lists(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
     column = batch.column(name)
     offsets = np.asarray(column.offsets).astype(np.int64)
@@ -175,9 +202,7 @@ def weights(table: DataFrame, tokens: int, distinct: int) -> np.ndarray:
     """Rows (l2, l1, l0) by bucket, by EM on the tuning texts' tokens, with counts of the other training texts."""
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in _few(batches):
             pairs, offsets = _lists(batch, "tuning_pairs")
             words, _ = _lists(batch, "tuning_words")
             context = _contexts(words, offsets)
@@ -216,9 +241,7 @@ def score(docs: DataFrame) -> DataFrame:
     mixed = weights(table, tuning_tokens, tuning_distinct)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in _few(batches):
             pairs, offsets = _lists(batch, "pair_counts")
             words, _ = _lists(batch, "word_counts")
             context = _contexts(words, offsets)
