@@ -419,6 +419,20 @@ def test_language_model(spark, odd):
         assert round(r.score, 5) in score[r.doc_id] or min(abs(r.score - s) for s in score[r.doc_id]) < 1e-4
 
 
+@pytest.mark.parametrize("n", [0, 1, 7, 5000, 200_000])
+def test_packed_keys(n):
+    keys = np.unique(np.random.default_rng(n).integers(0, 1 << 64, n, dtype=np.uint64))
+    at = [0, *interpolation._ranges(keys, 3), len(keys)]
+    for k in range(3):
+        own = keys[at[k] : at[k + 1]]
+        packed = interpolation._pack40(own, k, 3)
+        back = interpolation._unpack40(packed)
+        low, high = -(-(k << 64) // 3), -(-((k + 1) << 64) // 3)
+        assert [int(x) for x in back] == [(int(x) - low) >> ((high - low - 1).bit_length() - 40) for x in own]
+        assert len(packed) == 1 + (4 if packed[:1] == b"4" else 5) * len(own) and (n < 5000 or packed[:1] == b"4")
+    assert (interpolation._unpacked(interpolation._packed(np.array([[1, 2], [70000, 0]])), 2) == [[1, 2], [70000, 0]]).all()
+
+
 def test_language_model_prefers_what_repeats(spark):
     rng = random.Random(1)
     phrase = "there was an old road that led from the mill down to the river".split()
@@ -605,7 +619,8 @@ def test_passages(spark, odd, none):
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no tables here")
 def test_oracles(spark):
     con = duckdb.connect()
-    con.execute(f"create view conversations as select * from '{FOLDER}/conversations.parquet'")
+    for name in ("documents", "conversations"):
+        con.execute(f"create view {name} as select * from '{FOLDER}/{name}.parquet'")
     for name, sql in queries.ORACLE_SQL.items():
         got = queries.QUERIES[name](spark, FOLDER)
         want = con.execute(sql)
