@@ -10,7 +10,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from geoloom.sources.tables import cut
 
@@ -214,7 +213,3 @@ def shadowed_share(lines: DataFrame, reach: float, spacing: float, angle_deg: fl
     hit = met.where((far2 <= reach * reach) & along).select("own", "k").distinct().groupBy("own").agg(F.count("*").alias("hits"))
     total = sampled.groupBy("id").agg(F.count("*").alias("samples"))
     return total.join(hit.withColumnRenamed("own", "id"), "id", "left").select("id", "samples", (F.coalesce("hits", F.lit(0)) / F.col("samples")).alias("shadowed"))
-
-
-def longest_first(lines: DataFrame, group: str, order: list) -> DataFrame:
-    return lines.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(*order)).cast("bigint"))

@@ -69,7 +69,6 @@ def despike(spark, sf_dir):
     return raster.despike(view(spark, sf_dir, "grid"), "v").withColumn("spike", F.coalesce("spike", F.lit(False)))
 
 
-_RING = """SELECT {cols}, CASE WHEN MAX(v) - MIN(v) > 2 THEN MIN(v) ELSE quantile_cont(v, 0.5) END AS v"""
 
 
 @query(with_views("grid", ", w AS (SELECT r AS row, c AS col FROM (SELECT unnest(range(60)) AS r), (SELECT unnest(range(60)) AS c)), h0 AS (SELECT row, col, v FROM grid)" + "".join(
