@@ -28,7 +28,6 @@ BUCKETS = 24
 #: Steps of an octave to which EM rounds probabilities: its table has at most BUCKETS * 400 * 400 rows, whatever the corpus.
 STEPS = 4
 ITERATIONS = 60
-_LOW = np.uint64((1 << 40) - 1)
 
 TUNING, TRAINING, HELD_OUT, TOTALS = 0, 1, 2, 3
 _ASK = "range int, block int, words binary, word_counts binary, pairs binary, pair_counts binary"
@@ -38,7 +37,7 @@ _SCORED = "doc_id bigint, role int, pair_counts array<int>, word_counts array<in
 
 def _ranges(hashes: np.ndarray, n: int) -> np.ndarray:
     """The bounds in ascending hashes of n equal ranges of the hash space."""
-    return np.searchsorted(hashes, np.array([(k << 64) // n for k in range(1, n)], np.uint64)).tolist()
+    return np.searchsorted(hashes, np.array([-(-(k << 64) // n) for k in range(1, n)], np.uint64)).tolist()
 
 
 class Block:
@@ -71,13 +70,21 @@ class Block:
         return found, at, np.stack(counts, axis=1).astype(np.uint32)
 
 
-def _pack40(keys: np.ndarray) -> bytes:
-    return np.ascontiguousarray((keys & _LOW).astype("<u8")[:, None].view(np.uint8)[:, :5]).tobytes()
+def _pack40(keys: np.ndarray, k: int, ranges: int) -> bytes:
+    """The upper 40 bits of what ascending keys have within range k: as steps of four bytes where all are so short, else of five bytes each."""
+    low, high = -(-(k << 64) // ranges), -(-((k + 1) << 64) // ranges)
+    own = (keys - np.uint64(low)) >> np.uint64(max(0, (high - low - 1).bit_length() - 40))
+    steps = np.diff(own, prepend=own[:1] * np.uint64(0))
+    if len(own) and steps.max() < 1 << 32:
+        return b"4" + steps.astype("<u4").tobytes()
+    return b"5" + np.ascontiguousarray(own.astype("<u8")[:, None].view(np.uint8)[:, :5]).tobytes()
 
 
 def _unpack40(packed: bytes) -> np.ndarray:
+    if packed[:1] == b"4":
+        return np.cumsum(np.frombuffer(packed, "<u4", offset=1), dtype=np.uint64)
     out = np.zeros((len(packed) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(packed, np.uint8).reshape(-1, 5)
+    out[:, :5] = np.frombuffer(packed, np.uint8, offset=1).reshape(-1, 5)
     return out.view("<u8").ravel()
 
 
@@ -103,7 +110,7 @@ def _asks(table: pa.Table, ranges: int) -> pa.Table:
     w, p = [0, *_ranges(block.words, ranges), len(block.words)], [0, *_ranges(block.pairs, ranges), len(block.pairs)]
     number = table["block"][0].as_py()
     return _table([
-        (k, number, block.words[w[k] : w[k + 1]].tobytes(), _packed(block.word_counts[w[k] : w[k + 1]]), _pack40(block.pairs[p[k] : p[k + 1]]), _packed(block.pair_counts[p[k] : p[k + 1]]))
+        (k, number, block.words[w[k] : w[k + 1]].tobytes(), _packed(block.word_counts[w[k] : w[k + 1]]), _pack40(block.pairs[p[k] : p[k + 1]], k, ranges), _packed(block.pair_counts[p[k] : p[k + 1]]))
         for k in range(ranges) if w[k] < w[k + 1] or p[k] < p[k + 1]
     ], _ASK)
 
