@@ -129,14 +129,17 @@ def matched(samples: DataFrame, candidates: DataFrame, edges: DataFrame, track:
     from a straight line, leaving or joining the roads a fixed price. A track is matched in one task, with its own roads."""
     def run(key: tuple, s: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         roads = c[c.kind == 1]
-        near = {k: v.sort_values(["distance", "edge"]).head(MOST_CANDIDATES) for k, v in c[c.kind == 0].groupby("seq")}
+        near = defaultdict(list)
+        for q, e, t, d in c[c.kind == 0].sort_values(["seq", "distance", "edge"])[["seq", "edge", "t", "distance"]].itertuples(index=False, name=None):
+            if len(near[q]) < MOST_CANDIDATES:
+                near[q].append((int(e), t, d))
         ends = {int(e.edge): (int(e.a), int(e.b), float(e.length)) for e in roads.itertuples()}
         graph = defaultdict(list)
         for a, b, length in ends.values():
             graph[a].append((b, length))
             graph[b].append((a, length))
         s = s.sort_values("seq")
-        states = [[(int(e), float(t), float(d)) for e, t, d in near[q][["edge", "t", "distance"]].itertuples(index=False) if int(e) in ends] if q in near else [] for q in s.seq]
+        states = [[x for x in near.get(q, ()) if x[0] in ends] for q in s.seq]
         places = s[["x", "y"]].to_numpy(float)
         off = -0.5 * (OFF_M / SIGMA_M) ** 2
         emit = [[-0.5 * (d / SIGMA_M) ** 2 for _, _, d in own] + [off] for own in states]
@@ -155,10 +158,12 @@ def matched(samples: DataFrame, candidates: DataFrame, edges: DataFrame, track:
                 for n in (p, q):
                     if n not in known:
                         known[n] = _distances(graph, n, reach)
+                to_p, to_q = known[p], known[q]
                 for j, (f, u, _) in enumerate(states[k]):
                     a, b, length = ends[f]
-                    way = lambda n: min(t * own + known[p].get(n, math.inf), (1 - t) * own + known[q].get(n, math.inf))  # noqa: B023, E731
-                    d = min(way(a) + u * length, way(b) + (1 - u) * length)
+                    to_a = min(t * own + to_p.get(a, math.inf), (1 - t) * own + to_q.get(a, math.inf))
+                    to_b = min(t * own + to_p.get(b, math.inf), (1 - t) * own + to_q.get(b, math.inf))
+                    d = min(to_a + u * length, to_b + (1 - u) * length)
                     if e == f:
                         d = min(d, abs(u - t) * length)
                     if d <= limit:
