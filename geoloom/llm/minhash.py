@@ -3,9 +3,10 @@
 Equal texts are one node, by their MD5. A node's shingles (five words) weigh (1 + ln tf) * idf. Ioffe's sampling draws one
 shingle and one weight level per hash such that two texts agree with a probability of their weighted Jaccard similarity.
 ROWS hashes make a band; nodes equal in a band are a bucket. A bucket doesn't emit its pairs: similarities estimated from
-all hashes give it a maximum spanning forest and each node's two nearest, which hold any link's ends together at any
-threshold. Those pairs are verified by the weighted Jaccard similarity of the whole texts, and the verified links' connected
-components are the classes. Large buckets go to tasks in chunks, whose representatives meet again.
+all hashes give it a maximum spanning forest and each node's two nearest, and those pairs are verified first, by the weighted
+Jaccard similarity of the whole texts. Large buckets go to tasks in chunks, whose representatives meet again. As estimates
+err and a representative's links aren't its tree's, members of a bucket whom verified links have not in one class are then
+paired across classes, best estimates first, until no pair is left. The verified links' connected components are the classes.
 
 idf is 1 + ln(N / max(df, f N)) / ln(1 / f), between 1 and 2, with f = FREQUENT: only shingles in more than that share of the
 texts count less. There are at most 1 / f times the mean text's shingles of these, whatever the corpus, so they can be
@@ -14,7 +15,7 @@ broadcast; a pass that keeps what is frequent in some part of the corpus finds t
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,8 @@ MOST_FREQUENT = 2_000_000
 CHUNK = 256
 #: Pairs of a lower estimate (of 48 hashes) aren't verified: four standard deviations under 0.8.
 LEAST_ESTIMATE = 0.55
+#: Partners in a block that a member outside its bucket's largest class is verified with at first; eight times as many in each round.
+FIRST_PARTNERS = 8
 _HELD = 1 << 22
 
 _rng = np.random.default_rng(8_1912)
@@ -201,16 +204,30 @@ def _forest(sketches: np.ndarray) -> tuple[list[tuple[int, int]], list[int]]:
 _MET = "key bigint, a binary, b binary, sketch binary"
 
 
+def _whole(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of sorted rows that hold whole groups (equal in names), and the bounds of the groups in each."""
+
+    def differs(table: pa.Table) -> np.ndarray:
+        columns = [table[n].to_numpy() for n in names]
+        return np.any([c[1:] != c[:-1] for c in columns], axis=0)
+
+    rest: pa.Table | None = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+        edges = np.flatnonzero(differs(table)) + 1
+        if len(edges):
+            yield table.slice(0, edges[-1]), np.concatenate([[0], edges])
+        rest = table.slice(edges[-1] if len(edges) else 0)
+    if rest is not None and rest.num_rows:
+        yield rest, np.array([0, rest.num_rows])
+
+
 def _met(members: DataFrame) -> DataFrame:
     """Of each (key, chunk) of members: pairs to verify (a, b), and representatives (key, a, sketch; b null)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: pa.Table | None = None
-
-        def done(table: pa.Table) -> pa.RecordBatch:
-            keys, chunk = table["key"].to_numpy(), table["chunk"].to_numpy()
-            names, sketches = table["node"].to_pylist(), table["sketch"].to_pylist()
-            edges = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (chunk[1:] != chunk[:-1]), [True]]))
+        for table, edges in _whole(batches, ("key", "chunk")):
+            keys, names, sketches = table["key"].to_numpy(), table["node"].to_pylist(), table["sketch"].to_pylist()
             out: list[tuple] = []
             for low, high in zip(edges[:-1], edges[1:], strict=True):
                 own = sorted({names[i]: sketches[i] for i in range(low, high)}.items())
@@ -220,28 +237,21 @@ def _met(members: DataFrame) -> DataFrame:
                 out += [(key, own[i][0], None, own[i][1]) for i in first]
             columns = list(zip(*out, strict=True)) or [[]] * 4
             types = [pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["key", "a", "b", "sketch"])
-
-        for batch in batches:
-            table = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
-            keys, chunk = table["key"].to_numpy(), table["chunk"].to_numpy()
-            same = (keys == keys[-1]) & (chunk == chunk[-1]) if len(keys) else np.zeros(0, bool)
-            cut = int(np.argmax(same)) if len(same) else 0
-            if cut:
-                yield done(table.slice(0, cut))
-            rest = table.slice(cut)
-        if rest is not None and rest.num_rows:
-            yield done(rest)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["key", "a", "b", "sketch"])
 
     dealt = members.select("key", "chunk", "node", "sketch").repartition("key", "chunk").sortWithinPartitions("key", "chunk")
     return dealt.mapInArrow(run, _MET)
 
 
-def candidates(signed: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of nodes to verify. signed: node, bands, sketch, a row for each node."""
+def met_members(signed: DataFrame) -> DataFrame:
+    """key, node, sketch and m (members) of the buckets of two nodes and more. signed: node, bands, sketch, a row for each node."""
     keyed = signed.select("node", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
-    members = written(keyed.join(shared, "key").join(signed.select("node", "sketch"), "node"))
+    return written(keyed.join(shared, "key").join(signed.select("node", "sketch"), "node"))
+
+
+def candidates(members: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of nodes to verify first: those that link most of a bucket's members. members: those of met_members."""
     pairs, level, before = None, 0, None
     while True:
         level += 1
@@ -266,6 +276,75 @@ def candidates(signed: DataFrame) -> DataFrame:
             return pairs.distinct()
 
 
+def apart(members: DataFrame, root: DataFrame, most: int) -> DataFrame:
+    """Pairs (a, b; a < b) of one bucket's members that root (node, root) has not in one class, of an estimate of LEAST_ESTIMATE
+    and more: each member's `most` best in each block; and a row of nulls for each block that has more of them.
+
+    Each member outside a bucket's largest class meets all members, in blocks of about CHUNK by CHUNK."""
+    rooted = members.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = written(rooted)
+    sizes = rooted.groupBy("key", "root").agg(F.count("*").alias("n"))
+    split = sizes.groupBy("key").agg(F.max_by("root", "n").alias("large"), (F.sum("n") - F.max("n")).alias("s")).where("s > 0")
+    rows = rooted.join(split, "key")
+    across, down = F.ceil(F.col("m") / CHUNK), F.ceil(F.col("s") / CHUNK)
+    at = lambda n, salt: F.pmod(F.xxhash64("node", F.lit(salt)), n)
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1))
+    whole = rows.withColumn("other", each(down)).withColumn("block", F.col("other") * across + at(across, 1)).withColumn("outside", F.lit(False))
+    outside = rows.where("root != large").withColumn("other", each(across)).withColumn("block", at(down, 2) * across + F.col("other")).withColumn("outside", F.lit(True))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, edges in _whole(batches, ("key", "block")):
+            names, sketches, roots, outer = table["node"].to_pylist(), table["sketch"].to_pylist(), table["root"].to_pylist(), table["outside"].to_numpy()
+            _, known = np.unique(np.array(roots, object), return_inverse=True)
+            out: set[tuple] = set()
+            for low, high in zip(edges[:-1], edges[1:], strict=True):
+                own = np.arange(low, high)
+                x, y = own[outer[low:high]], own[~outer[low:high]]
+                if not len(x) or not len(y):
+                    continue
+                sx, sy = (np.frombuffer(b"".join(sketches[i] for i in side), "<u2").reshape(len(side), -1) for side in (x, y))
+                near = np.zeros((len(x), len(y)), np.float32)
+                for h in range(sx.shape[1]):
+                    near += sx[:, h][:, None] == sy[:, h][None, :]
+                near[known[x][:, None] == known[y][None, :]] = -1
+                good = near >= LEAST_ESTIMATE * sx.shape[1]
+                if good.sum(axis=1).max() > most:
+                    out.add((None, None))
+                    best = np.argpartition(-near, most - 1, axis=1)[:, :most]
+                    kept = np.zeros_like(good)
+                    np.put_along_axis(kept, best, True, axis=1)
+                    good &= kept
+                for i, j in zip(*np.nonzero(good), strict=True):
+                    a, b = names[x[i]], names[y[j]]
+                    out.add((min(a, b), max(a, b)))
+            a, b = zip(*out, strict=True) if out else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+
+    dealt = whole.unionByName(outside).select("key", "block", "node", "sketch", "root", "outside").repartition("key", "block").sortWithinPartitions("key", "block")
+    return dealt.mapInArrow(run, "a binary, b binary").distinct()
+
+
+def classes(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(node, root) of the nodes that verified pairs of one bucket link, over others too. verify: pairs (a, b) to those that are links.
+
+    First the pairs of candidates; then, while members of a bucket are in several classes, the pairs between these, best first,
+    until none above LEAST_ESTIMATE is left untried."""
+    tried = written(candidates(members).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    links = written(verify(tried))
+    root, most = components(links), FIRST_PARTNERS
+    while True:
+        out = written(apart(members, root, most))
+        fresh = written(out.where("a is not null").join(tried, ["a", "b"], "left_anti"))
+        if not fresh.isEmpty():
+            tried, new = tried.unionByName(fresh), written(verify(fresh))
+            if not new.isEmpty():
+                links = links.unionByName(new)
+                root = components(links)
+        if out.where("a is null").isEmpty():
+            return root
+        most *= 8
+
+
 def similarity(a: tuple, b: tuple, weighted: Frequencies) -> float:
     """Weighted Jaccard similarity of two texts' (shingles, times)."""
     wa, wb = weighted.weights(*a), weighted.weights(*b)
@@ -275,8 +354,7 @@ def similarity(a: tuple, b: tuple, weighted: Frequencies) -> float:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, firsts: DataFrame, weighted: Frequencies, least: float) -> DataFrame:
-    """The pairs (a, b) whose whole texts have that similarity. firsts: node, first (the id of a row that has the text)."""
-    pairs = written(pairs)
+    """The pairs (a, b) whose whole texts have that similarity. pairs: as written. firsts: node, first (the id of a row that has the text)."""
     named = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     wanted = named.join(firsts, "node").select(F.col("node").alias("n"), "first")
     own = texts.join(wanted, (texts["node"] == wanted["n"]) & texts["doc_id"].eqNullSafe(wanted["first"]), "left_semi")
@@ -304,10 +382,9 @@ def near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
     weighted = frequencies(texts)
     rows = written(signatures(texts, weighted))
     signed = written(rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
-    links = verified(candidates(signed), texts, signed.select("node", "first"), weighted, least)
-    root = components(links)
+    root = classes(met_members(signed), lambda pairs: verified(pairs, texts, signed.select("node", "first"), weighted, least))
     rooted = signed.select("node", "first", "copies").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    classes = rooted.groupBy("root").agg(F.min("first").alias("class_id"), F.sum("copies").alias("class_size"))
-    of_node = rooted.select("node", "root").join(classes, "root").select("node", "class_id", "class_size")
+    sizes = rooted.groupBy("root").agg(F.min("first").alias("class_id"), F.sum("copies").alias("class_size"))
+    of_node = rooted.select("node", "root").join(sizes, "root").select("node", "class_id", "class_size")
     out = rows.select("doc_id", "node").join(of_node, "node")
     return out.select("doc_id", "class_id", "class_size", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("keep"))

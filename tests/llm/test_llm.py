@@ -350,6 +350,31 @@ def test_near_duplicates(spark, monkeypatch, chunk):
     assert all(len(groups[r.class_id]) == r.class_size and min(groups[r.class_id]) == r.class_id for r in got)
 
 
+def star_rows(variants):
+    """A base and variants of it that are linked to it, and mostly not to each other."""
+    rng = random.Random(21)
+    base = [f"v{rng.randrange(10**6)}" for _ in range(300)]
+    rows = [(0, " ".join(base))]
+    for _ in range(variants):
+        own = list(base)
+        for k in range(rng.choice([3, 4, 4])):
+            own[rng.randrange(10 + 70 * k, 70 + 70 * k)] = f"n{rng.randrange(10**9)}"
+        rows.append((len(rows), " ".join(own)))
+    return rows
+
+
+@pytest.mark.parametrize(("chunk", "variants"), [(16, 150), (256, 150)])
+def test_near_duplicates_of_a_star(spark, monkeypatch, chunk, variants):
+    monkeypatch.setattr(minhash, "CHUNK", chunk)
+    rows = star_rows(variants)
+    table = texts(spark, rows)
+    groups = collections.defaultdict(set)
+    for r in minhash.near_duplicates(table).collect():
+        groups[r.class_id].add(r.doc_id)
+    want = classes_by_hand(rows, minhash.frequencies(minhash.nodes(table)))
+    assert max(map(len, want)) > variants / 2 and {frozenset(g) for g in groups.values()} == want
+
+
 def test_frequencies_are_exact(spark):
     rows = near_rows()
     weighted = minhash.frequencies(minhash.nodes(texts(spark, rows)), 0.05)
