@@ -154,11 +154,37 @@ def _extended(a: np.ndarray, b: np.ndarray, i: int, j: int) -> tuple[int, int]:
     return int(differs.argmax()) if differs.any() else n, after
 
 
+def _aligned(a: np.ndarray, b: np.ndarray, runs: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """The runs, and all equal runs of a and b that follow one another from these within GAP, near their diagonal."""
+    found: dict[int, set[tuple[int, int, int]]] = {}  # by diagonal
+    for run in runs:
+        found.setdefault(run[0] - run[1], set()).add(run)
+    todo = list(runs)
+    while todo:
+        s, t, n = todo.pop()
+        for i, j, back in ((s + n, t + n, False), (s, t, True)):  # shingles from the run's end on, and before its start
+            if back:
+                u, v = a[max(0, i - GAP - 1) : i][::-1], b[max(0, j - GAP - 1) : j][::-1]
+            else:
+                u, v = a[i : i + GAP + 1], b[j : j + GAP + 1]
+            if not len(u) or not len(v):
+                continue
+            for p, q in np.argwhere(u[:, None] == v[None, :]).tolist():
+                p, q = (i - 1 - p, j - 1 - q) if back else (i + p, j + q)
+                own = found.setdefault(p - q, set())
+                if not any(f <= p < f + m for f, _, m in own):
+                    before, after = _extended(a, b, p, q)
+                    run = (p - before, q - before, before + after)
+                    own.add(run)
+                    todo.append(run)
+    return sorted(set().union(*found.values()))
+
+
 def shared_passages(x: Sequence, y: Sequence, similarity: float) -> list[tuple[int, int, int, int, float]]:
     """(start, shingles) in x and in y, and the Jaccard similarity, of passages of x.least shingles and more that both share.
 
-    Windows are joined under all hashes. Matches grow from their least shingles as far as texts are equal; those a little
-    apart are joined."""
+    Windows are joined under all hashes. Matches grow from their least shingles as far as texts are equal, then on to the
+    equal runs past an edit, whether or not a window has its least shingle there; those a little apart are joined."""
     a, b, least = x.own, y.own, x.least
     if len(a) == len(b) and (a == b).all():
         return [(0, len(a), 0, len(b), 1.0)] if len(a) >= least else []
@@ -174,7 +200,7 @@ def shared_passages(x: Sequence, y: Sequence, similarity: float) -> list[tuple[i
         if a[i] == b[j] and not any(s <= i < s + n and i - s == j - t for s, t, n in runs[-8:]):
             before, after = _extended(a, b, i, j)
             runs.append((i - before, j - before, before + after))
-    runs = sorted(set(runs))
+    runs = _aligned(a, b, sorted(set(runs)))
     joined: list[list[int]] = []  # start and end in a, start and end in b
     for s, t, n in runs:
         for x in joined:

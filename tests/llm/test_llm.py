@@ -612,6 +612,22 @@ def test_compact_windows(values, least):
     assert covered == windows_by_hand(values, least)
 
 
+def test_passages_past_an_edit():
+    rng = random.Random(31)
+    word = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    met = found = 0
+    for _ in range(200):
+        own = word(60)
+        changed = list(own)
+        changed[rng.randrange(5, 55)] = "changed"
+        pair = pa.array([" ".join(word(100) + p + word(100)) for p in (own, changed)])
+        x, y = (passages.Sequence(runs, 46) for runs in passages.text_runs(pair))
+        if any(set(x.minima(k)[0].tolist()) & set(y.minima(k)[0].tolist()) for k in range(passages.HASHES)):
+            met += 1
+            found += any(s == 100 and n == 56 and t == 100 and m == 56 for s, n, t, m, _ in passages.shared_passages(x, y, 0.8))
+    assert met > 150 and found == met
+
+
 def test_passages(spark, odd, none):
     rng = random.Random(12)
     shared = [prose(rng, n, 10_000).split() for n in (50, 60, 90, 200)]
