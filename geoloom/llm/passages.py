@@ -8,7 +8,8 @@ each has that value, so a repeated passage gives equal values under every hash,
 Windows meet by (hash, value), sorted by text; each text is paired with the one before it only, for the texts of one passage
 come in one order under every hash. Pairs that meet under MIN_HASHES of HASHES hashes and more are verified on their whole
 texts: windows of both are joined again, by value and as intervals, the matches around them are extended, and passages that
-are long and similar enough are told. Values that many texts have are dealt to several tasks, whose first texts meet again."""
+are long and similar enough are told. Values that many texts have are dealt to several tasks, by ranges of the order of texts,
+whose first and last texts meet again: so neighbours are the same however many tasks a value goes to."""
 
 from __future__ import annotations
 
@@ -83,6 +84,13 @@ def text_runs(column: pa.Array) -> list[np.ndarray]:
     return [runs[low:high] for low, high in zip(offsets[:-1], offsets[1:], strict=True)]
 
 
+def salts(node: int, split: np.ndarray) -> np.ndarray:
+    """0 where split is 0, else 1 + the node's range of 2^split in the order of nodes; a range of more splits lies in one of fewer."""
+    split = np.minimum(split, 8)
+    place = np.full(len(split), (int(node) + (1 << 63)) & ((1 << 64) - 1), np.uint64)
+    return np.where(split > 0, 1 + (place >> (64 - np.maximum(split, 1)).astype(np.uint64)).astype(np.int64), 0)
+
+
 def windows(texts: DataFrame, weighted: Frequencies, least: int) -> DataFrame:
     """key (hash and value), salt (0: its value is in one task), hash and node of the distinct values of each text's windows."""
     shared = texts.sparkSession.sparkContext.broadcast((weighted.keys, np.log2(np.maximum(1, weighted.counts / (SHARE * weighted.texts)))))
@@ -90,7 +98,7 @@ def windows(texts: DataFrame, weighted: Frequencies, least: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, octaves = shared.value
         for batch in slices(batches):
-            keys, salts, hashes, owners = [], [], [], []
+            keys, dealt, hashes, owners = [], [], [], []
             nodes = batch.column("node").to_numpy()
             for node, own in zip(nodes, text_runs(batch.column("text")), strict=True):
                 if len(own) < least:
@@ -101,36 +109,43 @@ def windows(texts: DataFrame, weighted: Frequencies, least: int) -> DataFrame:
                     keys.append(mix((at ^ _SALT[k]) + np.uint64(k)))
                     place = np.minimum(np.searchsorted(often, at), max(0, len(often) - 1))
                     split = np.where(often[place] == at, np.ceil(octaves[place]), 0).astype(np.int64) if len(often) else np.zeros(len(at), np.int64)
-                    salts.append(np.where(split > 0, 1 + (int(node) & 255) % (1 << np.minimum(split, 8)), 0))
+                    dealt.append(salts(node, split))
                     hashes.append(np.full(len(at), k, np.int8))
                     owners.append(np.full(len(at), node))
             if keys:
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(salts), pa.int16()), pa.array(np.concatenate(hashes), pa.int8()), pa.array(np.concatenate(owners), pa.int64()),
+                    pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(dealt), pa.int16()), pa.array(np.concatenate(hashes), pa.int8()), pa.array(np.concatenate(owners), pa.int64()),
                 ], names=["key", "salt", "hash", "node"])
 
     return texts.select("node", "text").mapInArrow(run, "key bigint, salt smallint, hash tinyint, node bigint")
 
 
 def _neighbours(met: DataFrame) -> DataFrame:
-    """(hash, a, b): texts of one key and salt that follow one another; and (hash, a, null, key) for the first of each dealt key."""
+    """(hash, a, b): texts of one key and salt that follow one another; and (hash, a, null, key) for the first and the last of each dealt key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
+        names, before = ("key", "salt", "node", "hash"), None
+
+        def told(number: np.ndarray, node: np.ndarray, other: pa.Array, key: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(number), pa.array(node), other, pa.array(key)], names=["hash", "a", "b", "key"])
+
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key, salt, node, number = (batch.column(c).to_numpy() for c in ("key", "salt", "node", "hash"))
-            before = [np.concatenate([[last[i] if last else 0], x[:-1]]) for i, x in enumerate((key, salt, node))]
-            same = (before[0] == key) & (before[1] == salt)
-            if last is None:
-                same[0] = False
-            last = (key[-1], salt[-1], node[-1])
-            pair, first = same & (before[2] != node), ~same & (salt > 0)
-            for rows, b in ((pair, before[2][pair]), (first, None)):
-                if rows.any():
-                    other = pa.array(b, pa.int64()) if b is not None else pa.nulls(int(rows.sum()), pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.array(number[rows]), pa.array(node[rows]), other, pa.array(key[rows])], names=["hash", "a", "b", "key"])
+            # the last row of the batch before stands first
+            key, salt, node, number = (batch.column(c).to_numpy() if before is None else np.concatenate([before[c], batch.column(c).to_numpy()]) for c in names)
+            same = (key[1:] == key[:-1]) & (salt[1:] == salt[:-1])
+            pair = np.flatnonzero(same & (node[1:] != node[:-1])) + 1
+            if len(pair):
+                yield told(number[pair], node[pair], pa.array(node[pair - 1], pa.int64()), key[pair])
+            edge = np.flatnonzero(~same)
+            ends = np.union1d(edge, edge + 1) if before is not None else np.union1d(np.append(edge, 0), edge + 1)
+            ends = ends[salt[ends] > 0]
+            if len(ends):
+                yield told(number[ends], node[ends], pa.nulls(len(ends), pa.int64()), key[ends])
+            before = {c: x[-1:] for c, x in zip(names, (key, salt, node, number), strict=True)}
+        if before is not None and before["salt"][0] > 0:
+            yield told(before["hash"], before["node"], pa.nulls(1, pa.int64()), before["key"])
 
     dealt = met.repartition("key", "salt").sortWithinPartitions("key", "salt", "node")
     return dealt.select("key", "salt", "node", "hash").mapInArrow(run, "hash tinyint, a bigint, b bigint, key bigint")

@@ -628,6 +628,15 @@ def test_passages_past_an_edit():
     assert met > 150 and found == met
 
 
+@pytest.mark.parametrize("levels", [(0, 1, 2, 3), (2, 3, 4, 5)])
+def test_passages_dealt_unevenly(spark, levels):
+    rng = random.Random(33)
+    nodes = sorted(rng.randrange(-(1 << 63), 1 << 63) for _ in range(600))
+    rows = [(100 + k, int(passages.salts(n, np.array([split]))[0]), k, n) for n in nodes for k, split in enumerate(levels)]
+    pairs = passages.candidates(spark.createDataFrame(rows, "key bigint, salt smallint, hash tinyint, node bigint"))
+    assert {(r.a, r.b) for r in pairs.collect()} >= set(itertools.pairwise(nodes))
+
+
 def test_passages(spark, odd, none):
     rng = random.Random(12)
     shared = [prose(rng, n, 10_000).split() for n in (50, 60, 90, 200)]
