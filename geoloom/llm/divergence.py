@@ -45,8 +45,8 @@ def _repeat_words(words: str = "words") -> str:
 def statistics(docs: DataFrame) -> DataFrame:
     """doc_id, language (of COMMON, or OTHER), n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, chars and common.
 
-    chars: characters of each class of CHARS. common: words that are the language's first, second ... common word, without
-    case and marks around them; the last is all others."""
+    chars: characters of each class of CHARS. common: words that are the language's first, second ... common word, as they
+    stand, so that one with a capital or a mark at it counts among all others, which are last; judge_sql tells them so too."""
     known = F.lower(docs["lang"].cast("string"))
     rows = docs.select(
         docs["doc_id"].cast("bigint").alias("doc_id"), F.when(known.isin(*COMMON), known).otherwise(F.lit(OTHER)).alias("language"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("t0")
