@@ -5,8 +5,9 @@ shingle and one weight level per hash such that two texts agree with a probabili
 ROWS hashes make a band; nodes equal in a band are a bucket. A bucket doesn't emit its pairs: similarities estimated from
 all hashes give it a maximum spanning forest and each node's two nearest, and those pairs are verified first, by the weighted
 Jaccard similarity of the whole texts. Large buckets go to tasks in chunks, whose representatives meet again. As estimates
-err and a representative's links aren't its tree's, members of a bucket whom verified links have not in one class are then
-paired across classes, best estimates first, until no pair is left. The verified links' connected components are the classes.
+err and a representative's links aren't its tree's, members of a bucket whom verified links have not in one class are then all
+compared across classes, in blocks, exactly: there a product of sparse matrices gives the similarities of thousands of pairs
+at once, and links leave the task, not pairs. The verified links' connected components are the classes.
 
 idf is 1 + ln(N / max(df, f N)) / ln(1 / f), between 1 and 2, with f = FREQUENT: only shingles in more than that share of the
 texts count less. There are at most 1 / f times the mean text's shingles of these, whatever the corpus, so they can be
@@ -32,10 +33,12 @@ FREQUENT = 0.01
 #: Frequent shingles that a broadcast may hold; for longer texts the share FREQUENT goes up instead.
 MOST_FREQUENT = 2_000_000
 CHUNK = 256
-#: Pairs of a lower estimate (of 48 hashes) aren't verified: four standard deviations under 0.8.
-LEAST_ESTIMATE = 0.55
-#: Partners in a block that a member outside its bucket's largest class is verified with at first; eight times as many in each round.
-FIRST_PARTNERS = 8
+#: Bytes of text that one side of a block holds at most, but for one text.
+BLOCK_BYTES = 16 << 20
+COLUMNS = 4096
+#: Pairs of a lower estimate (of 48 hashes) aren't verified: two texts of similarity 0.8 have one with a probability under 1e-6.
+LEAST_ESTIMATE = 0.5
+ROUNDING = 1e-9
 _HELD = 1 << 22
 
 _rng = np.random.default_rng(8_1912)
@@ -158,7 +161,7 @@ def bands_of(sampled: np.ndarray) -> np.ndarray:
 
 
 def signatures(texts: DataFrame, weighted: Frequencies) -> DataFrame:
-    """doc_id, node, bands (64-bit keys) and sketch (two bytes per hash) of each row; no bands where there are no words."""
+    """doc_id, node, bands (64-bit keys), sketch (two bytes per hash) and size (bytes of text) of each row; no bands where there are no words."""
     shared = texts.sparkSession.sparkContext.broadcast(weighted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,9 +171,9 @@ def signatures(texts: DataFrame, weighted: Frequencies) -> DataFrame:
                 sampled = signature(keys, shared.value.weights(keys, times)) if len(keys) else np.zeros(0, np.uint64)
                 bands.append(bands_of(sampled).view(np.int64) if len(keys) else np.zeros(0, np.int64))
                 sketches.append((sampled & _LOW).astype("<u2").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("node"), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=["doc_id", "node", "bands", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("node"), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary()), pa.array(np.diff(text_bytes(batch.column("text"))[1]))], names=["doc_id", "node", "bands", "sketch", "size"])
 
-    return texts.mapInArrow(run, "doc_id bigint, node binary, bands array<bigint>, sketch binary")
+    return texts.mapInArrow(run, "doc_id bigint, node binary, bands array<bigint>, sketch binary, size bigint")
 
 
 def _forest(sketches: np.ndarray) -> tuple[list[tuple[int, int]], list[int]]:
@@ -244,10 +247,10 @@ def _met(members: DataFrame) -> DataFrame:
 
 
 def met_members(signed: DataFrame) -> DataFrame:
-    """key, node, sketch and m (members) of the buckets of two nodes and more. signed: node, bands, sketch, a row for each node."""
+    """key, node, sketch, bands, size and m (members) of the buckets of two nodes and more. signed: node, bands, sketch, size, a row for each node."""
     keyed = signed.select("node", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
-    return written(keyed.join(shared, "key").join(signed.select("node", "sketch"), "node"))
+    return written(keyed.join(shared, "key").join(signed.select("node", "sketch", "bands", "size"), "node"))
 
 
 def candidates(members: DataFrame) -> DataFrame:
@@ -255,48 +258,43 @@ def candidates(members: DataFrame) -> DataFrame:
     pairs, level, before = None, 0, None
     while True:
         level += 1
-        chunks = F.ceil(F.col("m") / CHUNK)
-        dealt = members.withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(level)), chunks))
         rows = members.count()
-        if before is not None and 2 * rows > before:  # nothing joins any more: each chunk meets each other, in blocks
-            met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), chunks - 1)))
-            dealt = met.withColumn("chunk", F.least("chunk", "other") * F.col("m") + F.greatest("chunk", "other"))
-            members = None
-        out = written(_met(dealt))
+        if before is not None and (not rows or 2 * rows > before):  # nothing joins any more; crossing compares the rest
+            return pairs.distinct()
+        out = written(_met(members.withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(level)), F.ceil(F.col("m") / CHUNK)))))
         new = out.where("b is not null").select("a", "b")
         pairs = new if pairs is None else pairs.unionByName(new)
-        if members is None:
-            return pairs.distinct()
         large = members.where(F.col("m") > CHUNK).select("key").distinct()
         first = out.where("b is null").select("key", F.col("a").alias("node"), "sketch").join(large, "key", "left_semi")
         counts = first.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
-        members = written(first.join(counts, "key"))
+        members = written(first.join(counts, "key").join(members.select("key", "node", "bands", "size"), ["key", "node"]))
         before = rows
-        if members.isEmpty():
-            return pairs.distinct()
 
 
-def apart(members: DataFrame, root: DataFrame, most: int) -> DataFrame:
-    """Pairs (a, b; a < b) of one bucket's members that root (node, root) has not in one class, of an estimate of LEAST_ESTIMATE
-    and more: each member's `most` best in each block; and a row of nulls for each block that has more of them.
+def apart(members: DataFrame, root: DataFrame) -> DataFrame:
+    """Rows (key, block, node, outside, root) of members of one bucket whom root (node, root) has in several classes.
 
-    Each member outside a bucket's largest class meets all members, in blocks of about CHUNK by CHUNK."""
+    Each member outside a bucket's largest class meets all its members, in blocks of about CHUNK by CHUNK nodes or BLOCK_BYTES
+    by BLOCK_BYTES of text. A block keeps who has a partner of another class and an estimate of LEAST_ESTIMATE and more whom
+    it doesn't meet in an earlier band."""
     rooted = members.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     rooted = written(rooted)
-    sizes = rooted.groupBy("key", "root").agg(F.count("*").alias("n"))
-    split = sizes.groupBy("key").agg(F.max_by("root", "n").alias("large"), (F.sum("n") - F.max("n")).alias("s")).where("s > 0")
+    sizes = rooted.groupBy("key", "root").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+    split = sizes.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("large"), F.sum("n").alias("all"), F.sum("bytes").alias("all_bytes"), F.max(F.struct("n", "root", "bytes")).alias("most")).where("all > most.n")
+    parts = lambda n, size: F.greatest(F.ceil(n / CHUNK), F.ceil(size / BLOCK_BYTES))
+    split = split.select("key", "large", parts(F.col("all"), F.col("all_bytes")).alias("across"), parts(F.col("all") - F.col("most.n"), F.col("all_bytes") - F.col("most.bytes")).alias("down"))
     rows = rooted.join(split, "key")
-    across, down = F.ceil(F.col("m") / CHUNK), F.ceil(F.col("s") / CHUNK)
-    at = lambda n, salt: F.pmod(F.xxhash64("node", F.lit(salt)), n)
-    each = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1))
-    whole = rows.withColumn("other", each(down)).withColumn("block", F.col("other") * across + at(across, 1)).withColumn("outside", F.lit(False))
-    outside = rows.where("root != large").withColumn("other", each(across)).withColumn("block", at(down, 2) * across + F.col("other")).withColumn("outside", F.lit(True))
+    at = lambda n, salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(n))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    whole = rows.withColumn("other", each("down")).withColumn("block", F.col("other") * F.col("across") + at("across", 1)).withColumn("outside", F.lit(False))
+    outside = rows.where("root != large").withColumn("other", each("across")).withColumn("block", at("down", 2) * F.col("across") + F.col("other")).withColumn("outside", F.lit(True))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, edges in _whole(batches, ("key", "block")):
-            names, sketches, roots, outer = table["node"].to_pylist(), table["sketch"].to_pylist(), table["root"].to_pylist(), table["outside"].to_numpy()
-            _, known = np.unique(np.array(roots, object), return_inverse=True)
-            out: set[tuple] = set()
+            sketches, outer, keys = table["sketch"].to_pylist(), table["outside"].to_numpy(), table["key"].to_numpy()
+            bands = table["bands"].combine_chunks().flatten().to_numpy().reshape(table.num_rows, BANDS)
+            _, known = np.unique(np.array(table["root"].to_pylist(), object), return_inverse=True)
+            kept = np.zeros(table.num_rows, bool)
             for low, high in zip(edges[:-1], edges[1:], strict=True):
                 own = np.arange(low, high)
                 x, y = own[outer[low:high]], own[~outer[low:high]]
@@ -306,43 +304,96 @@ def apart(members: DataFrame, root: DataFrame, most: int) -> DataFrame:
                 near = np.zeros((len(x), len(y)), np.float32)
                 for h in range(sx.shape[1]):
                     near += sx[:, h][:, None] == sy[:, h][None, :]
-                near[known[x][:, None] == known[y][None, :]] = -1
-                good = near >= LEAST_ESTIMATE * sx.shape[1]
-                if good.sum(axis=1).max() > most:
-                    out.add((None, None))
-                    best = np.argpartition(-near, most - 1, axis=1)[:, :most]
-                    kept = np.zeros_like(good)
-                    np.put_along_axis(kept, best, True, axis=1)
-                    good &= kept
-                for i, j in zip(*np.nonzero(good), strict=True):
-                    a, b = names[x[i]], names[y[j]]
-                    out.add((min(a, b), max(a, b)))
-            a, b = zip(*out, strict=True) if out else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
-
-    dealt = whole.unionByName(outside).select("key", "block", "node", "sketch", "root", "outside").repartition("key", "block").sortWithinPartitions("key", "block")
-    return dealt.mapInArrow(run, "a binary, b binary").distinct()
-
-
-def classes(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(node, root) of the nodes that verified pairs of one bucket link, over others too. verify: pairs (a, b) to those that are links.
-
-    First the pairs of candidates; then, while members of a bucket are in several classes, the pairs between these, best first,
-    until none above LEAST_ESTIMATE is left untried."""
-    tried = written(candidates(members).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    links = written(verify(tried))
-    root, most = components(links), FIRST_PARTNERS
-    while True:
-        out = written(apart(members, root, most))
-        fresh = written(out.where("a is not null").join(tried, ["a", "b"], "left_anti"))
-        if not fresh.isEmpty():
-            tried, new = tried.unionByName(fresh), written(verify(fresh))
-            if not new.isEmpty():
-                links = links.unionByName(new)
-                root = components(links)
-        if out.where("a is null").isEmpty():
-            return root
-        most *= 8
+                good = (near >= LEAST_ESTIMATE * sx.shape[1]) & (known[x][:, None] != known[y][None, :])
+                for band in range(int(np.flatnonzero(bands[x[0]] == keys[low])[0]) if good.any() else 0):
+                    good &= bands[x, band][:, None] != bands[y, band][None, :]
+                kept[x[good.any(axis=1)]] = True
+                kept[y[good.any(axis=0)]] = True
+            yield from table.select(["key", "block", "node", "outside", "root"]).filter(pa.array(kept)).to_batches()
+
+    dealt = whole.unionByName(outside).select("key", "block", "node", "sketch", "bands", "root", "outside").repartition("key", "block").sortWithinPartitions("key", "block")
+    return dealt.mapInArrow(run, "key bigint, block bigint, node binary, outside boolean, root binary")
+
+
+def similarities(x: list[tuple], y: list[tuple], weighted: Frequencies) -> np.ndarray:
+    """Weighted Jaccard similarities of each text's (shingles, times) in x to each in y.
+
+    The n-th occurrence of a shingle is a feature of its own, of the weight that the n-th adds; so what two texts share is a
+    product of matrices, taken COLUMNS features at a time, whatever the texts' length."""
+    owner = np.repeat(np.arange(len(x) + len(y)), [int(times.sum()) for _, times in (*x, *y)])
+    keys = np.concatenate([np.repeat(k, times) for k, times in (*x, *y)])
+    counts = np.concatenate([times for _, times in (*x, *y)])
+    nth = np.arange(len(keys)) - np.repeat(np.cumsum(counts) - counts, counts) + 1
+    weight = weighted.weights(keys, np.ones(1)).astype(np.float64) * np.where(nth > 1, np.log(nth / np.maximum(nth - 1, 1)), 1)
+    total = np.bincount(owner, weight, len(x) + len(y))
+    feature = mix(keys + mix(nth.astype(np.uint64)))
+    order = np.argsort(feature, kind="stable")
+    feature, owner, weight = feature[order], owner[order], weight[order]
+    column = np.cumsum(np.concatenate([[0], feature[1:] != feature[:-1]])) if len(feature) else np.zeros(0, np.int64)
+    left = owner < len(x)
+    n = column[-1] + 1 if len(column) else 0
+    both = (np.bincount(column, left, n) > 0) & (np.bincount(column, ~left, n) > 0)
+    kept = both[column]
+    column, owner, weight, left = (np.cumsum(both) - 1)[column][kept], owner[kept], weight[kept], left[kept]
+    common = np.zeros((len(x), len(y)))
+    for low in range(0, int(both.sum()), COLUMNS):
+        start, end = np.searchsorted(column, [low, low + COLUMNS])
+        some, who, w, side = column[start:end] - low, owner[start:end], weight[start:end], left[start:end]
+        a, b = np.zeros((len(x), COLUMNS)), np.zeros((len(y), COLUMNS))
+        a[who[side], some[side]] = w[side]
+        b[who[~side] - len(x), some[~side]] = 1
+        common += a @ b.T
+    return common / np.maximum(total[: len(x), None] + total[None, len(x) :] - common, 1e-9)
+
+
+def crossing(left: DataFrame, texts: DataFrame, weighted: Frequencies, least: float) -> DataFrame:
+    """Links (a, b) between classes, as many as join all that a link joins within a block. left: rows of apart. texts: node, text."""
+    shared = texts.sparkSession.sparkContext.broadcast(weighted)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, edges in _whole(batches, ("key", "block")):
+            for low, high in zip(edges[:-1], edges[1:], strict=True):
+                own = table.slice(low, high - low).combine_chunks().to_batches()[0]
+                outer = own.column("outside").to_numpy(zero_copy_only=False)
+                names, roots = own.column("node").to_pylist(), own.column("root").to_pylist()
+                x, y = np.flatnonzero(outer), np.flatnonzero(~outer)
+                if not len(x) or not len(y):
+                    continue
+                told = list(text_shingles(own))
+                near = similarities([told[i] for i in x], [told[i] for i in y], shared.value)
+                goes = {r: r for r in roots}
+
+                def end(r: bytes, goes: dict = goes) -> bytes:
+                    while goes[r] != r:
+                        goes[r] = r = goes[goes[r]]
+                    return r
+
+                out = []
+                for i, j in zip(*np.nonzero(near >= least - ROUNDING), strict=True):
+                    a, b = end(roots[x[i]]), end(roots[y[j]])
+                    if a != b:
+                        goes[a] = b
+                        out.append((names[x[i]], names[y[j]]))
+                if out:
+                    a, b = zip(*out, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+
+    return left.join(texts, "node").repartition("key", "block").sortWithinPartitions("key", "block").mapInArrow(run, "a binary, b binary")
+
+
+def classes(members: DataFrame, texts_of: Callable[[DataFrame], DataFrame], weighted: Frequencies, least: float) -> DataFrame:
+    """(node, root) of the nodes that verified pairs of one bucket link, over others too. texts_of: nodes to (node, text) of them.
+
+    First the pairs of candidates are verified; then, where members of a bucket are in several classes, all pairs of such
+    members that a class doesn't hold already."""
+    pairs = written(candidates(members))
+    links = written(verified(pairs, texts_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b"))), weighted, least))
+    root = components(links)
+    left = written(apart(members, root))
+    if left.isEmpty():
+        return root
+    more = written(crossing(left, texts_of(left.select("node")), weighted, least))
+    return root if more.isEmpty() else components(links.unionByName(more))
 
 
 def similarity(a: tuple, b: tuple, weighted: Frequencies) -> float:
@@ -353,19 +404,16 @@ def similarity(a: tuple, b: tuple, weighted: Frequencies) -> float:
     return float(low / max(wa.sum() + wb.sum() - low, 1e-9))
 
 
-def verified(pairs: DataFrame, texts: DataFrame, firsts: DataFrame, weighted: Frequencies, least: float) -> DataFrame:
-    """The pairs (a, b) whose whole texts have that similarity. pairs: as written. firsts: node, first (the id of a row that has the text)."""
-    named = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = named.join(firsts, "node").select(F.col("node").alias("n"), "first")
-    own = texts.join(wanted, (texts["node"] == wanted["n"]) & texts["doc_id"].eqNullSafe(wanted["first"]), "left_semi")
-    own = written(own.select("node", "text").dropDuplicates(["node"]))
-    both = pairs.join(own.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(own.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
+def verified(pairs: DataFrame, texts: DataFrame, weighted: Frequencies, least: float) -> DataFrame:
+    """The pairs (a, b) whose whole texts have that similarity. texts: node, text of theirs."""
+    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
     shared = texts.sparkSession.sparkContext.broadcast(weighted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "ta", 1 << 20):
-            same = [similarity(x, y, shared.value) >= least for x, y in zip(text_shingles(batch, "ta"), text_shingles(batch, "tb"), strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(same, pa.bool_()))
+        for part in slices(batches, "ta", 1 << 20):
+            for batch in slices(iter([part]), "tb", 1 << 20):
+                same = [similarity(x, y, shared.value) >= least - ROUNDING for x, y in zip(text_shingles(batch, "ta"), text_shingles(batch, "tb"), strict=True)]
+                yield batch.select(["a", "b"]).filter(pa.array(same, pa.bool_()))
 
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary")
 
@@ -381,8 +429,14 @@ def near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
     texts = nodes(docs)
     weighted = frequencies(texts)
     rows = written(signatures(texts, weighted))
-    signed = written(rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
-    root = classes(met_members(signed), lambda pairs: verified(pairs, texts, signed.select("node", "first"), weighted, least))
+    signed = written(rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("size").alias("size")))
+
+    def texts_of(named: DataFrame) -> DataFrame:
+        wanted = named.distinct().join(signed.select("node", "first"), "node").select(F.col("node").alias("n"), "first")
+        own = texts.join(wanted, (texts["node"] == wanted["n"]) & texts["doc_id"].eqNullSafe(wanted["first"]), "left_semi")
+        return written(own.select("node", "text").dropDuplicates(["node"]))
+
+    root = classes(met_members(signed), texts_of, weighted, least)
     rooted = signed.select("node", "first", "copies").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     sizes = rooted.groupBy("root").agg(F.min("first").alias("class_id"), F.sum("copies").alias("class_size"))
     of_node = rooted.select("node", "root").join(sizes, "root").select("node", "class_id", "class_size")

@@ -375,6 +375,45 @@ def test_near_duplicates_of_a_star(spark, monkeypatch, chunk, variants):
     assert max(map(len, want)) > variants / 2 and {frozenset(g) for g in groups.values()} == want
 
 
+def test_similarities():
+    rows = [t for _, t in near_rows()[:60]] + ["a b c d e f " * 40, "a b c d e f " * 30 + "g", "one", ""]
+    own = list(minhash.text_shingles(pa.RecordBatch.from_arrays([pa.array(rows)], names=["text"])))
+    often = np.sort(np.unique(np.concatenate([k for k, _ in own]))[::7])
+    weighted = minhash.Frequencies(1000, 0.01, often, np.arange(len(often)) % 900 + 50.0)
+    for columns in (4096, 16):
+        minhash.COLUMNS = columns
+        got = minhash.similarities(own[:40], own[20:], weighted)
+        want = np.array([[minhash.similarity(x, y, weighted) for y in own[20:]] for x in own[:40]])
+        assert np.allclose(got, want, atol=1e-6)
+    minhash.COLUMNS = 4096
+
+
+def test_near_duplicates_of_two_families(spark, monkeypatch):
+    """Buckets of hundreds that hold two families with similarities of about 0.6 between them; compared with all pairs."""
+    monkeypatch.setattr(minhash, "CHUNK", 64)
+    rng = random.Random(5)
+    first = [f"v{rng.randrange(10**6)}" for _ in range(200)]
+    second = [f"w{rng.randrange(10**6)}" if k % 34 == 7 else w for k, w in enumerate(first)]
+    rows = []
+    for base in (first, second):
+        for _ in range(500):
+            own = list(base)
+            for _ in range(rng.choice([1, 2, 3, 4, 4])):
+                own[rng.randrange(200)] = f"n{rng.randrange(10**9)}"
+            rows.append((len(rows), " ".join(own)))
+    table = texts(spark, rows)
+    weighted = minhash.frequencies(minhash.nodes(table))
+    own = list(minhash.text_shingles(pa.RecordBatch.from_arrays([pa.array([t for _, t in rows])], names=["text"])))
+    near = minhash.similarities(own, own, weighted) >= 0.8
+    root = np.arange(len(rows))
+    while (new := np.array([root[n].min() for n in near])).tolist() != root.tolist():
+        root = new
+    assert len(set(root)) > 2 and 0.5 < minhash.similarities(own[:1], own[500:501], weighted)[0, 0] < 0.75
+    signed = minhash.signatures(minhash.nodes(table), weighted).select("node", "bands", "sketch", "size").distinct()
+    assert minhash.met_members(signed).agg({"m": "max"}).first()[0] > 256
+    assert {r.doc_id: r.class_id for r in minhash.near_duplicates(table).collect()} == dict(enumerate(root.tolist()))
+
+
 def test_frequencies_are_exact(spark):
     rows = near_rows()
     weighted = minhash.frequencies(minhash.nodes(texts(spark, rows)), 0.05)
