@@ -22,13 +22,13 @@ def collapse(turns: DataFrame) -> DataFrame:
     """conv_id, n_turns, copies and texts of the maximal conversations of turns (conv_id, turn, role, text).
 
     Turns go by `turn`, nulls first, and by a hash of role and text where it ties; rows repeated in all four columns count
-    once. A row without conv_id is a conversation of one turn by itself, its id null. Null roles and texts differ from empty
+    once. Each other row without conv_id is a conversation of one turn by itself, its id null. Null roles and texts differ from empty
     ones in comparison and render as empty. Of equal conversations that of the lowest id stays (a null id is lowest), and
     `copies` counts them. Other columns are not read. No turns, no conversations. A conversation is held whole by a task."""
     rows = turns.select(
         turns["conv_id"].cast("bigint").alias("conv_id"), turns["turn"].cast("bigint").alias("turn"), turns["role"].cast("string").alias("role"), turns["text"].cast("string").alias("text")
     ).withColumn("digest", F.expr(f"md5({_part('role')} || {_part('text')})"))
-    rows = rows.withColumn("own", F.expr("coalesce(cast(conv_id as string), digest)"))  # what is one conversation
+    rows = rows.withColumn("own", F.expr("coalesce(cast(conv_id as string), concat(coalesce(cast(turn as string), '-'), ':', digest))"))  # what is one conversation
     logged = rows.groupBy("own", "conv_id").agg(F.expr("sort_array(collect_set(struct(turn, digest))).digest").alias("digests"))
     rolled = "aggregate(digests, named_struct('h', '', 'all', cast(array() as array<string>)), (a, d) -> named_struct('h', md5(a.h || d), 'all', array_append(a.all, md5(a.h || d))), a -> a.all)"
     hashed = logged.withColumn("hashes", F.expr(rolled)).withColumn("whole", F.element_at("hashes", -1))
@@ -48,7 +48,7 @@ def render(turns: DataFrame) -> DataFrame:
 RENDER_SQL = """
 WITH t AS (
   SELECT DISTINCT conv_id, turn, role, text, coalesce(length(role) || ':' || role, '-') || coalesce(length(text) || ':' || text, '-') AS said,
-         coalesce(conv_id::VARCHAR, md5(coalesce(length(role) || ':' || role, '-') || coalesce(length(text) || ':' || text, '-'))) AS own
+         coalesce(conv_id::VARCHAR, coalesce(turn::VARCHAR, '-') || ':' || md5(coalesce(length(role) || ':' || role, '-') || coalesce(length(text) || ':' || text, '-'))) AS own
   FROM conversations
 ), c AS (
   SELECT own, conv_id, list(md5(said) ORDER BY turn NULLS FIRST, md5(said)) AS d,

@@ -33,14 +33,11 @@ _PAD = np.uint64(0x5851F42D4C957F2D)
 def plain_words(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(offsets, hashes) of words without case (A-Z) and without marks around them; words of marks only are none."""
     offsets, starts, ends = spans(raw, bounds)
-    for _ in range(4):  # up to four marks on either side
-        go = (ends > starts) & _MARKS[raw[np.minimum(starts, max(0, len(raw) - 1))]] if len(raw) else np.zeros(0, bool)
-        starts = starts + go
-        go = (ends > starts) & _MARKS[raw[np.maximum(ends - 1, 0)]] if len(raw) else go
-        ends = ends - go
-    kept = ends > starts
+    told = np.flatnonzero(~_MARKS[raw])  # what isn't a mark: a word is from its first to its last
+    first, last = np.searchsorted(told, starts), np.searchsorted(told, ends)
+    kept = first < last
     counts = np.concatenate([[0], np.cumsum(kept)])
-    return counts[offsets], hash_spans(LOWER[raw], starts[kept], ends[kept])
+    return counts[offsets], hash_spans(LOWER[raw], told[first[kept]], told[last[kept] - 1] + 1)
 
 
 def edit_distances(a: np.ndarray, b: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -172,6 +169,35 @@ class Index:
                 yield (int(d[w[i]]), int(k[i])), (int(edits[i]), int(starts[w[i]]), int(lengths[w[i]]))
 
 
+def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
+    """The items in order, BLOCK_BYTES at a time: the driver holds a block and a partition, not the benchmark."""
+    items = benchmark.select(benchmark["item_id"].cast("bigint").alias("item_id"), benchmark["text"].cast("string").alias("text")).where("text is not null")
+    block, held = [], 0
+    for item, text in items.orderBy("item_id", "text").toLocalIterator():
+        if held + len(text) > BLOCK_BYTES and block:
+            yield block
+            block, held = [], 0
+        block.append((item, text))
+        held += len(text)
+    yield block
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, recall: float = 0.99, samples: int = 4, least_words: int = 8, seed: int = 11) -> DataFrame:
+    """The rows of docs, all columns of theirs, that contaminated tells of no item. Each row is judged by itself, whatever its
+    id; all blocks of the benchmark are looked through in one pass over docs, and nothing is shuffled."""
+    out = docs
+    for block in _blocks(benchmark):
+        shared = docs.sparkSession.sparkContext.broadcast(Index(block, similarity, recall, samples, least_words, seed))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for part in slices(batches, most=4 << 20):
+                found = {row[0] for row in shared.value.find(*plain_words(*text_bytes(part.column("text"))))}
+                yield part.filter(pa.array([k not in found for k in range(part.num_rows)], pa.bool_()))
+
+        out = out.mapInArrow(run, docs.schema)
+    return out
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, recall: float = 0.99, samples: int = 4, least_words: int = 8, seed: int = 11) -> DataFrame:
     """One row (OUT) per row of docs and benchmark item that some window of the text is within the allowed edits of.
 
@@ -182,16 +208,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8,
     items and null, empty and short texts match nothing. Repeated rows match each; other columns are not read. The
     benchmark goes to the executors in blocks of BLOCK_BYTES at most, each searched for in all texts."""
     texts = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    items = benchmark.select(benchmark["item_id"].cast("bigint").alias("item_id"), benchmark["text"].cast("string").alias("text")).where("text is not null")
-    blocks: list[list[tuple[int, str]]] = [[]]
-    held = 0
-    for item, text in items.orderBy("item_id", "text").toLocalIterator():
-        if held + len(text) > BLOCK_BYTES and blocks[-1]:
-            blocks.append([])
-            held = 0
-        blocks[-1].append((item, text))
-        held += len(text)
-    found = [_search(texts, Index(block, similarity, recall, samples, least_words, seed)) for block in blocks]
+    found = [_search(texts, Index(block, similarity, recall, samples, least_words, seed)) for block in _blocks(benchmark)]
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)

@@ -21,6 +21,9 @@ COMMON = {
 OTHER = "other"
 SPACES = r"[\\x20\\x09-\\x0D]"
 CHARS = ("lower", "space", "upper", "digit", "symbol", "mark", "line", "rest")
+#: What is taken off either end of a word before it is compared with the common ones.
+MARKS = ".,;:!?\"()[]{}|#*$%&<>-"
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _STEPS = ("[a-z]+", " +", "[A-Z]+", "[0-9]+", r"[#*$%&|<>]+", r"[.,;:!?\'\"()-]+", r"[\\x09-\\x0D]+")
 
 
@@ -45,8 +48,8 @@ def _repeat_words(words: str = "words") -> str:
 def statistics(docs: DataFrame) -> DataFrame:
     """doc_id, language (of COMMON, or OTHER), n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, chars and common.
 
-    chars: characters of each class of CHARS. common: words that are the language's first, second ... common word, as they
-    stand, so that one with a capital or a mark at it counts among all others, which are last; judge_sql tells them so too."""
+    chars: characters of each class of CHARS. common: words that are the language's first, second ... common word, without
+    case (A-Z) and without MARKS around them; all others come last."""
     known = F.lower(docs["lang"].cast("string"))
     rows = docs.select(
         docs["doc_id"].cast("bigint").alias("doc_id"), F.when(known.isin(*COMMON), known).otherwise(F.lit(OTHER)).alias("language"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("t0")
@@ -55,7 +58,9 @@ def statistics(docs: DataFrame) -> DataFrame:
         rows = rows.withColumn(f"t{k + 1}", F.expr(f"regexp_replace(t{k}, '{pattern}', '')"))
     lists = "CASE language " + " ".join(f"WHEN '{k}' THEN array({', '.join(map(repr, v))})" for k, v in COMMON.items()) + " ELSE cast(array() as array<string>) END"
     rows = rows.withColumn("words", F.expr(f"filter(split(t0, '{SPACES}+'), w -> w != '')"))
-    rows = rows.withColumn("ranks", F.expr(_let(lists, "c", "filter(transform(words, w -> array_position(c, w)), p -> p > 0)")))
+    marks = "[" + "".join(f"\\\\{c}" for c in MARKS) + "]*"
+    plain = f"split(concat(' ', translate(t0, '{_UPPER}', '{_LOWER}'), ' '), '{marks}{SPACES}+{marks}')"
+    rows = rows.withColumn("ranks", F.expr(_let(lists, "c", f"filter(transform({plain}, w -> array_position(c, w)), p -> p > 0)")))
     lines = f"filter(split(t0, '\\n'), l -> l rlike '[^\\\\x20\\\\x09-\\\\x0D]')"
     size = [F.length(f"t{k}") for k in range(len(CHARS))]
     chars = F.array(*(size[k] - size[k + 1] for k in range(len(CHARS) - 1)), size[-1])
@@ -114,16 +119,18 @@ def judge_sql(most_chars: float = 0.22, most_common: float = 0.35, least_chars:
         term = lambda x, y: f"CASE WHEN {x} > 0 THEN {x} * log2(2 * {x} / ({x} + {y})) ELSE 0 END"
         return f"round(sqrt(greatest(0, {' + '.join(f'({term(f"{p}[{k}]", f"{q}[{k}]")} + {term(f"{q}[{k}]", f"{p}[{k}]")}) / 2' for k in range(1, n + 1))})), 6)"
 
+    marks = "[" + "".join(f"\\{c}" for c in MARKS) + "]*"
+    plain = f"regexp_split_to_array(' ' || translate(t0, '{_UPPER}', '{_LOWER}') || ' ', '{marks}{word}+{marks}')"
     mean = lambda c, n: f"[{', '.join(f'avg({c}[{k}])' for k in range(1, n + 1))}]"
     far = f"(word_chars >= {least_chars} AND coalesce(chars_distance, 0) > {most_chars}) OR (n_words >= {least_words} AND coalesce(common_distance, 0) > {most_common})"
     return f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t0, CASE WHEN lower(lang) IN ({", ".join(map(repr, COMMON))}) THEN lower(lang) ELSE '{OTHER}' END AS language FROM documents),
-w AS (SELECT r, list_filter(regexp_split_to_array(t0, '{word}+'), lambda x: x <> '') AS w, list_filter(string_split(t0, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+w AS (SELECT r, {plain} AS v, list_filter(regexp_split_to_array(t0, '{word}+'), lambda x: x <> '') AS w, list_filter(string_split(t0, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
 g AS (SELECT r, i, w[i:i + 4] AS g FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS i FROM w)),
 n AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + 5)) AS p FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS c FROM g) WHERE c > 1) GROUP BY r),
 {", ".join(stages)},
 m AS (SELECT s7.r, doc_id, language, [{chars}] AS chars, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(t4) - length(t5) AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(n.n, 0) AS n_repeat_words,
-  list_transform(range(1, 21), lambda k: CASE WHEN language = '{OTHER}' THEN 0 ELSE len(list_filter(w, lambda x: x = MAP {{{lists}}}[language][k])) END) AS c FROM s7 JOIN w USING (r) LEFT JOIN n USING (r)),
+  list_transform(range(1, 21), lambda k: CASE WHEN language = '{OTHER}' THEN 0 ELSE len(list_filter(v, lambda x: x = MAP {{{lists}}}[language][k])) END) AS c FROM s7 JOIN w USING (r) LEFT JOIN n USING (r)),
 b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, list_append(c, n_words - list_sum(c)) AS common FROM m),
 p AS (SELECT *, list_transform(chars, lambda v: CASE WHEN list_sum(chars) = 0 THEN 0 ELSE v / list_sum(chars) END) AS ps, list_transform(common, lambda v: CASE WHEN n_words = 0 THEN 0 ELSE v / n_words END) AS ws FROM b),
 q AS (SELECT language, {mean("ps", 8)} AS qc, {mean("ws", 21)} AS qw FROM p WHERE NOT base_failed AND n_words >= {least_words} GROUP BY language),

@@ -419,11 +419,11 @@ def verified(pairs: DataFrame, texts: DataFrame, weighted: Frequencies, least: f
 
 
 def near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
-    """doc_id, class_id, class_size and keep of each row of docs.
+    """doc_id, class_id, class_size, keep and text_md5 of each row of docs.
 
     A class holds all rows whose texts are equal or linked, over other texts too, by a weighted Jaccard similarity of at
-    least `least`; class_id is its lowest doc_id (null if all are null) and class_size counts its rows. keep marks the rows
-    of class_id's value. Null texts count as empty. Texts without words are linked to equal texts only; one of fewer than
+    least `least`; class_id is its lowest doc_id (null if all are null) and class_size counts its rows. keep marks one text of the
+    rows of class_id's value: one row of a class, unless rows repeat in both doc_id and text. Null texts count as empty. Texts without words are linked to equal texts only; one of fewer than
     five words has one shingle, of all of them. Rows with one doc_id and other texts are rows like any other. Other columns
     are not read. No rows, no result. LSH finds a link at 0.8 with a probability over 0.9999."""
     texts = nodes(docs)
@@ -438,7 +438,8 @@ def near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
 
     root = classes(met_members(signed), texts_of, weighted, least)
     rooted = signed.select("node", "first", "copies").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    sizes = rooted.groupBy("root").agg(F.min("first").alias("class_id"), F.sum("copies").alias("class_size"))
-    of_node = rooted.select("node", "root").join(sizes, "root").select("node", "class_id", "class_size")
+    lowest = F.min(F.struct(F.col("first").isNull().alias("none"), "first", "node")).alias("kept")
+    sizes = rooted.groupBy("root").agg(lowest, F.sum("copies").alias("class_size"))
+    of_node = rooted.select("node", "root").join(sizes, "root").select("node", F.col("kept.first").alias("class_id"), "class_size", (F.col("node") == F.col("kept.node")).alias("kept"))
     out = rows.select("doc_id", "node").join(of_node, "node")
-    return out.select("doc_id", "class_id", "class_size", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("keep"))
+    return out.select("doc_id", "class_id", "class_size", (F.col("kept") & F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("keep"), F.col("node").alias("text_md5"))

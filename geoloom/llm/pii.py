@@ -2,14 +2,21 @@
 
 A found value is a number within its format: the digits of a card without the check digit, an address's 32 bits, a day
 of two centuries. A keyed Feistel permutation of that format's numbers gives the pseudonym's, written as the value was.
-So a pseudonym is as valid as its value, two values never share one, and equal values get equal ones in all documents."""
+So a pseudonym is as valid as its value and has its format, two values never share one, and equal values get equal ones in all
+documents.
+
+A date's format is its order, its separator and the digits of its day and month: 1/2/2020 becomes another date of one-digit
+day and month. What can be day first is; month first are only those whose second number is over 12, and they stay among
+themselves. Dates written in full, year first or day first, are linked; those of fewer digits only among their likes."""
 
 from __future__ import annotations
 
 import datetime as dt
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,7 +27,6 @@ from geoloom.llm.shared import as_text, slices
 
 ROUNDS = 8
 FIRST_DAY, LAST_DAY = dt.date(1900, 1, 1), dt.date(2099, 12, 31)
-DAYS = (LAST_DAY - FIRST_DAY).days + 1
 
 #: What may be personal; each find is validated before it counts.
 PATTERN = re.compile(
@@ -119,22 +125,28 @@ def _number(found: str, key: bytes, inverse: bool) -> str:
     return _filled(found, digits(re.sub(r"\D", "", found), key, inverse))
 
 
+@cache
+def days_of(day_digits: int, month_digits: int, month_first: bool) -> list[int]:
+    """The days, as ordinals, that are written with so many digits; month first: those that can't be read as day first."""
+    every = map(dt.date.fromordinal, range(FIRST_DAY.toordinal(), LAST_DAY.toordinal() + 1))
+    return [x.toordinal() for x in every if (day_digits == 2 or x.day < 10) and (month_digits == 2 or x.month < 10) and (not month_first or x.day > 12)]
+
+
 def _date(found: str, key: bytes, inverse: bool) -> str | None:
     sep = re.search(r"\D", found)[0]
     parts = found.split(sep)
-    orders = [(0, 1, 2)] if len(parts[0]) == 4 else [(2, 1, 0), (2, 0, 1)]  # day before month where both are possible
-    for y, m, d in orders:
-        try:
-            day = dt.date(int(parts[y]), int(parts[m]), int(parts[d]))
-        except ValueError:
-            continue
-        if not FIRST_DAY <= day <= LAST_DAY:
-            return None
-        new = FIRST_DAY + dt.timedelta(walked((day - FIRST_DAY).days, DAYS, key, inverse))
-        out = [""] * 3
-        out[y], out[m], out[d] = f"{new.year:04d}", f"{new.month:02d}", f"{new.day:02d}"
-        return sep.join(out)
-    return None
+    y, m, d = (0, 1, 2) if len(parts[0]) == 4 else (2, 0, 1) if int(parts[1]) > 12 else (2, 1, 0)
+    try:
+        day = dt.date(int(parts[y]), int(parts[m]), int(parts[d]))
+    except ValueError:
+        return None
+    if not FIRST_DAY <= day <= LAST_DAY:
+        return None
+    days = days_of(len(parts[d]), len(parts[m]), (m, d) == (0, 1))
+    new = dt.date.fromordinal(days[walked(bisect_left(days, day.toordinal()), len(days), key, inverse)])
+    out = [""] * 3
+    out[y], out[m], out[d] = f"{new.year:04d}", f"{new.month:0{len(parts[m])}d}", f"{new.day:0{len(parts[d])}d}"
+    return sep.join(out)
 
 
 def _ip(found: str, key: bytes, inverse: bool) -> str | None:
@@ -175,9 +187,10 @@ def _ssn(found: str, key: bytes, inverse: bool) -> str | None:
 
 
 def _email(found: str, key: bytes, inverse: bool) -> str:
-    name, _, host = found.lower().partition("@")
-    host, _, top = host.rpartition(".")
-    return f"{letters(f'{name}@{host}', key, inverse)}.{top}"
+    """Case stays where it was: addresses that differ in it only get pseudonyms that differ in it only."""
+    rest, _, top = found.rpartition(".")
+    new = letters(rest.lower(), key, inverse)
+    return "".join(c.upper() if old.isupper() else c for c, old in zip(new, rest, strict=True)) + f".{top}"
 
 
 def _secret(found: str, key: bytes, inverse: bool) -> str:
@@ -217,11 +230,15 @@ def pseudonymized(text: str, key: bytes) -> tuple[str, list[tuple[str, int, str]
 FOUND = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("value", T.StringType())]))
 
 
-def pseudonymize(docs: DataFrame, key: bytes = b"rotate me", text: str = "text") -> DataFrame:
+def pseudonymize(docs: DataFrame, key: bytes, text: str = "text") -> DataFrame:
     """docs with `text` pseudonymized, and a column pii_found of (kind, start, value) for what stands there now.
 
+    Who has the key can invert all pseudonyms, so it is the caller's to keep; 1 to 64 bytes.
+
     Every row and every other column stays (a column named pii_found is replaced). A null text stays null, with no finds;
     an empty text and one without finds stay as they are. Equal values get equal pseudonyms under one key, in any row."""
+    if not 1 <= len(key) <= 64:
+        raise ValueError("the key must have 1 to 64 bytes")
     docs = docs.drop("pii_found")
     schema = T.StructType([*docs.schema.fields, T.StructField("pii_found", FOUND)])
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("value", pa.string())]))
@@ -238,7 +255,7 @@ def pseudonymize(docs: DataFrame, key: bytes = b"rotate me", text: str = "text")
     return docs.mapInArrow(run, schema)
 
 
-def linked(docs: DataFrame) -> DataFrame:
+def linked(docs: DataFrame, key: bytes) -> DataFrame:
     """doc_id, text, n_found and found (the pseudonyms, by which documents are linked) of each row."""
-    out = pseudonymize(docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"].cast("string").alias("text")))
+    out = pseudonymize(docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"].cast("string").alias("text")), key)
     return out.select("doc_id", "text", F.size("pii_found").cast("bigint").alias("n_found"), F.transform("pii_found", lambda x: x["value"]).alias("found"))

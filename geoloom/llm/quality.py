@@ -2,7 +2,8 @@
 
 Each class has a Gaussian whose covariance is shrunk towards the pooled one and then towards a sphere. A score is the
 posterior from the difference of the two log densities, whose Mahalanobis distances come from Cholesky factors that are
-computed once on the driver. Labels, language, source and id are never inputs."""
+computed and inverted once on the driver. How much is shrunk is chosen by cross-validation within the training folds.
+Labels, language, source and id are never inputs."""
 
 from __future__ import annotations
 
@@ -21,6 +22,10 @@ FEATURES = (
     "new_words", "same_neighbours", "repeated_runs", "short_words", "words_per_line",
 )
 
+#: Shares (towards the pooled covariance, towards a sphere) among which cross-validation chooses.
+SHRINKAGES = [(pooled, sphere) for pooled in (0.0, 0.1, 0.3, 0.6, 0.9) for sphere in (0.01, 0.05, 0.1, 0.2, 0.4)]
+TRAINING = (1, 2, 3, 4)
+
 _CLASSES = np.zeros((256, 6), bool)
 _CLASSES[65:91, 0] = True
 _CLASSES[48:58, 1] = True
@@ -92,7 +97,7 @@ def document_features(docs: DataFrame) -> DataFrame:
 
 
 class Discriminant:
-    """Weights of the score: per class mean, log density offset and Cholesky factor of the shrunk covariance."""
+    """Weights of the score: per class mean, inverse of the shrunk covariance's Cholesky factor, and log density offset."""
 
     def __init__(self, moments: dict[int, tuple[int, np.ndarray, np.ndarray]], pooled_share: float, sphere_share: float):
         total = sum(n for n, _, _ in moments.values())
@@ -109,27 +114,91 @@ class Discriminant:
             mixed = (1 - pooled_share) * own[y] + pooled_share * pooled
             mixed = (1 - sphere_share) * mixed + sphere_share * np.eye(len(mean)) * max(np.trace(mixed) / len(mean), 1e-6)
             factor = np.linalg.cholesky(mixed)
-            self.parts.append((means[y], factor, np.log(moments[y][0] / total) - np.log(np.diag(factor)).sum()))
+            self.parts.append((means[y], np.linalg.inv(factor), np.log(moments[y][0] / total) - np.log(np.diag(factor)).sum()))
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         z = (x - self.mean) / self.spread
-        density = [offset - 0.5 * (np.linalg.solve(factor, (z - mean).T) ** 2).sum(axis=0) for mean, factor, offset in self.parts]
+        density = [offset - 0.5 * (((z - mean) @ inverse.T) ** 2).sum(axis=1) for mean, inverse, offset in self.parts]
         return 1 / (1 + np.exp(np.clip(density[0] - density[1], -700, 700)))
 
 
-def fit(rows: DataFrame, pooled_share: float = 0.3, sphere_share: float = 0.2) -> Discriminant | None:
-    """From all rows (x, y): one aggregate of first and second moments per class, two rows for the driver. None without both classes."""
+Moments = dict[int, tuple[int, np.ndarray, np.ndarray]]
+
+
+def moments_of(rows: DataFrame) -> dict[int, Moments]:
+    """By fold and class y of all rows (x, y, fold): their number, sums and sums of products. One aggregate; eight rows for the driver."""
     d = len(FEATURES)
     pairs = [(i, j) for i in range(d) for j in range(i, d)]
     x = F.col("x")
     sums = [F.sum(x[i]) for i in range(d)] + [F.sum(x[i] * x[j]) for i, j in pairs]
-    moments = {}
-    for row in rows.groupBy("y").agg(F.count("*").alias("n"), F.array(*sums).alias("s")).collect():
+    out: dict[int, Moments] = {}
+    for row in rows.groupBy("fold", "y").agg(F.count("*").alias("n"), F.array(*sums).alias("s")).collect():
         second = np.zeros((d, d))
         for (i, j), v in zip(pairs, row["s"][d:], strict=True):
             second[i, j] = second[j, i] = v
-        moments[row["y"]] = (row["n"], np.array(row["s"][:d]), second)
-    return Discriminant(moments, pooled_share, sphere_share) if {0, 1} <= set(moments) else None
+        out.setdefault(row["fold"], {})[row["y"]] = (row["n"], np.array(row["s"][:d]), second)
+    return out
+
+
+def summed(parts: list[Moments]) -> Moments:
+    return {y: tuple(sum(p[y][k] for p in parts if y in p) for k in range(3)) for y in sorted({y for p in parts for y in p})}
+
+
+def losses(rows: DataFrame, models: dict[int, list[Discriminant]]) -> list[float]:
+    """The log loss of each of SHRINKAGES over all rows (x, y, fold), each row scored by models of the other folds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.asarray(batch.column("x").flatten()).reshape(batch.num_rows, len(FEATURES))
+            y, fold = batch.column("y").to_numpy(), batch.column("fold").to_numpy()
+            total = np.zeros(len(SHRINKAGES))
+            for f, own in models.items():
+                at = fold == f
+                for k, model in enumerate(own):
+                    score = np.clip(model.scores(x[at]), 1e-6, 1 - 1e-6)
+                    total[k] -= np.log(np.where(y[at] == 1, score, 1 - score)).sum()
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int32()), pa.array(total)], names=["k", "loss"])
+
+    told = dict(rows.mapInArrow(run, "k int, loss double").groupBy("k").agg(F.sum("loss")).collect())
+    return [told.get(k, 0.0) for k in range(len(SHRINKAGES))]
+
+
+def fit(rows: DataFrame, shrinkage: tuple[float, float] | None = None) -> Discriminant | None:
+    """From all rows (x, y, fold). shrinkage: None for the one of SHRINKAGES with the least cross-validated log loss (the first
+    of these; the middle one where a fold leaves a class empty). None without both classes."""
+    parts = moments_of(rows)
+    whole = summed(list(parts.values()))
+    if not {0, 1} <= set(whole):
+        return None
+    if shrinkage is None:
+        rest = {f: summed([p for g, p in parts.items() if g != f]) for f in parts}
+        shrinkage = SHRINKAGES[len(SHRINKAGES) // 2]
+        if len(parts) > 1 and all({0, 1} <= set(m) for m in rest.values()):
+            loss = losses(rows, {f: [Discriminant(m, *s) for s in SHRINKAGES] for f, m in rest.items()})
+            shrinkage = SHRINKAGES[int(np.argmin(np.round(loss, 6)))]
+    return Discriminant(whole, *shrinkage)
+
+
+def learned(table: DataFrame, labels: DataFrame) -> Discriminant | None:
+    """The model of the rows of table (doc_id, x) that have a label and aren't held out."""
+    known = labels.where("quality in (0, 1) and doc_id is not null").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.min("quality").cast("int").alias("y"))
+    number = fold(F.col("doc_id")).cast("int")
+    return fit(written(table.where(number.isin(*TRAINING)).join(known, "doc_id").select("x", "y", number.alias("fold"))))
+
+
+def passable(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
+    """The rows of docs, all columns of theirs, that classify doesn't reject. Each row is judged by its text, whatever its id;
+    only the features of labelled rows are shuffled."""
+    known = labels.select(F.col("doc_id").cast("bigint").alias("__known")).distinct()
+    some = docs.join(known, docs["doc_id"].cast("bigint") == known["__known"], "left_semi")
+    model = learned(document_features(some), labels)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, most=2 << 20):
+            kept = model.scores(features(*text_bytes(part.column("text")))) >= threshold if model else np.ones(part.num_rows, bool)
+            yield part.filter(pa.array(kept))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
@@ -139,8 +208,7 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Data
     doc_id with several labels counts by the lowest; null labels and ids are not learned from. Without labels of both
     classes every score is 1. Null and empty texts have statistics and so a score; repeated rows are scored each."""
     table = written(document_features(docs))
-    known = labels.where("quality in (0, 1) and doc_id is not null").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.min("quality").cast("int").alias("y"))
-    model = fit(table.where(fold(F.col("doc_id")) != 0).join(known, "doc_id").select("x", "y"))
+    model = learned(table, labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

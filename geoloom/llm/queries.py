@@ -9,6 +9,15 @@ from geoloom.llm import chat, decontamination, divergence, interpolation, minhas
 from geoloom.llm.shared import table
 
 
+#: For queries over synthetic data only; a session that holds real data names its own in KEY_SETTING.
+TRIAL_KEY, KEY_SETTING = b"for synthetic data", "geoloom.pii.key"
+
+
+def pii_key(spark: SparkSession) -> bytes:
+    """The key that the session names, as text; the trial key where it names none."""
+    return (spark.conf.get(KEY_SETTING, None) or "").encode() or TRIAL_KEY
+
+
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
@@ -38,7 +47,7 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.linked(table(spark, sf_dir, "documents"))
+    return pii.linked(table(spark, sf_dir, "documents"), pii_key(spark))
 
 
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,9 +16,11 @@ _WRITTEN: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; where it is unset, as in tests, one of our own is set."""
+    """The folder that the cluster names in spark.checkpoint.dir; where it is unset on one machine, as in tests, one of our own is set."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="llm-checkpoint-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder

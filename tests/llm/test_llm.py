@@ -156,6 +156,14 @@ def test_rules(spark, odd, none):
     assert not divergence.judge(none).count() and divergence.judge(odd).count() == odd.count()
 
 
+def test_rules_common_words(spark):
+    value = 'The road, "of" AND (to) in... a.b -- is) \nThat. it\'s ÀS'
+    row = divergence.statistics(texts(spark, [(1, value)]).selectExpr("*", "'EN' as lang")).first()
+    told = [re.sub(r"^[-.,;:!?\"()\[\]{}|#*$%&<>]+|[-.,;:!?\"()\[\]{}|#*$%&<>]+$", "", w).lower() for w in value.split()]
+    want = [told.count(w) for w in divergence.COMMON["en"]]
+    assert row.common[:20] == want and sum(want) == 7 and row.common[20] == len(value.split()) - sum(want)
+
+
 def test_rules_distance(spark):
     rng = random.Random(6)
     common = "the of and to in a is that for it as was with be by on not this are or".split()
@@ -277,6 +285,26 @@ def test_decontamination(spark, odd, none):
     assert not decontamination.contaminated(texts(spark, rows), benchmark.limit(0)).count()
 
 
+def test_plain_words():
+    values = ["......deep-road!!!!!!", "- -- --- a", "((((((((x))))))))y(", "", "?????????"]
+    raw, bounds = (np.frombuffer("".join(values).encode(), np.uint8), np.cumsum([0, *map(len, values)]))
+    offsets, got = decontamination.plain_words(raw, bounds)
+    want = decontamination.plain_words(np.frombuffer(b"deep-road a x))))))))y", np.uint8), np.array([0, 9, 11, 22]))[1]
+    assert offsets.tolist() == [0, 1, 2, 3, 3, 3] and got.tolist() == want.tolist()
+
+
+def test_clean_tells_what_contaminated_tells(spark, odd, monkeypatch):
+    rng = random.Random(8)
+    items = [(k, prose(rng, 30, 5000)) for k in range(12)]
+    rows = [(k % 7, prose(rng, 40, 5000) + (" " + items[k % 12][1] if k % 3 == 0 else "")) for k in range(40)] + [(None, items[0][1]), (None, "clean")]
+    table, bench = texts(spark, rows).selectExpr("*", "doc_id as more"), spark.createDataFrame(items, "item_id bigint, text string")
+    for size in (8 << 20, 500):
+        monkeypatch.setattr(decontamination, "BLOCK_BYTES", size)
+        kept = [(r.doc_id, r.text, r.more) for r in decontamination.clean(table, bench).collect()]
+        assert sorted(kept, key=repr) == sorted(((i, t, i) for i, t in rows if not any(x in t for _, x in items)), key=repr)
+    assert decontamination.clean(odd, bench).count() == odd.count()
+
+
 def test_decontamination_in_blocks(spark, monkeypatch):
     items = [(k, " ".join(f"q{k}_{j}" for j in range(12))) for k in range(6)]
     monkeypatch.setattr(decontamination, "BLOCK_BYTES", 100)
@@ -546,6 +574,39 @@ def test_quality(spark, odd, none):
     assert sorted(quality.classify(table, flipped).collect()) == sorted(got)  # held-out labels aren't learned from
 
 
+def test_shrinkage_is_cross_validated(spark, monkeypatch):
+    monkeypatch.setattr(quality, "FEATURES", ("a", "b"))
+    rng = np.random.default_rng(8)
+    rows = [([float(v) for v in rng.normal(0.6 * y, 1 + y, 2)], y, int(rng.integers(1, 5))) for y in (0, 1) for _ in range(60)]
+    table = spark.createDataFrame(rows, "x array<double>, y int, fold int")
+    loss = []
+    for pooled, sphere in quality.SHRINKAGES:
+        total = 0
+        for f in quality.TRAINING:
+            own = {y: np.array([x for x, z, g in rows if z == y and g != f]) for y in (0, 1)}
+            model = quality.Discriminant({y: (len(v), v.sum(axis=0), v.T @ v) for y, v in own.items()}, pooled, sphere)
+            total -= sum(math.log(s if y else 1 - s) for (x, y, g) in rows if g == f for s in model.scores(np.array([x])))
+        loss.append(total)
+    parts = quality.moments_of(table)
+    models = {f: [quality.Discriminant(quality.summed([p for g, p in parts.items() if g != f]), *s) for s in quality.SHRINKAGES] for f in parts}
+    assert np.allclose(quality.losses(table, models), loss)
+    at = np.array([[0.3, -1.0], [2.0, 2.0]])
+    whole = quality.summed(list(parts.values()))
+    assert np.allclose(quality.fit(table).scores(at), quality.Discriminant(whole, *quality.SHRINKAGES[int(np.argmin(loss))]).scores(at))
+
+
+def test_passable_is_what_classify_keeps(spark, odd):
+    rng = random.Random(4)
+    rows = [(k, prose(rng, rng.randrange(30, 120), 300) + "." if k % 4 else " ".join(f"W{rng.randrange(300)}!!$$" for _ in range(80))) for k in range(300)]
+    known = spark.createDataFrame([(k, int(k % 4 > 0)) for k in range(300)], "doc_id bigint, quality int")
+    table = texts(spark, [*rows, (None, rows[0][1]), (None, rows[1][1]), (5, rows[4][1])]).selectExpr("*", "text as more")
+    told = {r.doc_id for r in quality.classify(table, known).where("predicted = 0").collect()}
+    kept = quality.passable(table, known).collect()
+    assert len(kept) == 303 - 2 - sum(k % 4 == 0 for k in range(300)) and all(r.text == r.more and not r.text.startswith("W") for r in kept)
+    assert {0, None, 5} <= told and sum(r.doc_id is None for r in kept) == 1
+    assert quality.passable(odd, known.limit(0)).count() == odd.count()
+
+
 def test_discriminant_by_hand():
     rng = np.random.default_rng(5)
     x = {0: rng.normal(0, 1, (300, 3)), 1: rng.normal(1, 0.5, (500, 3))}
@@ -598,13 +659,40 @@ def test_dates_stay_dates(day):
     assert pii.FIRST_DAY <= dt.date.fromisoformat(new) <= pii.LAST_DAY
 
 
+def written_dates():
+    """All forms in which a day is written, with one separator."""
+    for day in (pii.FIRST_DAY + dt.timedelta(k) for k in range(0, (pii.LAST_DAY - pii.FIRST_DAY).days + 1, 1)):
+        d, m = {f"{day.day:02d}", str(day.day)}, {f"{day.month:02d}", str(day.month)}
+        yield from (f"{a}/{b}/{day.year}" for a in d for b in m)
+        if day.day > 12:
+            yield from (f"{b}/{a}/{day.year}" for a in d for b in m)
+        yield day.isoformat()
+
+
+def test_dates_share_no_pseudonym():
+    given_dates = [x for k, x in enumerate(written_dates()) if k % 7 == 0]
+    seen = {}
+    for value in given_dates:
+        new = pii._date(value, KEY, False)
+        assert [len(p) for p in re.split("[-/]", new)] == [len(p) for p in re.split("[-/]", value)]
+        assert pii._date(new, KEY, True) == value and seen.setdefault(new, value) == value
+    assert len(seen) > 40_000 and pii._date("23/09/1901", KEY, False).split("/")[::-1] == pii._date("1901-09-23", KEY, False).split("-")
+
+
+def test_email_case():
+    one, two = (pii.pseudonym("email", v, KEY) for v in ("Ann.Lee@x.org", "ann.lee@x.org"))
+    assert one != two and one.lower() == two and pii.pseudonym("email", one, KEY, inverse=True) == "Ann.Lee@x.org"
+
+
 def test_pii_table(spark, odd, none):
     table = spark.createDataFrame([(1, f"a {SAMPLES['card']} b", 5), (2, f"({SAMPLES['card']})", 6), (3, None, 7), (4, "", 8)], "doc_id bigint, text string, pii_found int")
-    got = {r.doc_id: r for r in pii.pseudonymize(table).collect()}
+    got = {r.doc_id: r for r in pii.pseudonymize(table, KEY).collect()}
     assert got[1].pii_found[0].value == got[2].pii_found[0].value in got[1].text and got[3].text is None and got[4].pii_found == []
-    out = pii.pseudonymize(odd)
+    out = pii.pseudonymize(odd, KEY)
     assert sorted(map(repr, out.select(odd.columns).collect())) == sorted(map(repr, odd.collect()))
-    assert not pii.pseudonymize(none).count()
+    assert not pii.pseudonymize(none, KEY).count()
+    with pytest.raises(ValueError, match="key"):
+        pii.pseudonymize(odd, b"")
 
 
 # 9 chat
@@ -618,6 +706,17 @@ def test_chat(spark):
     assert not chat.render(spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string")).count()
 
 
+def test_chat_without_id(spark):
+    said = [(None, 0, "user", "a"), (None, 1, "user", "a"), (None, 1, "user", "a"), (None, None, "user", "b"), (3, 0, "user", "c"), (3, 1, "user", "d"), (None, 5, "user", "c")]
+    table = spark.createDataFrame(said, "conv_id bigint, turn bigint, role string, text string")
+    got = sorted(((r.conv_id, r.n_turns, r.copies, r.rendered) for r in chat.render(table).collect()), key=repr)
+    line = lambda t: f"<|user|>\n{t}<|end|>\n"
+    assert got == sorted([(3, 2, 1, line("c") + line("d")), (None, 1, 2, line("a")), (None, 1, 1, line("b"))], key=repr)
+    con = duckdb.connect()
+    con.register("conversations", table.toPandas().astype({"conv_id": "Int64", "turn": "Int64"}))
+    assert sorted(con.execute(chat.RENDER_SQL).fetchall(), key=repr) == got
+
+
 @given(st.lists(st.lists(st.integers(0, 2), min_size=1, max_size=5), max_size=12))
 @settings(max_examples=12, deadline=None)
 def test_chat_prefixes(spark, conversations):
