@@ -834,15 +834,30 @@ def test_pipeline(spark):
         before = {r.doc_id: r for r in docs.collect()}
         assert {r["doc_id"] for r in rows} == set(before) - gone[name](docs)
         if name == "PII":
-            assert all(r["n_chars"] == len(r["text"]) and r["text"] == pii.pseudonymized(before[r["doc_id"]].text, b"rotate me")[0] for r in rows)
+            assert all(r["n_chars"] == len(r["text"]) and r["text"] == pii.pseudonymized(before[r["doc_id"]].text, queries.TRIAL_KEY)[0] for r in rows)
         docs = spark.createDataFrame([tuple(r[c] for c in corpus_pipeline.COLUMNS) for r in rows], SCHEMA)
     packed = corpus_pipeline.run(spark, FOLDER).toPandas()
     assert set(packed.doc_id) == {r.doc_id for r in docs.collect()} and packed.groupby("sequence_id").length.sum().max() <= 2048
 
 
+def test_pipeline_rejects_rows_not_ids(spark, tmp_path):
+    rng = random.Random(44)
+    t, u, p, q = (prose(rng, 60, 10**6) for _ in range(4))
+    item = prose(rng, 20, 10**6)
+    rows = [(1, t), (None, t), (None, u), (7, p), (7, t), (8, q), (8, q), (9, p + " more"), (7, f"{q[::-1]} {item}"), (None, item)]
+    docs = texts(spark, rows).selectExpr("doc_id", "text", "'en' as lang", "'a' as source", "cast(length(text) as bigint) as n_chars", "1 as __row")
+    one = corpus_pipeline.one_of_each(spark, docs, "")
+    assert sorted(((r.doc_id, r.text) for r in one.collect()), key=repr) == sorted([(1, t), (None, u), (7, p), (8, q), rows[8], rows[9]], key=repr)
+    spark.createDataFrame([(1, item)], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    left = corpus_pipeline.decontaminate(spark, docs, str(tmp_path))
+    assert sorted(((r.doc_id, r.text) for r in left.collect()), key=repr) == sorted(rows[:8], key=repr)
+
+
 def test_pipeline_odd(spark, odd, none, tmp_path):
     for name, part in (("odd", odd.select(corpus_pipeline.COLUMNS)), ("none", none)):
         part.write.parquet(str(tmp_path / name / "documents.parquet"))
         spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / name / "labels.parquet"))
         spark.createDataFrame([(1, "one two three four five six seven eight nine")], "item_id bigint, text string").write.parquet(str(tmp_path / name / "benchmark.parquet"))
-        assert corpus_pipeline.run(spark, str(tmp_path / name)).count() >= 0
+        got = corpus_pipeline.run(spark, str(tmp_path / name)).collect()
+        # one of each: 1 of those without text, the spaces of 3, the lower of two near copies, both texts of 6, and single ones
+        assert sorted((r.doc_id for r in got if r.start == 0), key=str) == sorted([1, 3, 4, None, 6, 6, 7, 8, -9] if name == "odd" else [], key=str)
