@@ -63,6 +63,11 @@ def partitions_for(df: DataFrame, bytes_each: int = 16 << 20) -> int:
     return conf if size > 1 << 60 else max(conf, -(-size // bytes_each))
 
 
+def tasks_for(table: DataFrame, rows_each: int) -> int:
+    """Tasks for a table, as written, of which some thousands of rows keep a task busy however few bytes they are."""
+    return max(1, min(10_000, -(-table.count() // rows_each)))
+
+
 def as_text(column: pa.ChunkedArray | pa.Array) -> pa.Array:
     """One string array without nulls: a null text counts as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -2,6 +2,7 @@
 
 import collections
 import datetime as dt
+import difflib
 import itertools
 import math
 import os
@@ -759,22 +760,123 @@ def test_passages_past_an_edit():
         changed = list(own)
         changed[rng.randrange(5, 55)] = "changed"
         pair = pa.array([" ".join(word(100) + p + word(100)) for p in (own, changed)])
-        x, y = (passages.Sequence(runs, 46) for runs in passages.text_runs(pair))
-        if any(set(x.minima(k)[0].tolist()) & set(y.minima(k)[0].tolist()) for k in range(passages.HASHES)):
-            met += 1
-            found += any(s == 100 and n == 56 and t == 100 and m == 56 for s, n, t, m, _ in passages.shared_passages(x, y, 0.8))
-    assert met > 150 and found == met
+        x, y = passages.text_runs(pair)
+        keys = [set(passages.meeting_points(np.array([0, len(v)]), v, 46, *[np.zeros(0)] * 2)[0].tolist()) for v in (x, y)]
+        met += bool(keys[0] & keys[1])
+        found += any(s == 100 and n == 56 and t == 100 and m == 56 for s, n, t, m, _ in passages.shared_passages(x, y, 46, 0.8))
+    assert met >= 190 and found == 200
+
+
+def test_meeting_points_by_hand():
+    rng = random.Random(6)
+    own = [[rng.randrange(60) for _ in range(n)] for n in (9, 3, 0, 30, 8)]
+    runs = np.array([mix_of(v) for x in own for v in x], np.uint64)
+    offsets = np.cumsum([0, *map(len, own)])
+    often, shares = np.sort(np.unique(runs)[::5]), np.linspace(0.01, 0.5, len(np.unique(runs)[::5]))
+    key, text, place, split = passages.meeting_points(offsets, runs, 8, often, shares)
+    ranks = [passages.ranked(runs, k, often, shares) for k in range(passages.HASHES)]
+    want = {}
+    for t, (low, high) in enumerate(itertools.pairwise(offsets)):
+        for i in range(low, high - 7):
+            for number, pair in enumerate(passages.PAIRS):
+                name = (t, number, *(int(ranks[k][i : i + 8].min()) for k in pair))
+                if name not in want or want[name][1] == i - low - 1:
+                    want[name] = (want.get(name, (i - low,))[0], i - low)
+    assert sorted(zip(text.tolist(), place.tolist(), strict=True)) == sorted((t, (first + last + 7) // 2) for (t, *_), (first, last) in want.items())
+    assert sorted(split.tolist()) == sorted(min(a & 15, b & 15) for _, _, a, b in want) and len(set(key.tolist())) == len({w[1:] for w in want})
+
+
+def mix_of(v):
+    return int(passages.mix(np.array([v + 1], np.uint64))[0])
 
 
 @pytest.mark.parametrize("levels", [(0, 1, 2, 3), (2, 3, 4, 5)])
 def test_passages_dealt_unevenly(spark, levels):
     rng = random.Random(33)
     nodes = sorted(rng.randrange(-(1 << 63), 1 << 63) for _ in range(600))
-    rows = [(100 + k, int(passages.salts(n, np.array([split]))[0]), k, n) for n in nodes for k, split in enumerate(levels)]
-    pairs = passages.candidates(spark.createDataFrame(rows, "key bigint, salt smallint, hash tinyint, node bigint"))
+    rows = [(100 + k + 10 * again, int(passages.salts(np.array([n]), np.array([split]))[0]), n, 0) for n in nodes for k, split in enumerate(levels) for again in (0, 1)]
+    pairs = passages.candidates(passages.met(spark.createDataFrame(rows, "key bigint, salt smallint, node bigint, place int")))
     assert {(r.a, r.b) for r in pairs.collect()} >= set(itertools.pairwise(nodes))
 
 
+def passages_by_hand(rows, least=46, similarity=0.8):
+    """Documents in a pair whose aligned passages have that similarity, by all pairs and difflib's equal runs; and the classes."""
+    own = [runs.tolist() for runs in passages.text_runs(pa.array([t for _, t in rows]))]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    hit = set()
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        if len(set(own[i]) & set(own[j])) < 0.8 * least or min(len(own[i]), len(own[j])) < least:
+            continue
+        blocks = [m for m in difflib.SequenceMatcher(None, own[i], own[j], autojunk=False).get_matching_blocks() if m.size]
+        for x in range(len(blocks)):
+            for y in range(x, len(blocks)):
+                u, v = own[i][blocks[x].a : blocks[y].a + blocks[y].size], own[j][blocks[x].b : blocks[y].b + blocks[y].size]
+                gaps = [max(q.a - p.a - p.size, q.b - p.b - p.size) for p, q in itertools.pairwise(blocks[x : y + 1])]
+                if min(len(u), len(v)) >= least and max(gaps, default=0) <= passages.GAP and len(set(u) & set(v)) >= similarity * len(set(u) | set(v)):
+                    hit |= {i, j}
+                    root[find(i)] = find(j)
+    return hit, {frozenset(rows[k][0] for k in hit if find(k) == r) for r in {find(k) for k in hit}}
+
+
+@pytest.mark.parametrize("chunk", [256, 16])
+def test_passages_against_all_pairs(spark, monkeypatch, chunk):
+    """Exact, lightly and heavily edited passages; lines and phrases that half the texts hold; passages made of such lines."""
+    monkeypatch.setattr(passages, "CHUNK", chunk)
+    rng = random.Random(101)
+    word = lambda n: [f"w{rng.randrange(10**8)}" for _ in range(n)]
+    lines, phrase = [word(20) for _ in range(6)], word(5)
+    shared = [word(n) for n in (50, 56, 60, 75, 100, 160, 220)] + [lines[0] + lines[1] + lines[2], lines[3] + lines[4] + lines[5]]
+    rows = []
+    for d in range(300):
+        body = word(rng.randrange(30, 200))
+        for k in range(6):
+            if rng.random() < 0.08:
+                body += lines[k] + word(rng.randrange(6, 30))
+        if d % 2:
+            body += phrase + word(8)
+        if d % 5 == 0:
+            own = list(rng.choice(shared))
+            for at in range(len(own)):
+                if rng.random() < (0, 0.01, 0.05, 0.15)[d // 5 % 4]:
+                    own[at] = word(1)[0]
+            body[len(body) // 2 : len(body) // 2] = own
+        rows.append((d, " ".join(body)))
+    hit, classes = passages_by_hand(rows)
+    got = passages.repeated_passages(texts(spark, rows)).collect()
+    told = collections.defaultdict(set)
+    for r in got:
+        told[r.class_id].add(r.doc_id)
+    assert {r.doc_id for r in got} <= hit and len({r.doc_id for r in got}) >= 0.95 * len(hit) > 25
+    pairs = lambda sets: {p for s in sets for p in itertools.combinations(sorted(s), 2)}
+    assert pairs(told.values()) <= pairs(classes) and len(pairs(told.values())) >= 0.9 * len(pairs(classes))
+
+
+def test_passages_between_texts_that_hold_runs_of_them(spark):
+    """Two texts share 56 words; each five-word run of these stands in texts that share nothing else."""
+    rng = random.Random(77)
+    word = lambda n: [f"w{rng.randrange(10**8)}" for _ in range(n)]
+    own = word(56)
+    rows = [(k, " ".join(word(20) + own + word(20))) for k in (1, 2)]
+    rows += [(10 + k, " ".join(word(24) + own[k % 52 : k % 52 + 5] + word(24))) for k in range(208)]
+    got = passages.repeated_passages(texts(spark, rows)).collect()
+    assert sorted((r.doc_id, r.start, r.length, r.other_id, r.class_id) for r in got) == [(1, 20, 56, 2, 1), (2, 20, 56, 1, 1)]
+
+
+def test_passages_copies(spark):
+    rng = random.Random(78)
+    long, short = prose(rng, 80, 10**6), prose(rng, 40, 10**6)
+    rows = [(5, long), (3, long), (None, long), (3, long), (9, long), (1, short), (2, short), (7, prose(rng, 70, 10**6)), (7, long + " more of it")]
+    got = {(r.doc_id, r.start, r.length, r.other_id, r.class_id) for r in passages.repeated_passages(texts(spark, rows)).collect()}
+    assert {g for g in got if g[0] != 7} in ({(5, 0, 80, o, 3), (3, 0, 80, 9 if o == 3 else o, 3), (None, 0, 80, o, 3), (9, 0, 80, o, 3)} for o in (3, 7))
+    assert len([g for g in got if g[0] == 7]) == 1 and len(got) == 5
+
+
 def test_passages(spark, odd, none):
     rng = random.Random(12)
     shared = [prose(rng, n, 10_000).split() for n in (50, 60, 90, 200)]
