@@ -12,8 +12,10 @@ agree under two hashes of HASHES with a probability of 0.97, in each run of thei
 Texts of one key are first paired with their neighbours in the order of texts, and pairs that follow one another under two
 keys are verified on their whole texts: all equal runs are found, those a little apart are joined, and passages long and
 similar enough are told. A meeting point within such a passage is settled, in the class of its
-text. Then texts of a key that aren't settled in one class are compared across classes, in blocks, by what stands around their
-meeting points; those with enough in common there are verified too, in rounds, until no such pair is left untried. Keys with
+text. Then texts of a key are compared in blocks, by what stands around their meeting points. Where one isn't settled in the
+others' class, the FIRST_PARTNERS of each block with most in common there are verified too. After that all pairs across classes
+with enough in common are, in rounds, until none is left untried. So no link between classes is lost once texts meet; of a text
+that its class holds already, a further passage is missed if all those partners fail for it. Keys with
 the same texts are compared once. Keys that many texts have are dealt to several tasks, by ranges of the order of texts, and
 the ends of these ranges meet again."""
 
@@ -45,6 +47,8 @@ GAP = 12
 CHUNK, FIRST_PARTNERS = 256, 4
 #: Texts are verified for a meeting point if a run of `least` shingles with its place shares this much of them: with two words changed.
 COMMON = 0.78
+#: Such runs are tried at each so many shingles, and half as many may be missing then.
+STEP = 4
 COLUMNS = 4096
 _SALT = np.random.default_rng(10_1925).integers(0, 1 << 64, HASHES, dtype=np.uint64)
 _SPAN = "a bigint, b bigint, a_start bigint, a_length bigint, b_start bigint, b_length bigint, similarity double"
@@ -238,6 +242,19 @@ def _runs(a: np.ndarray, b: np.ndarray) -> set[tuple[int, int, int]]:
     return out
 
 
+def _outer(runs: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """The runs that don't lie, in both texts, within a longer one, as those of a line that both repeat do."""
+    if len(runs) < 8:
+        return runs
+    s, t, n = (np.array(c) for c in zip(*runs, strict=True))
+    inner = np.zeros(len(runs), bool)
+    for low in range(0, len(runs), 256):
+        k = slice(low, low + 256)
+        within = (s <= s[k, None]) & (t <= t[k, None]) & (s + n >= (s + n)[k, None]) & (t + n >= (t + n)[k, None]) & (n > n[k, None])
+        inner[k] = within.any(axis=1)
+    return [run for run, gone in zip(runs, inner.tolist(), strict=True) if not gone]
+
+
 def shared_passages(a: np.ndarray, b: np.ndarray, least: int, similarity: float) -> list[tuple[int, int, int, int, float]]:
     """(start, shingles) in a and in b, and the Jaccard similarity, of passages of `least` shingles and more that both share.
 
@@ -247,9 +264,9 @@ def shared_passages(a: np.ndarray, b: np.ndarray, least: int, similarity: float)
         return []
     if len(a) == len(b) and (a == b).all():
         return [(0, len(a), 0, len(b), 1.0)]
-    runs = sorted(_runs(a, b) | {(i, j, n) for j, i, n in _runs(b, a)})
+    runs = _outer(sorted(_runs(a, b) | {(i, j, n) for j, i, n in _runs(b, a)}))
     if len(np.unique(a)) < len(a) or len(np.unique(b)) < len(b):
-        runs = _aligned(a, b, runs)
+        runs = _outer(_aligned(a, b, runs))
     joined: list[list[int]] = []  # start and end in a, start and end in b
     open_ones: list[list[int]] = []
     for s, t, n in runs:
@@ -397,14 +414,13 @@ def apart(members: DataFrame, most: int, least: int) -> DataFrame:
                 x, y = own[outer[low:high]], own[~outer[low:high]]
                 if not len(x) or not len(y):
                     continue
+                asked = COMMON * np.minimum(held[x][:, None], held[y][None, :]) - STEP // 2
+                other = labels[x][:, None] != labels[y][None, :]
                 common = in_common([near[i] for i in x], [near[i] for i in y])
-                good = (common >= COMMON * np.minimum(held[x][:, None], held[y][None, :])) & (labels[x][:, None] != labels[y][None, :])
-                around = {i: np.frombuffer(near[i], "<u2") for i in np.union1d(x[good.any(axis=1)], y[good.any(axis=0)])}
-                for i, j in zip(*np.nonzero(good), strict=True):
-                    one, other = around[x[i]], around[y[j]]
-                    shared = np.cumsum(np.concatenate([[0], np.isin(one, other, kind="table")]))
-                    span = min(least, len(one))
-                    good[i, j] = (shared[span:] - shared[:-span]).max() >= COMMON * min(held[x[i]], held[y[j]])
+                if not ((common >= asked) & other).any():
+                    continue
+                common = np.max([in_common([near[i][2 * k : 2 * (k + least)] for i in x], [near[i] for i in y]) for k in range(0, least, STEP)], axis=0)
+                good = (common >= asked) & other
                 if good.sum(axis=1).max() > most:
                     out.add((None, None))
                     best = np.argpartition(np.where(good, -common, 1), most - 1, axis=1)[:, :most]
@@ -454,12 +470,13 @@ def shared_spans(texts: DataFrame, least: int, similarity: float) -> tuple[DataF
     tried = written(candidates(found))
     own = written(texts.join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]))
     spans, most, near = written(verified(tried, own, least, similarity)), FIRST_PARTNERS, None
+    again = False
     while True:
         root = components(spans.select("a", "b"))
         sides = [spans.select(F.col(x).alias("node"), F.struct(F.col(f"{x}_start").alias("start"), F.col(f"{x}_length").alias("length")).alias("s")) for x in "ab"]
         told = sides[0].unionByName(sides[1]).groupBy("node").agg(F.collect_set("s").alias("spans")).join(root, "node")
         inside = F.exists("spans", lambda s: (s["start"] <= F.col("place")) & (F.col("place") < s["start"] + s["length"] - SIZE + 1))
-        labelled = members.join(told, "node", "left").select("set", "node", "place", F.when(inside, F.col("root")).otherwise(F.col("node")).alias("label"))
+        labelled = members.join(told, "node", "left").select("set", "node", "place", F.when(inside | F.lit(again), F.coalesce("root", "node")).otherwise(F.col("node")).alias("label"))
         several = labelled.groupBy("set").agg((F.min("label") != F.max("label")).alias("several")).where("several").select("set")
         left = written(labelled.join(several, "set"))
         if near is None:
@@ -470,9 +487,9 @@ def shared_spans(texts: DataFrame, least: int, similarity: float) -> tuple[DataF
             tried, new = tried.unionByName(fresh), written(verified(fresh, own, least, similarity))
             if not new.isEmpty():
                 spans = spans.unionByName(new)
-        if out.where("a is null").isEmpty():
+        if again and out.where("a is null").isEmpty():
             return spans, root if fresh.isEmpty() else components(spans.select("a", "b"))
-        most *= 8
+        again, most = True, most * 8
 
 
 def repeated_passages(docs: DataFrame, least_words: int = 50, similarity: float = 0.8) -> DataFrame:
