@@ -5,34 +5,37 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-DIGITS, LEAST_RANGE = 5, 1e-9
-NUMBER = r"-?\d+(?:\.\d+)?"
+#: Fixed values of the text formats: a road's prefix, what parts its range, digits of a place, characters read as a minus.
+PREFIX, AT, TO, DIGITS = "r:", "@", "-", 5
+MINUSES = "\u2212\u2013\ufe63\uff0d"
 
 
 def rounded_place(at: Column) -> Column:
-    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.floor(at * 10**DIGITS + 0.5) / 10**DIGITS))
+    """A share of a segment as keys hold it: between 0 and 1, to DIGITS digits, halves up."""
+    steps = F.floor(at * 10**DIGITS + 0.5)
+    return F.when(steps <= 0, 0.0).when(steps >= 10**DIGITS, 1.0).otherwise(steps / 10**DIGITS)
 
 
 def place_text(at: Column) -> Column:
-    """A place without trailing zeros: 0, 0.25, 1."""
+    """The shortest decimal that reads as the rounded place."""
     return F.regexp_replace(F.format_string(f"%.{DIGITS}f", rounded_place(at)), r"\.?0+$", "")
 
 
 def road_key(segment: Column, low: Column, high: Column) -> Column:
-    """segment@low-high, or the segment's own key where that is all of it."""
-    whole = (rounded_place(low) <= 0) & (rounded_place(high) >= 1)
-    return F.when(whole, segment).otherwise(F.concat(segment, F.lit("@"), place_text(low), F.lit("-"), place_text(high)))
+    """The key of a part of a segment; of all of it, the segment's own."""
+    part = F.concat(segment, F.lit(AT), F.concat_ws(TO, place_text(low), place_text(high)))
+    return F.when((rounded_place(low) > 0) | (rounded_place(high) < 1), part).otherwise(segment)
 
 
 def parsed_road_key(key: Column) -> Column:
-    """struct(segment, low, high) of a road's key (r:...); null for any other text and for empty ranges."""
-    text = F.regexp_extract(key, r"^(r:[^@]*)@(\d*\.?\d+)-(\d*\.?\d+)$", 0)
-    part = lambda k: F.regexp_extract(key, r"^(r:[^@]*)@(\d*\.?\d+)-(\d*\.?\d+)$", k)
-    low, high = part(2).try_cast("double"), part(3).try_cast("double")
-    good = (text != "") & (low >= 0) & (high <= 1) & (rounded_place(high) - rounded_place(low) > LEAST_RANGE)
-    whole = key.startswith("r:") & ~key.contains("@")
-    shape = lambda s, a, b: F.struct(s.alias("segment"), a.alias("low"), b.alias("high"))
-    return F.when(whole, shape(key, F.lit(0.0), F.lit(1.0))).when(good, shape(part(1), low, high))
+    """What road_key wrote, as struct(segment, low, high). Null for what isn't a road's key or spans nothing once rounded."""
+    halves = F.split(key, AT)
+    ends = F.split(F.try_element_at(halves, F.lit(2)), TO)
+    number = lambda k: F.when(F.try_element_at(ends, F.lit(k)).rlike(r"^(\d+|\d*\.\d+)$"), F.try_element_at(ends, F.lit(k)).try_cast("double"))
+    spans = (F.size(ends) == 2) & (number(2) <= 1) & (rounded_place(number(1)) < rounded_place(number(2)))
+    told = F.when(F.size(halves) == 1, F.struct(key.alias("segment"), F.lit(0.0).alias("low"), F.lit(1.0).alias("high")))
+    told = told.when((F.size(halves) == 2) & spans, F.struct(halves[0].alias("segment"), number(1).alias("low"), number(2).alias("high")))
+    return F.when(key.startswith(PREFIX), told)
 
 
 def latest_release(names: DataFrame, name: str) -> DataFrame:
@@ -41,20 +44,26 @@ def latest_release(names: DataFrame, name: str) -> DataFrame:
     return good.agg(F.max_by(name, F.struct(F.substring(name, 1, 10), F.substring_index(name, ".", -1).cast("int"))).alias("latest"))
 
 
+def _numbers(text: Column) -> Column:
+    """The numbers of a text in order, null for what isn't one: any run of other characters parts them."""
+    plain = F.translate(text, MINUSES, "-" * len(MINUSES))
+    return F.transform(F.filter(F.split(plain, r"[^0-9A-Za-z.+-]+"), lambda t: t != ""), lambda t: t.try_cast("double"))
+
+
 def bounds_in(text: Column) -> Column:
-    """struct(west, south, east, north) of four degrees in that order, with loose separators; null unless they bound an area."""
-    clean = F.regexp_replace(F.regexp_replace(text, "[−–﹣－]", "-"), r"^.*=", "")
-    tokens = F.filter(F.split(F.regexp_replace(clean, r"[()\[\]{}<>\"']", " "), r"[,;\s]+"), lambda t: t != "")
-    at = lambda k: F.try_element_at(tokens, F.lit(k)).try_cast("double")
-    good = (F.size(tokens) == 4) & (F.abs(at(1)) <= 180) & (F.abs(at(3)) <= 180) & (F.abs(at(2)) <= 90) & (F.abs(at(4)) <= 90) & (at(3) > at(1)) & (at(4) > at(2))
-    return F.when(good, F.struct(*(at(k).alias(n) for k, n in enumerate(("west", "south", "east", "north"), 1))))
+    """struct(west, south, east, north) of a text that holds these four degrees, after a name and = or not; null unless they
+    bound an area on the globe."""
+    degrees = _numbers(F.substring_index(text, "=", -1))
+    west, south, east, north = (F.try_element_at(degrees, F.lit(k)) for k in (1, 2, 3, 4))
+    on_globe = (west >= -180) & (east <= 180) & (south >= -90) & (north <= 90)
+    return F.when((F.size(degrees) == 4) & on_globe & (west < east) & (south < north), F.struct(west.alias("west"), south.alias("south"), east.alias("east"), north.alias("north")))
 
 
 def place_in(text: Column) -> Column:
-    """struct(lon, lat) of "lat, lon"; null for any other text or out of range."""
-    clean = F.trim(F.regexp_replace(text, "[−–﹣－]", "-"))
-    part = lambda k: F.regexp_extract(clean, rf"^({NUMBER})\s*[,;\s]\s*({NUMBER})$", k).try_cast("double")
-    return F.when((F.abs(part(1)) <= 90) & (F.abs(part(2)) <= 180), F.struct(part(2).alias("lon"), part(1).alias("lat")))
+    """struct(lon, lat) of a text that holds a latitude and a longitude and nothing else; null out of range."""
+    degrees = _numbers(text)
+    lat, lon = F.try_element_at(degrees, F.lit(1)), F.try_element_at(degrees, F.lit(2))
+    return F.when((F.size(degrees) == 2) & lat.between(-90, 90) & lon.between(-180, 180), F.struct(lon.alias("lon"), lat.alias("lat")))
 
 
 def estimated_height(sources: Column) -> Column:

@@ -64,36 +64,35 @@ def weighted_level(parts: DataFrame, group: str, height: str, area: str, share:
     return told.where(F.col("__below") >= share * F.col("__all") - 1e-9).groupBy(group).agg(F.min(height).alias("level"))
 
 
+#: Metres of height that part patches; square metres and cells of a patch; shares of a roof that a patch, all
+#: patches, classified returns and joined sides must have; the percentile that is a patch's height.
+PATCH_STEP, PATCH_M2, PATCH_CELLS, MAJOR, EXPLAINED, CLASSIFIED, COHERENT, PATCH_TOP = 3.0, 36, 4, 0.02, 0.85, 0.7, 0.8, 0.95
+
+
 def supported_heights(cells: DataFrame, building: str, cell_m: float) -> DataFrame:
-    """Per building (cells cx, cy, z; classified: the share of roof returns by class) the height that its roof supports.
-
-    Cells less than 3 m apart in height join their neighbours in patches; those of 36 m² and four cells count, and must
-    explain 85 % of the cells. Patches of 2 % and more give the highest of their 95th percentiles. A building's cells go
-    to one task: a roof, not a table."""
-    least = max(4, math.ceil(36 / cell_m**2))
-
-    def measure(pdf: pd.DataFrame) -> pd.DataFrame:
-        heights = {(x, y): z for x, y, z in pdf[["cx", "cy", "z"]].itertuples(index=False)}
-        left, patches = set(heights), []
-        while left:
-            patch = [left.pop()]
-            for x, y in patch:
-                for near in ((x - 1, y), (x + 1, y), (x, y - 1), (x, y + 1)):
-                    if near in left and abs(heights[near] - heights[x, y]) < 3:
-                        left.discard(near)
-                        patch.append(near)
-            if len(patch) >= least:
-                patches.append([heights[p] for p in patch])
-        explained = sum(map(len, patches)) / max(1, len(heights))
-        sides = [abs(z - heights[q]) < 3 for (x, y), z in heights.items() for q in ((x + 1, y), (x, y + 1)) if q in heights]
-        coherent = float(np.mean(sides)) if sides else 0.0
-        major = [p for p in patches if len(p) >= 0.02 * len(heights)]
-        good = major and explained >= 0.85 and (pdf.classified.iloc[0] >= 0.7 or coherent >= 0.8)
-        top = max(float(np.quantile(p, 0.95)) for p in major) if good else None
-        return pd.DataFrame([(pdf[building].iloc[0], top, min(explained, coherent) if good else None)], columns=[building, "height", "confidence"])
-
-    types = dict(cells.dtypes)
-    return cells.groupBy(building).applyInPandas(measure, f"{building} {types[building]}, height double, confidence double")
+    """Per building (cells cx, cy, z; classified: the share of roof returns by class) the height and confidence that its roof
+    supports, null where it supports none.
+
+    Sides of cells that differ by less than PATCH_STEP are links; their connected components are patches, of which those count
+    that have PATCH_M2 and PATCH_CELLS. Components go round by round over all buildings, so no roof is held by a task; the
+    percentile of a patch is an aggregate."""
+    from geoloom.operators.graph import components
+
+    least = max(PATCH_CELLS, math.ceil(PATCH_M2 / cell_m**2))
+    at = cells.select(building, "cx", "cy", "z", "classified", F.struct(building, "cx", "cy").alias("cell"))
+    beside = F.explode(F.array(F.struct((F.col("cx") + 1).alias("cx"), F.col("cy").alias("cy")), F.struct(F.col("cx").alias("cx"), (F.col("cy") + 1).alias("cy")))).alias("n")
+    asked = at.select(building, F.col("cell").alias("__from"), F.col("z").alias("__z"), beside).select(building, "__from", "__z", "n.cx", "n.cy")
+    sides = asked.join(at.select(building, "cx", "cy", F.col("cell").alias("__to"), "z"), [building, "cx", "cy"]).select(building, "__from", "__to", (F.abs(F.col("z") - F.col("__z")) < PATCH_STEP).alias("joined"))
+    patch = components(sides.where("joined").select(F.col("__from").alias("a"), F.col("__to").alias("b"))).select(F.col("node").alias("cell"), F.col("root").alias("patch"))
+    held = at.join(patch, "cell", "left").withColumn("patch", F.coalesce("patch", "cell"))
+    patches = held.groupBy(building, "patch").agg(F.count("*").alias("n"), F.percentile("z", F.lit(PATCH_TOP)).alias("top"))
+    roofs = at.groupBy(building).agg(F.count("*").alias("all"), F.first("classified").alias("classified"))
+    whole = roofs.join(sides.groupBy(building).agg(F.avg(F.col("joined").cast("int")).alias("coherent")), building, "left").na.fill(0.0, ["coherent"])
+    counted = patches.where(F.col("n") >= least).join(whole.select(building, "all"), building)
+    told = counted.groupBy(building).agg(F.sum("n").alias("in_patches"), F.max(F.when(F.col("n") >= MAJOR * F.col("all"), F.col("top"))).alias("top"))
+    rows = whole.join(told, building, "left").withColumn("explained", F.coalesce(F.col("in_patches") / F.col("all"), F.lit(0.0)))
+    good = F.col("top").isNotNull() & (F.col("explained") >= EXPLAINED) & ((F.col("classified") >= CLASSIFIED) | (F.col("coherent") >= COHERENT))
+    return rows.select(building, F.when(good, F.col("top")).alias("height"), F.when(good, F.least("explained", "coherent")).alias("confidence"))
 
 
 def claims(cells: DataFrame, surveys: DataFrame) -> DataFrame:

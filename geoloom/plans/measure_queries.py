@@ -42,10 +42,19 @@ def regional_top(spark, sf_dir):
     return measure.weighted_level(view(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("part"), "l_quantity", "l_linenumber"), "part", "l_quantity", "l_linenumber")
 
 
-@query()
+_ROOFS = "c AS (SELECT (row // 15)::BIGINT AS b, row AS cy, col AS cx, round(v / 25) * 25 AS z FROM grid)"
+
+
+@query(with_views("grid", f""", {_ROOFS}, l AS (SELECT c.b, c.cx AS ax, c.cy AS ay, d.cx AS bx, d.cy AS by_, abs(c.z - d.z) < 3 AS j FROM c JOIN c d ON c.b = d.b AND ((d.cx = c.cx + 1 AND d.cy = c.cy) OR (d.cx = c.cx AND d.cy = c.cy + 1))),
+e AS (SELECT ax * 1000 + ay AS a, bx * 1000 + by_ AS b FROM l WHERE j UNION ALL SELECT bx * 1000 + by_, ax * 1000 + ay FROM l WHERE j UNION ALL SELECT cx * 1000 + cy, cx * 1000 + cy FROM c),
+w(node, root) AS (SELECT a, a FROM e UNION SELECT e.b, w.root FROM w JOIN e ON e.a = w.node),
+p AS (SELECT c.b, r.root, COUNT(*) AS n, quantile_cont(z, 0.95) AS top FROM c JOIN (SELECT node, MIN(root) AS root FROM w GROUP BY node) r ON r.node = cx * 1000 + cy GROUP BY c.b, r.root),
+a AS (SELECT b, COUNT(*) AS cells FROM c GROUP BY b), k AS (SELECT b, AVG(j::INT) AS coherent FROM l GROUP BY b),
+t AS (SELECT p.b, SUM(n) / MAX(cells) AS explained, MAX(top) FILTER (n >= 0.02 * cells) AS top FROM p JOIN a USING (b) WHERE n >= 4 GROUP BY p.b)
+SELECT a.b, CASE WHEN top IS NOT NULL AND explained >= 0.85 THEN top END AS height, round(CASE WHEN top IS NOT NULL AND explained >= 0.85 THEN least(explained, coalesce(coherent, 0)) END, 9) AS confidence FROM a LEFT JOIN k USING (b) LEFT JOIN t USING (b)"""))
 def supported_height(spark, sf_dir):
     cells = view(spark, sf_dir, "grid").select(F.floor(F.col("row") / 15).cast("bigint").alias("b"), F.col("row").alias("cy"), F.col("col").alias("cx"), (F.round(F.col("v") / 25) * 25).alias("z"), F.lit(0.9).alias("classified"))
-    return measure.supported_heights(cells, "b", 3.0)
+    return measure.supported_heights(cells, "b", 3.0).withColumn("confidence", F.round("confidence", 9))
 
 
 _SURVEYED = "(SELECT s_suppkey AS survey, s_suppkey * 37 % 100 AS place, (s_suppkey * 13 % 50)::DOUBLE AS x0, (s_suppkey * 29 % 50)::DOUBLE AS y0, (s_suppkey * 13 % 50 + 12)::DOUBLE AS x1, (s_suppkey * 29 % 50 + 9)::DOUBLE AS y1 FROM supplier)"
