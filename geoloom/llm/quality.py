@@ -188,10 +188,8 @@ def learned(table: DataFrame, labels: DataFrame) -> Discriminant | None:
 
 def passable(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """The rows of docs, all columns of theirs, that classify doesn't reject. Each row is judged by its text, whatever its id;
-    only the features of labelled rows are shuffled."""
-    known = labels.select(F.col("doc_id").cast("bigint").alias("__known")).distinct()
-    some = docs.join(known, docs["doc_id"].cast("bigint") == known["__known"], "left_semi")
-    model = learned(document_features(some), labels)
+    statistics are shuffled, texts aren't; they are computed twice, to learn and to score."""
+    model = learned(document_features(docs), labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, most=2 << 20):
