@@ -380,15 +380,26 @@ def surroundings(members: DataFrame, texts: DataFrame, least: int) -> DataFrame:
 
 def in_common(x: list[bytes], y: list[bytes]) -> np.ndarray:
     """How many distinct two-byte numbers each of x shares with each of y."""
-    parts = [np.frombuffer(v, "<u2") for v in (*x, *y)]
-    owner = np.repeat(np.arange(len(parts)), [len(v) for v in parts])
-    _, column = np.unique(np.concatenate(parts), return_inverse=True)
+    sides = []
+    for own in (x, y):
+        number = np.frombuffer(b"".join(own), "<u2")
+        sides.append((number, np.repeat(np.arange(len(own)), [len(v) // 2 for v in own])))
+    place = np.full(1 << 16, -1, np.int32)
+    both = np.zeros((2, 1 << 16), bool)
+    for k, (number, _) in enumerate(sides):
+        both[k, number] = True
+    shared = np.flatnonzero(both.all(axis=0))  # numbers of one side only count for no pair
+    place[shared] = np.arange(len(shared))
     out = np.zeros((len(x), len(y)), np.float32)
-    for low in range(0, int(column.max(initial=-1)) + 1, COLUMNS):
-        at = np.flatnonzero((column >= low) & (column < low + COLUMNS))
-        held = np.zeros((len(parts), COLUMNS), np.float32)
-        held[owner[at], column[at] - low] = 1
-        out += held[: len(x)] @ held[len(x) :].T
+    for low in range(0, len(shared), COLUMNS):
+        wide = min(COLUMNS, len(shared) - low)
+        held = []
+        for own, (number, owner) in zip((x, y), sides, strict=True):
+            at = place[number] - low
+            here = (at >= 0) & (at < wide)
+            held.append(np.zeros((len(own), wide), np.float32))
+            held[-1][owner[here], at[here]] = 1
+        out += held[0] @ held[1].T
     return out
 
 
@@ -417,8 +428,11 @@ def apart(members: DataFrame, most: int, least: int) -> DataFrame:
                 asked = COMMON * np.minimum(held[x][:, None], held[y][None, :]) - STEP // 2
                 other = labels[x][:, None] != labels[y][None, :]
                 common = in_common([near[i] for i in x], [near[i] for i in y])
-                if not ((common >= asked) & other).any():
+                good = (common >= asked) & other  # only what has enough in all can have it in a run
+                up, left = good.any(axis=1), good.any(axis=0)
+                if not up.any():
                     continue
+                x, y, asked, other = x[up], y[left], asked[up][:, left], other[up][:, left]
                 common = np.max([in_common([near[i][2 * k : 2 * (k + least)] for i in x], [near[i] for i in y]) for k in range(0, least, STEP)], axis=0)
                 good = (common >= asked) & other
                 if good.sum(axis=1).max() > most:
