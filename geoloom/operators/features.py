@@ -68,6 +68,17 @@ def scan(features: DataFrame, bounds: Bounds, order: list[str], keep: Column | N
     return found.withColumn("__n", F.row_number().over(Window.partitionBy("id").orderBy(*order))).where("__n = 1").drop("__n")
 
 
+def release_files(rows: DataFrame) -> DataFrame:
+    """The files of a release index (href, size, xmin to ymax, num_rows) that can be read: over https, under folders that name
+    their theme and type, and with finite bounds. A missing count or size is 0."""
+    part = lambda name: F.nullif(F.regexp_extract("href", f"/{name}=([^/]+)/", 1), F.lit(""))
+    bounds = [F.col(c).cast("double").alias(c) for c in ("xmin", "ymin", "xmax", "ymax")]
+    finite = [F.abs(c) < float("inf") for c in bounds]
+    ordered = F.col("href").rlike("^https://.*/theme=[^/]+/type=[^/]+/")
+    count = lambda c: F.greatest(F.lit(0), F.coalesce(F.col(c).try_cast("bigint"), F.lit(0))).alias(c)
+    return rows.where(ordered & finite[0] & finite[1] & finite[2] & finite[3]).select(part("theme").alias("theme"), part("type").alias("type"), "href", count("size"), *bounds, count("num_rows"))
+
+
 def mapped(table: dict[str, object], key: Column) -> Column:
     """The value of key in a small fixed table, as a literal map; null where there is none."""
     pairs = [F.lit(x) for kv in table.items() for x in kv]

@@ -24,7 +24,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
-    from geoloom.plans import feature_queries, line_queries, measure_queries, raster_queries, survey_queries  # noqa: F401  they register themselves
+    from geoloom.plans import feature_queries, line_queries, measure_queries, raster_queries, survey_queries, text_queries  # noqa: F401  they register themselves
 
     return dict(_QUERIES)
 

@@ -31,7 +31,8 @@ p AS (SELECT id, t AS t0, LEAD(t) OVER (PARTITION BY id ORDER BY t) AS t1 FROM c
 
 
 @query(with_views("segments rules", f""", {_RULED} SELECT q.id, q.class, t0, t1, coalesce(CASE WHEN w > 0 THEN w END, CASE q.class WHEN 'motorway' THEN 14 WHEN 'primary' THEN 11 WHEN 'footway' THEN 2 ELSE 5 END)::DOUBLE AS width_m, coalesce(l, 0)::BIGINT AS level, coalesce(f, 0)::BIGINT AS flag_sum FROM q LEFT JOIN (
-  SELECT q.id, t0, arg_min(value, (place, a, b, value)) FILTER (kind = 'width') AS w, arg_min(value, (place, a, b, value)) FILTER (kind = 'level') AS l, SUM(DISTINCT value::BIGINT) FILTER (kind = 'flag') AS f FROM q JOIN r ON r.id = q.id AND a <= mid AND mid <= b GROUP BY q.id, t0) USING (id, t0)"""))
+  SELECT id, t0, arg_min(value, (place, a, b, value)) FILTER (kind = 'width') AS w, arg_min(value, (place, a, b, value)) FILTER (kind = 'level') AS l, SUM(DISTINCT value::BIGINT) FILTER (kind = 'flag') AS f
+  FROM (SELECT id, t0, mid, unnest(held, recursive := true) FROM (SELECT q.id, t0, mid, held FROM q JOIN (SELECT id, list(struct_pack(place := place, kind := kind, value := value, a := a, b := b)) AS held FROM r GROUP BY id) h ON h.id = q.id)) WHERE a <= mid AND mid <= b GROUP BY id, t0) USING (id, t0)"""))
 def rule_split(spark, sf_dir):
     pieces = lines.split_by_rules(view(spark, sf_dir, "segments"), view(spark, sf_dir, "rules"))
     return pieces.select("id", "class", "t0", "t1", "width_m", "level", F.expr("aggregate(flags, 0L, (a, v) -> a + v)").alias("flag_sum"))

@@ -60,6 +60,18 @@ SELECT o_orderkey AS id, o_custkey % 97 AS seam, o_orderkey % 6 AS kind, CASE WH
 SELECT o_orderkey AS id, CAST((o_orderkey * 41) % 1000 AS DOUBLE) AS x0, CAST((o_orderkey * 67) % 1000 AS DOUBLE) AS y0, CAST((o_orderkey * 41) % 1000 + 3 AS DOUBLE) AS x1, CAST((o_orderkey * 67) % 1000 + 2 AS DOUBLE) AS y1 FROM orders""",
     "places": """
 SELECT c_custkey AS id, CAST((c_custkey * 37) % 3600 AS DOUBLE) / 10 - 180 AS lon, CAST((c_custkey * 53) % 1600 AS DOUBLE) / 10 - 80 AS lat FROM customer""",
+    "names": """
+SELECT o_orderkey AS id, CASE o_orderkey % 6 WHEN 0 THEN CAST(o_custkey % 30 AS STRING) || ' m' WHEN 1 THEN ' ' || CAST(o_custkey % 30 AS STRING) || '.5' WHEN 2 THEN CAST(o_custkey % 30 AS STRING) || ' ft' WHEN 3 THEN 'wide' WHEN 4 THEN CAST(o_custkey % 30 AS STRING) || 'feet' END AS width,
+       CASE o_orderkey % 3 WHEN 0 THEN 'Region_' || CAST(o_custkey % 9 AS STRING) || '_B' || lpad(CAST(o_custkey % 30 AS STRING), 2, '0') WHEN 1 THEN 'Region_G20' ELSE 'Plain2019' END AS unit,
+       CASE WHEN o_orderkey % 7 = 0 THEN 'undated' ELSE CAST(o_orderdate AS STRING) END AS day, 2015 + o_orderkey % 3 AS flown_in,
+       CASE o_orderkey % 4 WHEN 0 THEN 'survey_utm10_' || CAST(20150105 + o_custkey % 3 * 10000 AS STRING) || '_' || CAST(20150219 + o_custkey % 3 * 10000 AS STRING) || '.laz' WHEN 1 THEN 'survey_' || CAST(20150310 + o_custkey % 3 * 10000 AS STRING) || '.laz' WHEN 2 THEN 'survey.laz' ELSE 'survey_20150105_20160107.laz' END AS file,
+       CASE o_orderkey % 3 WHEN 0 THEN '2021_NorthRiver_LiDAR' WHEN 1 THEN 'EastBay_lidar' ELSE 'lidar_Old_TownA' END AS project,
+       CASE o_orderkey % 5 WHEN 0 THEN CAST(o_custkey % 300 AS STRING) WHEN 1 THEN 'Thu, 26 Nov 2026 10:' || lpad(CAST(o_custkey % 60 AS STRING), 2, '0') || ':07 GMT' WHEN 2 THEN 'soon' WHEN 3 THEN '' END AS wait,
+       CASE o_orderkey % 9 WHEN 0 THEN 'b:' WHEN 1 THEN 'r:' WHEN 2 THEN 'w:' WHEN 3 THEN 't:' WHEN 4 THEN 'k:' WHEN 5 THEN 's:' WHEN 6 THEN 'rt:' WHEN 7 THEN 'x:' ELSE 'n' END || CAST(o_custkey AS STRING) || CASE WHEN o_custkey % 4 = 0 THEN '/wall/2' ELSE '' END AS key
+FROM orders""",
+    "index_rows": """
+SELECT CASE s_suppkey % 4 WHEN 0 THEN 'folder:' WHEN 1 THEN 'http:' ELSE 'https:' END || '//files.example/theme=' || CASE WHEN s_suppkey % 3 = 0 THEN 'buildings' ELSE 'base' END || CASE WHEN s_suppkey % 10 = 3 THEN '/part-' ELSE '/type=land/part-' END || CAST(s_suppkey AS STRING) || '.parquet' AS href,
+       s_suppkey * 1000 - 5000 AS size, CASE WHEN s_suppkey % 11 <> 0 THEN CAST(s_suppkey % 300 AS DOUBLE) - 180 END AS xmin, CAST(s_suppkey % 100 AS DOUBLE) - 50 AS ymin, CAST(s_suppkey % 300 AS DOUBLE) - 179 AS xmax, CAST(s_suppkey % 100 AS DOUBLE) - 49 AS ymax, CASE WHEN s_suppkey % 6 <> 0 THEN s_suppkey END AS num_rows FROM supplier""",
     "intervals": """
 SELECT l_orderkey AS key, CAST(l_partkey % 50 AS DOUBLE) / 64 AS a, CAST(l_partkey % 50 + 1 + l_linenumber AS DOUBLE) / 64 AS b FROM lineitem""",
 }
