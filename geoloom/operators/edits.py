@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -58,3 +58,15 @@ def edge_report(triangles: DataFrame, model: str) -> DataFrame:
 def owned_cells(claims: DataFrame, priority: str, owner: str) -> DataFrame:
     """Of each cell's claims (row, col, owner, priority) the one of the lowest priority value; of equal ones the lowest owner."""
     return claims.groupBy("row", "col").agg(F.min(F.struct(priority, owner)).alias("o")).select("row", "col", f"o.{owner}")
+
+
+def part_bounds(vertices: DataFrame, model: str) -> DataFrame:
+    """The box around the vertices (x, y, z) of each model."""
+    return vertices.groupBy(model).agg(*(f(v).alias(f"{name}_{v}") for name, f in (("least", F.min), ("most", F.max)) for v in "xyz"))
+
+
+def chosen_first(ranked: DataFrame, group: str, chosen: Column) -> DataFrame:
+    """ranked (group, place) with new places: the first row of each group that is chosen comes first, others keep their order."""
+    own = Window.partitionBy(group)
+    first = F.min(F.when(chosen, F.col("place"))).over(own)
+    return ranked.withColumn("__c", first).withColumn("place", F.when(F.col("place") == F.col("__c"), F.min("place").over(own)).when(F.col("place") < F.col("__c"), F.lead("place").over(own.orderBy("place"))).otherwise(F.col("place"))).drop("__c")

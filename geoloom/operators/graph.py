@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from geoloom.sources.tables import cut
 
@@ -121,6 +122,21 @@ def plotting_order(ends: DataFrame, sheet: str) -> DataFrame:
     return ends.groupBy(sheet).applyInPandas(order, f"{sheet} {types[sheet]}, id {types['id']}, place bigint, reversed boolean")
 
 
+def roads_near(samples: DataFrame, segments: DataFrame, track: str, size: float = 500.0) -> DataFrame:
+    """(track, edge) of the segments (edge, ax, ay, bx, by) that a way between neighbouring samples of a track may use: those by
+    one of its samples, within as far as matched looks for ways on that track. Cells of samples meet those of segments."""
+    from geoloom.operators.cells import cell, overlap_join
+
+    order = Window.partitionBy(track).orderBy("seq")
+    step = F.sqrt((F.col("x") - F.lag("x").over(order)) ** 2 + (F.col("y") - F.lag("y").over(order)) ** 2)
+    reach = samples.select(track, step.alias("step")).groupBy(track).agg((3 * F.coalesce(F.max("step"), F.lit(0.0)) + 3 * RADIUS_M + 30).alias("reach"))
+    places = samples.groupBy(track, cell(F.col("x"), size).alias("cx"), cell(F.col("y"), size).alias("cy")).agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"))
+    grown = [(F.col(c) + sign * F.col("reach")).alias(c) for c, sign in (("x0", -1), ("y0", -1), ("x1", 1), ("y1", 1))]
+    around = places.join(reach, track).select(F.col(track).alias("track"), *grown)
+    roads = segments.select("edge", F.least("ax", "bx").alias("x0"), F.least("ay", "by").alias("y0"), F.greatest("ax", "bx").alias("x1"), F.greatest("ay", "by").alias("y1"))
+    return overlap_join(around, roads, size).select(F.col("a_track").alias(track), F.col("b_edge").alias("edge")).distinct()
+
+
 def matched(samples: DataFrame, candidates: DataFrame, edges: DataFrame, track: str) -> DataFrame:
     """Per track and sample (seq) the road edge it was on (null: off the roads), by Viterbi over candidate positions.
 
@@ -199,22 +215,56 @@ def _distances(graph: dict, node: int, limit: float) -> dict[int, float]:
     return best
 
 
-def shadowed_share(lines: DataFrame, reach: float, spacing: float, angle_deg: float = 28.0) -> DataFrame:
-    """Per line (id, rank, ax, ay, bx, by; one segment) the share of its samples that lie by a line of a better (lower) rank.
-
-    By: within reach of the other, which runs in nearly the same direction. Samples meet segments by grid cell."""
+def _by_others(lines: DataFrame, reach: float, spacing: float, angle_deg: float) -> tuple[DataFrame, DataFrame]:
+    """(samples: id and number of samples of each line with a length; pairs: own, own_rank, own_len, the sample's k, and the id,
+    rank and len of another line that it lies by)."""
     from geoloom.operators.cells import points_in_boxes
 
     length = F.sqrt((F.col("bx") - F.col("ax")) ** 2 + (F.col("by") - F.col("ay")) ** 2)
     n = F.greatest(F.lit(1), F.ceil(length / spacing)).cast("bigint")
     sampled = lines.withColumns({"n": n, "len": length}).where("len > 0").withColumn("k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n"))))
-    points = sampled.select(F.col("id").alias("own"), F.col("rank").alias("own_rank"), "k", "n", (F.col("ax") + (F.col("bx") - F.col("ax")) * F.col("k") / F.col("n")).alias("x"), (F.col("ay") + (F.col("by") - F.col("ay")) * F.col("k") / F.col("n")).alias("y"), ((F.col("bx") - F.col("ax")) / F.col("len")).alias("ux"), ((F.col("by") - F.col("ay")) / F.col("len")).alias("uy"))
+    on = lambda v: (F.col(f"a{v}") + (F.col(f"b{v}") - F.col(f"a{v}")) * F.col("k") / F.col("n")).alias(v)
+    unit = lambda v: ((F.col(f"b{v}") - F.col(f"a{v}")) / F.col("len")).alias(f"u{v}")
+    points = sampled.select(F.col("id").alias("own"), F.col("rank").alias("own_rank"), F.col("len").alias("own_len"), "k", "n", on("x"), on("y"), unit("x"), unit("y"))
     others = lines.withColumns({"x0": F.least("ax", "bx"), "x1": F.greatest("ax", "bx"), "y0": F.least("ay", "by"), "y1": F.greatest("ay", "by"), "len": length}).where("len > 0")
-    met = points_in_boxes(points, others, 2 * reach, reach).where("rank < own_rank")
     dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
     t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((F.col("x") - F.col("ax")) * dx + (F.col("y") - F.col("ay")) * dy) / (F.col("len") * F.col("len"))))
     far2 = (F.col("x") - F.col("ax") - t * dx) ** 2 + (F.col("y") - F.col("ay") - t * dy) ** 2
     along = F.abs(F.col("ux") * dx + F.col("uy") * dy) / F.col("len") >= math.cos(math.radians(angle_deg))
-    hit = met.where((far2 <= reach * reach) & along).select("own", "k").distinct().groupBy("own").agg(F.count("*").alias("hits"))
-    total = sampled.groupBy("id").agg(F.count("*").alias("samples"))
+    pairs = points_in_boxes(points, others, 2 * reach, reach).where((F.col("id") != F.col("own")) & (F.col("rank") <= F.col("own_rank")) & (far2 <= reach * reach) & along)
+    return sampled.groupBy("id").agg(F.count("*").alias("samples")), pairs.select("own", "own_rank", "own_len", "k", "id", "rank", "len")
+
+
+def shadowed_share(lines: DataFrame, reach: float, spacing: float, angle_deg: float = 28.0) -> DataFrame:
+    """Per line (id, rank, ax, ay, bx, by; one segment) the share of its samples that lie by a line of a better (lower) rank.
+
+    By: within reach of the other, which runs in nearly the same direction. Samples meet segments by grid cell."""
+    total, pairs = _by_others(lines, reach, spacing, angle_deg)
+    hit = pairs.where("rank < own_rank").select("own", "k").distinct().groupBy("own").agg(F.count("*").alias("hits"))
     return total.join(hit.withColumnRenamed("own", "id"), "id", "left").select("id", "samples", (F.coalesce("hits", F.lit(0)) / F.col("samples")).alias("shadowed"))
+
+
+def culled(lines: DataFrame, reach: float, spacing: float, share: float = 0.7, angle_deg: float = 30.0) -> DataFrame:
+    """(id, kept) of lines (id, rank, ax, ay, bx, by; one segment): a line goes if `share` of its samples lie by kept lines that
+    come before it, those of a better rank, or longer, or of a lower id. Lines without length stay.
+
+    Rounds in place of one line after another: a line goes once lines known to be kept shadow enough of it, and is kept once
+    lines not known to be gone no longer do. Each round settles at least the first open line, in practice most of them."""
+    total, pairs = _by_others(lines, reach, spacing, angle_deg)
+    before = F.struct("rank", -F.col("len"), "id") < F.struct("own_rank", -F.col("own_len"), "own")
+    links = cut(pairs.where(before).select("own", "k", F.col("id").alias("other")).distinct())
+    needed = cut(links.select("own").distinct().join(total.withColumnRenamed("id", "own"), "own").withColumn("needed", F.col("samples") * share - 1e-9).select("own", "needed"))
+    gone = needed.select(F.col("own").alias("id")).limit(0)
+    while True:
+        # links whose other line is open or kept, and whether it is kept; open lines are the owners of links
+        open_ones = links.select(F.col("own").alias("other")).distinct().withColumn("open", F.lit(True))
+        by_sample = links.join(open_ones, "other", "left").groupBy("own", "k").agg(F.bool_or(F.col("open").isNull()).alias("sure"))
+        counts = by_sample.groupBy("own").agg(F.count("*").alias("most"), F.count_if("sure").alias("least")).join(needed, "own")
+        settled = cut(counts.where("least >= needed or most < needed").select(F.col("own"), (F.col("least") >= F.col("needed")).alias("drop")))
+        if settled.isEmpty():
+            break
+        dropped = settled.where("drop").select(F.col("own").alias("id"))
+        gone = cut(gone.unionByName(dropped))
+        links = cut(links.join(settled.select("own"), "own", "left_anti").join(dropped.withColumnRenamed("id", "other"), "other", "left_anti"))
+        # an open line that has no link left is kept, which settles it
+    return lines.join(gone.withColumn("gone", F.lit(True)), "id", "left").select("id", F.col("gone").isNull().alias("kept"))

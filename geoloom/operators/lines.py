@@ -172,3 +172,43 @@ def less_intervals(joined: DataFrame, minus: DataFrame, key: str) -> DataFrame:
     held = joined.join(taken, key, "left").withColumn("gone", F.expr("filter(coalesce(gone, cast(array() as array<struct<a:double,b:double>>)), g -> g.b > a and g.a < b)"))
     rests = F.expr("transform(sequence(0, size(gone)), i -> struct(if(i = 0, a, gone[i - 1].b) as a, if(i = size(gone), b, gone[i].a) as b))")
     return held.select(key, F.explode(rests).alias("r")).select(key, "r.a", "r.b").where(F.col("b") - F.col("a") > SAME_POSITION)
+
+
+def densified(vertices: DataFrame, line: str, spacing: float) -> DataFrame:
+    """The vertices of each line, and as many more at equal steps between two as leave none further apart than spacing: line, seq
+    (of the vertex that a step leads to), k and n (the k-th of its n steps), x, y. A first vertex is a step of its own."""
+    steps = measured(vertices, line, flat_step())
+    n = F.greatest(F.lit(1), F.ceil(F.col("step") / spacing)).cast("bigint")
+    parts = steps.withColumn("n", n).withColumn("k", F.explode(F.sequence(F.lit(1).cast("bigint"), "n")))
+    at = lambda v: F.when(F.col(f"p{v}").isNull(), F.col(v)).otherwise(F.col(f"p{v}") + (F.col(v) - F.col(f"p{v}")) * F.col("k") / F.col("n")).alias(v)
+    return parts.select(line, "seq", "k", "n", at("x"), at("y"))
+
+
+def samples_along(vertices: DataFrame, line: str, spacing: float) -> DataFrame:
+    """Places at equal steps of about spacing, at most, along each line from its start to its end: line, k, s (metres), x, y.
+
+    Each step of a line tells the samples that lie on it, so no line is held whole by a row."""
+    track = measured(vertices, line, flat_step()).withColumn("total", F.max("along").over(Window.partitionBy(line)))
+    count = F.greatest(F.lit(1), F.ceil(F.col("total") / spacing)).cast("bigint")
+    s = F.when(F.col("k") == F.col("count"), F.col("total")).otherwise(F.col("total") * F.col("k") / F.col("count"))
+    before = F.col("along") - F.col("step")
+    # a sample at a vertex is the end of the step before; one of slack on both sides, as the exact test decides
+    low, high = F.floor(before / F.col("total") * F.col("count")) - 1, F.ceil(F.col("along") / F.col("total") * F.col("count")) + 1
+    on = track.withColumns({"count": count, "prior": F.lag("along").over(Window.partitionBy(line).orderBy("seq"))}).where("total > 0 and along > prior")
+    bounded = F.sequence(F.greatest(F.lit(0).cast("bigint"), low), F.least(F.col("count"), high))
+    found = on.withColumn("k", F.explode(bounded)).withColumn("s", s).where(((F.col("s") > F.col("prior")) | (F.col("k") == 0) & (F.col("prior") == 0)) & (F.col("s") <= F.col("along")))
+    t = (F.col("s") - F.col("prior")) / (F.col("along") - F.col("prior"))
+    return found.select(line, "k", "s", *((F.col(f"p{v}") + (F.col(v) - F.col(f"p{v}")) * t).alias(v) for v in "xy"))
+
+
+def coverage(original: DataFrame, final: DataFrame, tolerance: float) -> DataFrame:
+    """One row: the share of the length of original segments whose middle lies within tolerance of a final one (ax, ay, bx, by);
+    0 without any. Middles meet segments by cell."""
+    length = F.sqrt((F.col("bx") - F.col("ax")) ** 2 + (F.col("by") - F.col("ay")) ** 2)
+    middles = original.select(length.alias("length"), ((F.col("ax") + F.col("bx")) / 2).alias("x"), ((F.col("ay") + F.col("by")) / 2).alias("y"))
+    # places that many segments have in common are looked up once
+    places = middles.groupBy("x", "y").agg(F.sum("length").alias("length"))
+    kept = final.select(F.lit(0).alias("segment"), "ax", "ay", "bx", "by").distinct()
+    near = nearest_segments(places.withColumn("point", F.struct("x", "y")).drop("length"), kept, tolerance, 1).select(F.col("point.x").alias("x"), F.col("point.y").alias("y"), F.lit(True).alias("near"))
+    told = places.join(near, ["x", "y"], "left")
+    return told.agg(F.coalesce(F.sum(F.when(F.col("near"), F.col("length"))) / F.nullif(F.sum("length"), F.lit(0.0)), F.lit(0.0)).alias("covered"))

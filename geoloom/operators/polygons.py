@@ -133,3 +133,24 @@ def to_mask(polygons: DataFrame, size: float = 1.0) -> DataFrame:
     spans = runs.where(F.size("x") >= 2).select("id", "row", F.explode(pairs).alias("r"))
     first, last = F.ceil(F.col("r.a") / size - 0.5).cast("bigint"), (F.ceil(F.col("r.b") / size - 0.5) - 1).cast("bigint")
     return spans.where(last >= first).select("id", "row", F.explode(F.sequence(first, last)).alias("col")).distinct()
+
+
+def row_crossings(rings: DataFrame, y0: float, step: float) -> DataFrame:
+    """(id, row, x) where the edges of rings (id, ring) cross the lines y = y0 + row * step. An edge holds its lower end and not
+    its upper one, so a vertex on a line counts once for each side that goes on; level edges cross nothing."""
+    edge = lambda p, i: F.struct(p.alias("a"), F.get(F.col("ring"), (i + 1) % F.size("ring")).alias("b"))
+    edges = rings.select("id", F.explode(F.transform("ring", edge)).alias("e")).select("id", "e.a", "e.b")
+    low, high = F.least("a.y", "b.y"), F.greatest("a.y", "b.y")
+    first, last = F.ceil((low - y0) / step) - 1, F.ceil((high - y0) / step)  # one of slack: the test below decides
+    y = F.col("row") * F.lit(step) + y0
+    met = edges.where(low < high).withColumn("row", F.explode(F.sequence(first, last))).where((y >= low) & (y < high))
+    return met.select("id", "row", (F.col("a.x") + (y - F.col("a.y")) / (F.col("b.y") - F.col("a.y")) * (F.col("b.x") - F.col("a.x"))).alias("x"))
+
+
+def tidy_ring(ring: Column, tolerance: float = 1e-9) -> Column:
+    """A ring without vertices that lie within tolerance, on both axes, of the one kept before, nor any at its end by its first."""
+    by = lambda p, q: (F.abs(p["x"] - q["x"]) <= tolerance) & (F.abs(p["y"] - q["y"]) <= tolerance)
+    none = F.slice(ring, 1, 0)
+    kept = F.aggregate(ring, none, lambda out, p: F.when(F.coalesce(by(F.try_element_at(out, F.lit(-1)), p), F.lit(False)), out).otherwise(F.concat(out, F.array(p))))
+    away = F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(kept), F.lit(1))), F.lit(1), lambda n, i: F.when(~F.coalesce(by(F.try_element_at(kept, i), kept[0]), F.lit(True)), i).otherwise(n))
+    return F.slice(kept, 1, away)

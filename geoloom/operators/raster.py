@@ -181,3 +181,15 @@ def triangles(grid: DataFrame, value: str) -> DataFrame:
     point = lambda r, c, n: F.struct((F.col("col") + c).cast("double").alias("x"), (F.col("row") + r).cast("double").alias("y"), F.col(n).alias("z"))
     two = F.array(F.array(point(0, 0, "v00"), point(0, 1, "v10"), point(1, 1, "v11")), F.array(point(0, 0, "v00"), point(1, 1, "v11"), point(1, 0, "v01")))
     return squares.select("row", "col", F.posexplode(two).alias("half", "corners"))
+
+
+def bilinear_samples(grid: DataFrame, points: DataFrame, rows: int, columns: int) -> DataFrame:
+    """Per point (id, x, y in cells) the value between the four cells (row, col, v) around it, places past the edge taken at it;
+    null where one of those cells is missing. Points are sent to their cells, so the grid is shuffled once and never held whole."""
+    held = lambda v, most: F.greatest(F.lit(0.0), F.least(F.lit(float(most - 1)), v))
+    at = points.select("id", held(F.col("x"), columns).alias("x"), held(F.col("y"), rows).alias("y"))
+    low = at.withColumns({"c": F.floor("x").cast("bigint"), "r": F.floor("y").cast("bigint")}).withColumns({"fx": F.col("x") - F.col("c"), "fy": F.col("y") - F.col("r")})
+    corner = lambda dr, dc: F.struct((F.col("r") + dr).alias("row"), (F.col("c") + dc).alias("col"), ((F.col("fy") if dr else 1 - F.col("fy")) * (F.col("fx") if dc else 1 - F.col("fx"))).alias("w"))
+    sent = low.select("id", F.explode(F.array(*(corner(r, c) for r in (0, 1) for c in (0, 1)))).alias("k")).select("id", "k.*").where("w > 0")
+    met = sent.join(grid.select("row", "col", "v"), ["row", "col"], "left")
+    return met.groupBy("id").agg(F.when(F.count("v") == F.count("*"), F.sum(F.col("w") * F.col("v"))).alias("v"))

@@ -235,6 +235,20 @@ def mask_overlay(spark, sf_dir):
     return kinds.agg(F.count("*").alias("together"), F.count_if(F.expr("a and b")).alias("both"), F.count_if(F.expr("a and not b")).alias("first_only"))
 
 
+@query(with_views("footprints", """, p AS (SELECT id, x0 AS ax, y0 AS ay, x1 AS bx, y0 + id % 3 AS by_, x1 + 1 AS cx, y1 AS cy, x0 AS dx, y1 + 2 AS dy FROM footprints),
+e AS (SELECT id, ax AS x, ay AS y, bx AS u, by_ AS v FROM p UNION ALL SELECT id, bx, by_, cx, cy FROM p UNION ALL SELECT id, cx, cy, dx, dy FROM p UNION ALL SELECT id, dx, dy, ax, ay FROM p),
+r AS (SELECT *, unnest(range(floor(least(y, v) / 2)::BIGINT - 1, ceil(greatest(y, v) / 2)::BIGINT + 1)) AS row FROM e)
+SELECT id, row, round(x + (row * 2 + 1 - y) / (v - y) * (u - x), 6) AS x FROM r WHERE row * 2 + 1 >= least(y, v) AND row * 2 + 1 < greatest(y, v)"""))
+def row_crossings(spark, sf_dir):
+    return polygons.row_crossings(_rings(spark, sf_dir), 1.0, 2.0).select("id", "row", F.round("x", 6).alias("x"))
+
+
+@query(with_views("footprints", """ SELECT id, 3 + CASE WHEN id % 3 = 0 THEN 0 ELSE 1 END + CASE WHEN id % 2 = 0 THEN 1 ELSE 0 END AS n FROM footprints"""))
+def tidy_rings(spark, sf_dir):
+    ring = F.concat(F.slice("ring", 1, 3), F.when(F.col("id") % 3 == 0, F.slice("ring", 3, 1)).otherwise(F.slice("ring", 4, 1)), F.when(F.col("id") % 2 == 0, F.array(F.struct((F.col("ring")[0]["x"] - 3).alias("x"), F.col("ring")[0]["y"].alias("y")), F.col("ring")[0])).otherwise(F.slice("ring", 1, 1)))
+    return _rings(spark, sf_dir).select("id", F.size(polygons.tidy_ring(ring)).cast("bigint").alias("n"))
+
+
 @query()
 def least_rectangles(spark, sf_dir):
     corners = _rings(spark, sf_dir).select("id", polygons.least_rectangle(F.col("ring")).alias("r"))

@@ -63,6 +63,37 @@ def seam_join(spark, sf_dir):
     return lines.seam_pairs(ends, 20.0).select("seam", "kind", "a", "b", F.round("gap", 6).alias("gap"), F.round("along", 6).alias("along"))
 
 
+@query(with_views("tracks", f""", {_STEPS} SELECT track, seq, k, n, round(CASE WHEN px IS NULL THEN x ELSE px + (x - px) * k / n END, 6) AS x, round(CASE WHEN py IS NULL THEN y ELSE py + (y - py) * k / n END, 6) AS y
+FROM (SELECT *, unnest(range(1, n + 1)) AS k FROM (SELECT *, greatest(1, ceil(step / 150))::BIGINT AS n FROM g))"""))
+def densify_line(spark, sf_dir):
+    return lines.densified(view(spark, sf_dir, "tracks"), "track", 150.0).select("track", "seq", "k", "n", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
+@query(with_views("tracks", f""", {_STEPS}, h AS (SELECT *, LAG(along) OVER (PARTITION BY track ORDER BY seq) AS prior FROM g), n AS (SELECT track, MAX(along) AS total, greatest(1, ceil(MAX(along) / 100))::BIGINT AS n FROM g GROUP BY track HAVING MAX(along) > 0), k AS (SELECT *, CASE WHEN k = n THEN total ELSE total * k / n END AS s FROM (SELECT *, unnest(range(n + 1)) AS k FROM n))
+SELECT k.track, k, round(s, 4) AS s, round(px + (x - px) * (s - prior) / (h.along - prior), 3) AS x, round(py + (y - py) * (s - prior) / (h.along - prior), 3) AS y FROM k JOIN (SELECT k.track AS t, k.k AS kk, MIN(h.along) AS along FROM k JOIN h ON h.track = k.track AND h.along >= k.s AND h.along > h.prior GROUP BY ALL) f ON f.t = k.track AND f.kk = k.k JOIN h ON h.track = k.track AND h.along = f.along AND h.along > h.prior"""))
+def track_samples(spark, sf_dir):
+    return lines.samples_along(view(spark, sf_dir, "tracks"), "track", 100.0).select("track", "k", F.round("s", 4).alias("s"), F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
+
+
+@query(with_views("lines", """, m AS (SELECT (ax + bx) / 2 AS x, (ay + by_) / 2 AS y, sqrt(pow(bx - ax, 2) + pow(by_ - ay, 2)) AS len FROM lines), o AS (SELECT *, pow(bx - ax, 2) + pow(by_ - ay, 2) AS l2 FROM lines WHERE rank <= 1)
+SELECT round(coalesce(SUM(len) FILTER (EXISTS (SELECT 1 FROM o WHERE m.x BETWEEN ax - 4 AND bx + 4 AND m.y BETWEEN ay - 4 AND by_ + 4 AND sqrt(pow(m.x - ax - greatest(0, least(1, ((m.x - ax) * (bx - ax) + (m.y - ay) * (by_ - ay)) / l2)) * (bx - ax), 2) + pow(m.y - ay - greatest(0, least(1, ((m.x - ax) * (bx - ax) + (m.y - ay) * (by_ - ay)) / l2)) * (by_ - ay), 2)) <= 4)) / SUM(len), 0), 9) AS covered FROM m"""))
+def line_coverage(spark, sf_dir):
+    own = view(spark, sf_dir, "lines").withColumnRenamed("by_", "by")
+    return lines.coverage(own, own.where("rank <= 1"), 4.0).select(F.round("covered", 9).alias("covered"))
+
+
+@query("SELECT l_suppkey AS model, MIN(l_partkey) AS least_x, MIN(l_quantity) AS least_y, MIN(l_tax) AS least_z, MAX(l_partkey) AS most_x, MAX(l_quantity) AS most_y, MAX(l_tax) AS most_z FROM lineitem GROUP BY 1")
+def part_bounds(spark, sf_dir):
+    corners = view(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("model"), F.col("l_partkey").alias("x"), F.col("l_quantity").alias("y"), F.col("l_tax").alias("z"))
+    return edits.part_bounds(corners, "model")
+
+
+@query("""SELECT area, survey, ROW_NUMBER() OVER (PARTITION BY area ORDER BY CASE WHEN place = won THEN 0 ELSE 1 END, place) AS place FROM (SELECT *, MIN(CASE WHEN survey % 5 = 2 THEN place END) OVER (PARTITION BY area) AS won FROM (SELECT s_nationkey AS area, s_suppkey AS survey, ROW_NUMBER() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey) AS place FROM supplier))""")
+def chosen_first(spark, sf_dir):
+    own = spark.sql("SELECT s_nationkey AS area, s_suppkey AS survey, CAST(ROW_NUMBER() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey) AS BIGINT) AS place FROM {s}", s=view(spark, sf_dir, "supplier"))
+    return edits.chosen_first(own, "area", F.col("survey") % 5 == 2).select("area", "survey", "place")
+
+
 _NEAR = "(SELECT part, MIN(x) AS x, MIN(y) AS y FROM points GROUP BY part)"
 
 
@@ -84,6 +115,11 @@ def line_shadow_share(spark, sf_dir):
     return graph.shadowed_share(own, 3.0, 2.0).withColumn("shadowed", F.round("shadowed", 6))
 
 
+@query()
+def culled_lines(spark, sf_dir):
+    return graph.culled(view(spark, sf_dir, "lines").withColumnRenamed("by_", "by"), 3.0, 2.0)
+
+
 @query(with_views("tracks", f""", v AS (SELECT track, seq, floor(x / 20) * 20 AS x, floor(y / 20) * 20 AS y FROM tracks), b AS (SELECT *, LAG(x) OVER w AS px, LAG(y) OVER w AS py FROM v WINDOW w AS (PARTITION BY track ORDER BY seq)), g AS (SELECT *, SUM({_STEP}) OVER (PARTITION BY track ORDER BY seq ROWS UNBOUNDED PRECEDING) AS along FROM b),
 p AS (SELECT track, seq, x, y, along / MAX(along) OVER (PARTITION BY track) AS pos, COUNT(*) OVER (PARTITION BY track) AS n, ROW_NUMBER() OVER (PARTITION BY track ORDER BY seq) AS i FROM g),
 i AS (SELECT * FROM p WHERE i > 1 AND i < n AND EXISTS (SELECT 1 FROM v WHERE v.track <> p.track AND abs(v.x - p.x) <= 20 AND abs(v.y - p.y) <= 20)),
@@ -218,4 +254,4 @@ def snap_tracks(spark, sf_dir):
     near = lines.nearest_segments(samples.select(key.alias("point"), "x", "y"), segments.withColumnRenamed("edge", "segment"), graph.RADIUS_M)
     candidates = near.select(F.floor(F.col("point") / 10_000_000).alias("track"), (F.col("point") % 10_000_000).alias("seq"), F.col("segment").alias("edge"), "t", "distance")
     roads = segments.select("edge", node(F.col("ax") / 100, F.col("ay") / 100).alias("a"), node(F.col("bx") / 100, F.col("by") / 100).alias("b"), F.lit(100.0).alias("length"))
-    return graph.matched(samples, candidates, samples.select("track").distinct().crossJoin(roads), "track")
+    return graph.matched(samples, candidates, graph.roads_near(samples, segments, "track").join(roads, "edge"), "track")

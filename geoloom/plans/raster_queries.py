@@ -140,3 +140,12 @@ def land_priority(spark, sf_dir):
 @query(with_views("cells", "SELECT row, col, COUNT(*) AS n_returns, MAX(z) AS top FROM cells GROUP BY row, col"))
 def stream_surface(spark, sf_dir):
     return streaming.replayed(view(spark, sf_dir, "points"))
+
+
+@query(with_views("grid", """, p AS (SELECT id, greatest(0, least(59, x)) AS x, greatest(0, least(59, y)) AS y FROM (SELECT c_custkey AS id, (c_custkey * 37 % 640)::DOUBLE / 10 - 2 AS x, (c_custkey * 53 % 640)::DOUBLE / 10 - 2 AS y FROM customer)),
+k AS (SELECT id, CAST(floor(y) AS BIGINT) + dr AS row, CAST(floor(x) AS BIGINT) + dc AS col, abs(1 - dr - (y - floor(y))) * abs(1 - dc - (x - floor(x))) AS w FROM p, (SELECT unnest([0, 0, 1, 1]) AS dr, unnest([0, 1, 0, 1]) AS dc))
+SELECT id, round(CASE WHEN COUNT(v) = COUNT(*) THEN SUM(w * v) END, 6) AS v FROM k LEFT JOIN grid USING (row, col) WHERE w > 0 GROUP BY id"""))
+def bilinear_samples(spark, sf_dir):
+    at = lambda by, name: ((F.col("c_custkey") * by % 640).cast("double") / 10 - 2).alias(name)
+    points = view(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), at(37, "x"), at(53, "y"))
+    return raster.bilinear_samples(view(spark, sf_dir, "grid"), points, 60, 60).select("id", F.round("v", 6).alias("v"))

@@ -121,42 +121,59 @@ def read_geojson(data: bytes) -> tuple[str, Lines]:
 
 
 def read_fit(data: bytes) -> tuple[str, Lines]:
-    """Positions of a FIT file's record messages (global number 20, fields 0 and 1, in 2 ** 31 parts of 180 degrees)."""
-    at, end = data[0], data[0] + struct.unpack_from("<I", data, 4)[0]
+    """Positions of the record messages (global number 20, fields 0 and 1, in 2 ** 31 parts of 180 degrees) of all FIT files that
+    stand one after another, and the name of the first course (31, field 5). A record without a position parts lines."""
+    name, lines, at = "", [], 0
+    while at + 12 <= len(data) and data[at] in (12, 14) and data[at + 8 : at + 12] == b".FIT":
+        end = at + data[at] + struct.unpack_from("<I", data, at + 4)[0]
+        line: list[tuple[float, float]] = []
+        for number, fields in _fit_messages(data, at + data[at], min(end, len(data))):
+            if number == 31 and not name:
+                name = fields[5][1].split(b"\0")[0].decode("utf-8", "replace") if 5 in fields else ""
+            places = [struct.unpack(f"{order}i", raw)[0] for order, raw in (fields[f] for f in (1, 0) if f in fields) if len(raw) == 4]
+            if number != 20 or len(places) != 2:
+                continue
+            if 0x7FFFFFFF not in places:
+                line.append((places[0] * 180 / 2**31, places[1] * 180 / 2**31))
+            elif line:
+                lines.append(line)
+                line = []
+        lines += [line] if line else []
+        at = end + 2  # its checksum
+    return name, lines
+
+
+def _fit_messages(data: bytes, at: int, end: int) -> Iterator[tuple[int, dict[int, tuple[str, bytes]]]]:
+    """The global number of each data message of one FIT file, and the byte order and bytes of its fields."""
     kinds: dict[int, tuple[str, int, list[tuple[int, int]], int]] = {}
-    line: list[tuple[float, float]] = []
-    while at < min(end, len(data)):
+    while at < end:
         head = data[at]
         at += 1
         local = head >> 5 & 3 if head & 0x80 else head & 15
         if not head & 0x80 and head & 0x40:
-            if at + 5 > len(data):
-                break
+            if at + 5 > end:
+                return
             order = ">" if data[at + 1] else "<"
             number, n = struct.unpack_from(f"{order}HB", data, at + 2)
-            fields = [(data[at + 5 + 3 * k], data[at + 6 + 3 * k]) for k in range(n) if at + 6 + 3 * k < len(data)]
+            fields = [(data[at + 5 + 3 * k], data[at + 6 + 3 * k]) for k in range(n) if at + 6 + 3 * k < end]
             at += 5 + 3 * n
             extra = 0
-            if head & 0x20:
-                extra = sum(data[at + 2 + 3 * k] for k in range(data[at]))
+            if head & 0x20 and at < end:
+                extra = sum(data[at + 2 + 3 * k] for k in range(data[at]) if at + 2 + 3 * k < end)
                 at += 1 + 3 * data[at]
             kinds[local] = (order, number, fields, sum(s for _, s in fields) + extra)
             continue
         if local not in kinds:
-            break
+            return
         order, number, fields, size = kinds[local]
-        if at + size > len(data):
-            break
-        if number == 20:
-            place, found = at, {}
-            for field, width in fields:
-                if field in (0, 1) and width == 4:
-                    found[field] = struct.unpack_from(f"{order}i", data, place)[0]
-                place += width
-            if len(found) == 2 and 0x7FFFFFFF not in found.values():
-                line.append((found[1] * 180 / 2**31, found[0] * 180 / 2**31))
+        if at + size > end:
+            return
+        told, place = {}, at
+        for field, width in fields:
+            told[field] = (order, data[place : place + width])
+            place += width
+        yield number, told
         at += size
-    return "", [line] if line else []
 
 
 def read_track(data: bytes) -> tuple[str, Lines]:

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geoloom.operators.raster import to_grid
-from geoloom.sources.tables import cut
+from geoloom.sources.tables import cut, shared_folder
 
 
 def running_layers(points: DataFrame, x0: float = 0.0, y0: float = 0.0, dx: float = 1.0) -> DataFrame:
@@ -26,13 +25,13 @@ def windowed_layers(points: DataFrame, length: str, late: str, dx: float = 1.0)
 def replayed(points: DataFrame) -> DataFrame:
     """running_layers of points that are read as a stream of files until none is left. The last state of each cell stays."""
     spark = points.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="geoloom-stream-")
-    base = f"{folder}/stream-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     points.select("x", "y", "z").write.parquet(f"{base}/in")
     stream = spark.readStream.schema("x double, y double, z double").parquet(f"{base}/in")
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.write.parquet(f"{base}/out/batch={number}")
+        # a batch replayed after a failure takes the place of what it left
+        batch.write.mode("overwrite").parquet(f"{base}/out/batch={number}")
 
     writer = running_layers(stream).writeStream.outputMode("complete").foreachBatch(keep)
     writer.option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()

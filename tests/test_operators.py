@@ -3,6 +3,7 @@
 import math
 import struct
 
+import numpy as np
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -119,3 +120,30 @@ def test_wkb():
     assert codecs.wkb_rings(struct.pack("<BII", 1, 4, 1) + point) == [[(3.0, 4.0)]]
     for bad in (point[:-1], point + b"x", b"", b"\x07", None, struct.pack("<BII", 1, 2, 1 << 30)):
         assert codecs.wkb_rings(bad) is None
+
+
+def test_culled_as_one_by_one(spark):
+    """Rounds decide as going through the lines in order does."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for k in range(160):
+        x, y, n = float(rng.integers(0, 60)), float(rng.integers(0, 30)), float(rng.integers(4, 20))
+        flat = bool(rng.integers(0, 4))
+        rows.append((k, int(rng.integers(0, 3)), x, y, x + n * flat, y + n * (not flat)))
+    got = {r.id: r.kept for r in graph.culled(spark.createDataFrame(rows, "id bigint, rank int, ax double, ay double, bx double, by double"), 3.0, 2.0).collect()}
+
+    def far(px, py, ax, ay, bx, by):
+        t = max(0, min(1, ((px - ax) * (bx - ax) + (py - ay) * (by - ay)) / ((bx - ax) ** 2 + (by - ay) ** 2)))
+        return math.hypot(px - ax - t * (bx - ax), py - ay - t * (by - ay))
+
+    length = lambda r: math.hypot(r[4] - r[2], r[5] - r[3])
+    kept, want = [], {}
+    for r in sorted(rows, key=lambda r: (r[1], -length(r), r[0])):
+        n = max(1, math.ceil(length(r) / 2))
+        places = [(r[2] + (r[4] - r[2]) * k / n, r[3] + (r[5] - r[3]) * k / n) for k in range(n + 1)]
+        beside = [o for o in kept if abs((r[4] - r[2]) * (o[4] - o[2]) + (r[5] - r[3]) * (o[5] - o[3])) / length(r) / length(o) >= math.cos(math.radians(30))]
+        hits = sum(any(far(*p, *o[2:]) <= 3 for o in beside) for p in places)
+        want[r[0]] = hits < 0.7 * (n + 1) - 1e-9
+        if want[r[0]]:
+            kept.append(r)
+    assert got == want and 20 < len(kept) < 150

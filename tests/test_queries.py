@@ -49,7 +49,7 @@ def test_entry(spark):
 
 def test_no_nested_loops(spark):
     """Spatial and range joins meet by cell: none of them compares all with all."""
-    for name in ("spatial_join_box", "neighbours_30m", "ring_points", "nearest_k", "line_shadow_share", "seam_join", "vertex_junctions"):
+    for name in ("spatial_join_box", "neighbours_30m", "ring_points", "nearest_k", "line_shadow_share", "seam_join", "vertex_junctions", "line_coverage", "snap_tracks", "row_crossings", "bilinear_samples"):
         plan = catalogue.queries()[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
         assert "NestedLoop" not in plan and "Cartesian" not in plan, name
 

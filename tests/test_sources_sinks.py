@@ -131,3 +131,17 @@ def test_polygons(spark):
     turned = np.array(square) @ np.array([[0.8, 0.6], [-0.6, 0.8]])
     area = polygons.rectangle_points(np.vstack([turned, turned.mean(axis=0)]))
     assert np.linalg.norm(area[1] - area[0]) * np.linalg.norm(area[2] - area[1]) == pytest.approx(16)
+
+
+def test_fit_files_one_after_another():
+    course = bytes([0x41, 0, 0]) + struct.pack("<HB", 31, 1) + bytes([5, 6, 7]) + bytes([1]) + b"Loop\0\0"
+    part = 2**31 / 180
+    record = lambda lat, lon: bytes([0]) + struct.pack("<ii", int(lat * part), int(lon * part))
+    define = bytes([0x40, 0, 0]) + struct.pack("<HB", 20, 2) + bytes([0, 4, 0x85, 1, 4, 0x85])
+    lost = bytes([0]) + struct.pack("<ii", 0x7FFFFFFF, 0x7FFFFFFF)
+    body = course + define + record(46, 7) + lost + record(47, 8) + record(48, 9)
+    more = bytes([12, 16]) + struct.pack("<HI", 0, len(body)) + b".FIT" + body + b"\0\0"
+    name, lines = tracks.read_fit(fit() + more)
+    assert name == "Loop" and [len(x) for x in lines] == [2, 1, 2]
+    assert lines[2][1] == pytest.approx((9, 48), abs=1e-6)
+    assert [len(x) for x in tracks.read_fit((fit() + more)[:-6])[1]] == [2, 1, 1]
