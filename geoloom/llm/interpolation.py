@@ -32,7 +32,7 @@ ITERATIONS = 60
 TUNING, TRAINING, HELD_OUT, TOTALS = 0, 1, 2, 3
 _ASK = "range int, block int, words binary, word_counts binary, pairs binary, pair_counts binary"
 _TOLD = "block int, range int, n_words int, word_counts binary, n_pairs int, pair_counts binary, total array<bigint>"
-_SCORED = "doc_id bigint, role int, pair_counts array<int>, word_counts array<int>, tuning_pairs array<int>, tuning_words array<int>, total array<bigint>"
+_SCORED = "doc_id bigint, role int, pair_counts array<bigint>, word_counts array<bigint>, tuning_pairs array<bigint>, tuning_words array<bigint>, total array<bigint>"
 
 
 def _ranges(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -89,17 +89,22 @@ def _unpack40(packed: bytes) -> np.ndarray:
 
 
 def _packed(counts: np.ndarray) -> bytes:
-    """Small numbers, nearly all of them 0 or 1, as compressed bytes."""
-    return pa.compress(np.ascontiguousarray(counts.T.astype("<u4")).tobytes(), codec="zstd", asbytes=True) if len(counts) else b""
+    """Numbers, nearly all of them 0 or 1, as compressed bytes, after one with how wide they are."""
+    if not len(counts):
+        return b""
+    width = 4 if counts.max() < 1 << 32 else 8
+    return bytes([width]) + pa.compress(np.ascontiguousarray(counts.T.astype(f"<u{width}")).tobytes(), codec="zstd", asbytes=True)
 
 
 def _unpacked(packed: bytes, n: int) -> np.ndarray:
-    raw = pa.decompress(packed, decompressed_size=8 * n, codec="zstd", asbytes=True) if n else b""
-    return np.frombuffer(raw, "<u4").reshape(2, n).T
+    if not n:
+        return np.zeros((0, 2), np.int64)
+    raw = pa.decompress(packed[1:], decompressed_size=2 * n * packed[0], codec="zstd", asbytes=True)
+    return np.frombuffer(raw, f"<u{packed[0]}").reshape(2, n).T.astype(np.int64)
 
 
 def _table(rows: list[tuple], schema: str) -> pa.Table:
-    types = {"int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32()), "array<bigint>": pa.list_(pa.int64())}
+    types = {"int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary(), "array<bigint>": pa.list_(pa.int64())}
     fields = [c.split(" ") for c in schema.split(", ")]
     columns = list(zip(*rows, strict=True)) or [[]] * len(fields)
     return pa.table([pa.array(c, types[t]) for c, (_, t) in zip(columns, fields, strict=True)], names=[name for name, _ in fields])
@@ -119,7 +124,7 @@ def _summed(keys: list[np.ndarray], counts: list[bytes]) -> tuple[list[bytes], n
     """What to tell each asker: the counts of its keys, summed over all; and the sums."""
     found, at = np.unique(np.concatenate(keys), return_inverse=True)
     own = np.concatenate([_unpacked(c, len(k)) for c, k in zip(counts, keys, strict=True)])
-    sums = np.stack([np.bincount(at, own[:, k], len(found)) for k in (0, 1)], axis=1).astype(np.uint32)
+    sums = np.stack([np.bincount(at, own[:, k], len(found)) for k in (0, 1)], axis=1).astype(np.int64)  # exact to 2 ** 53
     out, low = [], 0
     for k in keys:
         out.append(_packed(sums[at[low : low + len(k)]]))
@@ -132,8 +137,7 @@ def _tells(table: pa.Table) -> pa.Table:
     asked_words, asked_pairs = [np.frombuffer(w, np.uint64) for w in names["words"]], [_unpack40(p) for p in names["pairs"]]
     words, sums = _summed(asked_words, names["word_counts"])
     pairs, _ = _summed(asked_pairs, names["pair_counts"])
-    both = sums.astype(np.int64).sum(axis=1)
-    train = sums[:, 1].astype(np.int64)
+    both, train = sums.sum(axis=1), sums[:, TRAINING]
     total = [int(both.sum()), int((both > 0).sum()), int(train.sum()), int((train > 0).sum())]
     told = zip(names["block"], names["range"], map(len, asked_words), words, map(len, asked_pairs), pairs, strict=True)
     return _table([(*row, total if not k else None) for k, row in enumerate(told)], _TOLD)
@@ -149,11 +153,11 @@ def _scored(key: tuple, texts: pa.Table, told: pa.Table) -> pa.Table:
         raise RuntimeError("a block's texts changed between two reads")
     columns = {}
     for name, counts, at in (("pair", pairs, block.pair_at), ("word", words, block.word_at)):
-        columns[f"{name}_counts"] = counts.sum(axis=1, dtype=np.int64)[at].astype(np.int32)
-        columns[f"tuning_{name}s"] = counts[:, TRAINING].astype(np.int32)[at]
+        columns[f"{name}_counts"] = counts.sum(axis=1, dtype=np.int64)[at]
+        columns[f"tuning_{name}s"] = counts[:, TRAINING].astype(np.int64)[at]
     offsets = pa.array(block.offsets, pa.int32())
     tuning = pa.array(block.roles != TUNING)
-    lists = {name: pa.ListArray.from_arrays(offsets, pa.array(v, pa.int32())) for name, v in columns.items()}
+    lists = {name: pa.ListArray.from_arrays(offsets, pa.array(v, pa.int64())) for name, v in columns.items()}
     lists |= {name: pa.compute.if_else(tuning, pa.scalar(None, v.type), v) for name, v in lists.items() if name.startswith("tuning")}
     names = [c.split(" ")[0] for c in _SCORED.split(", ")]
     totals = [(None, TOTALS, None, None, None, None, t) for t in told["total"].to_pylist() if t is not None]

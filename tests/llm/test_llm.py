@@ -963,3 +963,33 @@ def test_pipeline_odd(spark, odd, none, tmp_path):
         got = corpus_pipeline.run(spark, str(tmp_path / name)).collect()
         # one of each: 1 of those without text, the spaces of 3, the lower of two near copies, both texts of 6, and single ones
         assert sorted((r.doc_id for r in got if r.start == 0), key=str) == sorted([1, 3, 4, None, 6, 6, 7, 8, -9] if name == "odd" else [], key=str)
+
+
+def test_large_counts_survive():
+    keys = [np.array([3, 9], np.uint64), np.array([9], np.uint64), np.zeros(0, np.uint64)]
+    sent = [interpolation._packed(np.array(c, np.uint64).reshape(-1, 2)) for c in ([[1, 0], [2**32 - 1, 2**40]], [[7, 2**33]], [])]
+    told, sums = interpolation._summed(keys, sent)
+    assert sums.tolist() == [[1, 0], [2**32 + 6, 2**40 + 2**33]]
+    assert interpolation._unpacked(told[1], 1).tolist() == [[2**32 + 6, 2**40 + 2**33]] and interpolation._unpacked(told[2], 0).shape == (0, 2)
+
+
+def test_weights_are_those_of_em(spark):
+    """EM token by token, without rounding probabilities to cells, gives nearly the same weights."""
+    table_, (_, _, tokens, distinct) = interpolation.counted(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
+    got = interpolation.weights(table_, tokens, distinct)
+    own, parts = [], []
+    for r in table_.where(f"role = {interpolation.TUNING}").collect():
+        words = r.tuning_words
+        for pair, word, context in zip(r.tuning_pairs, words, [words[-1], *words[:-1]], strict=True):
+            own.append(0 if context == 0 else min(int(math.log2(context)) + 1, interpolation.BUCKETS - 1))
+            parts.append((pair / max(context, 1), word / tokens, 1 / (distinct + 1)))
+    own, parts = np.array(own), np.array(parts)
+    want = np.tile([0.3, 0.6, 0.1], (interpolation.BUCKETS, 1))
+    for _ in range(interpolation.ITERATIONS):
+        share = want[own] * parts
+        share /= share.sum(axis=1)[:, None]
+        sums = np.stack([np.bincount(own, share[:, k], interpolation.BUCKETS) for k in range(3)], axis=1) + 0.01 * want
+        want = sums / sums.sum(axis=1)[:, None]
+    many = np.flatnonzero(np.bincount(own, minlength=interpolation.BUCKETS) > 100)
+    many = many[many > 0]
+    assert len(many) > 3 and np.abs(got[many] - want[many]).max() < 0.01
