@@ -24,7 +24,9 @@ def bbox_scan(spark, sf_dir):
 @query(with_views("points", "SELECT part, MIN(z) AS z, arg_min(x, z * 1000000 + x * 1000 + y) AS x FROM points WHERE x > 20 AND x < 90 AND y > 10 AND y < 140 GROUP BY part"))
 def scan_first_wins(spark, sf_dir):
     rows = view(spark, sf_dir, "points").withColumn("id", F.col("part")).withColumn("bbox", F.struct(F.col("x").alias("xmin"), F.col("x").alias("xmax"), F.col("y").alias("ymin"), F.col("y").alias("ymax")))
-    found = features.scan(rows, features.Bounds(20, 10, 90, 140), ["z", "x", "y"], box="bbox")
+    # the SQL's own order: by z, but not by x before y, as a y may weigh more than a step of x
+    first = F.col("z") * 1000000 + F.col("x") * 1000 + F.col("y")
+    found = features.scan(rows, features.Bounds(20, 10, 90, 140), [first, "x"], box="bbox")
     return found.select("part", "z", "x")
 
 

@@ -63,3 +63,16 @@ def test_bounds_reach_the_scan(spark, tmp_path):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters" in plan and "bbox.xmin" in plan and "unused" not in plan
     assert sorted(r.id for r in found.collect()) == [10, 11]
+
+
+def test_first_of_a_part_is_the_sql_s(spark, tmp_path):
+    """A y may weigh more than a step of x in the SQL's order: 20.125, 136.125 comes after 20.25, 10.25."""
+    from geoloom.plans import feature_queries
+
+    part = next(p for p in range(200) if p * 37 % 200 == 20)
+    sql = f"""SELECT * FROM (VALUES (96, {part}, 1), (110, {part}, 2)) t(l_orderkey, l_partkey, l_linenumber)"""
+    duckdb.sql(f"COPY (SELECT l_orderkey::BIGINT AS l_orderkey, l_partkey::BIGINT AS l_partkey, 1::BIGINT AS l_suppkey, l_linenumber::INT AS l_linenumber, 7.0::DOUBLE AS l_quantity, 'A' AS l_returnflag, 'O' AS l_linestatus FROM ({sql})) TO '{tmp_path}/lineitem.parquet' (FORMAT parquet)")
+    con = duckdb.connect()
+    con.execute(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet'")
+    want = con.execute(catalogue.oracle_sql()["scan_first_wins"]).fetchall()
+    assert [tuple(r) for r in feature_queries.scan_first_wins(spark, str(tmp_path)).collect()] == want == [(part, 7.0, 20.25)]
