@@ -178,7 +178,7 @@ def spatial_join_box(spark, sf_dir):
 @query(with_views("footprints", "SELECT a.id AS id, COUNT(*) AS neighbours FROM footprints a JOIN footprints b ON a.x0 - 30 < b.x1 AND a.x1 + 30 > b.x0 AND a.y0 - 30 < b.y1 AND a.y1 + 30 > b.y0 AND a.id <> b.id GROUP BY a.id"))
 def neighbours_30m(spark, sf_dir):
     boxes = view(spark, sf_dir, "footprints").select("id", "x0", "y0", "x1", "y1")
-    return spatial.overlap_join(boxes, boxes, 60.0, 30.0).where("a_id <> b_id").groupBy(F.col("a_id").alias("id")).agg(F.count("*").alias("neighbours"))
+    return spatial.overlap_counts(boxes, 60.0, 30.0).withColumnRenamed("others", "neighbours")
 
 
 @query(with_views("footprints points", "SELECT id, COUNT(*) AS n, ROUND(AVG(z), 4) AS ground FROM footprints JOIN points ON cls = 2 AND x BETWEEN x0 - 5 AND x1 + 5 AND y BETWEEN y0 - 5 AND y1 + 5 AND NOT (x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1) GROUP BY id"))

@@ -147,3 +147,24 @@ def test_culled_as_one_by_one(spark):
         if want[r[0]]:
             kept.append(r)
     assert got == want and 20 < len(kept) < 150
+
+
+def boxes_that_meet(monkeypatch):
+    """The numbers of boxes that joins by cell are given from now on."""
+    from geoloom.operators import cells
+
+    seen, whole = [], cells.to_cells
+    monkeypatch.setattr(cells, "to_cells", lambda boxes, *more: seen.append(boxes.count()) or whole(boxes, *more))
+    return seen
+
+
+def test_neighbours_of_equal_boxes(spark, monkeypatch):
+    from geoloom.operators import cells
+
+    rng = np.random.default_rng(6)
+    own = [(k, *map(float, (x, y, x + 4, y + 3))) for k, (x, y) in enumerate(rng.integers(0, 12, (240, 2)) * 9)]
+    seen = boxes_that_meet(monkeypatch)
+    got = {r.id: r.others for r in cells.overlap_counts(spark.createDataFrame(own, "id bigint, x0 double, y0 double, x1 double, y1 double"), 12.0, 6.0).collect()}
+    want = {a[0]: sum(a[0] != b[0] and a[1] - 6 < b[3] and a[3] + 6 > b[1] and a[2] - 6 < b[4] and a[4] + 6 > b[2] for b in own) for a in own}
+    assert got == {k: n for k, n in want.items() if n}
+    assert max(seen) == len({b[1:] for b in own}) < 140
