@@ -215,9 +215,9 @@ def _distances(graph: dict, node: int, limit: float) -> dict[int, float]:
     return best
 
 
-def _by_others(lines: DataFrame, reach: float, spacing: float, angle_deg: float) -> tuple[DataFrame, DataFrame]:
+def _by_others(lines: DataFrame, reach: float, spacing: float, angle_deg: float, ranked: bool = True) -> tuple[DataFrame, DataFrame]:
     """(samples: id and number of samples of each line with a length; pairs: own, own_rank, own_len, the sample's k, and the id,
-    rank and len of another line that it lies by)."""
+    rank and len of another line that it lies by, of no worse rank); not ranked: of a line of any rank, itself too."""
     from geoloom.operators.cells import points_in_boxes
 
     length = F.sqrt((F.col("bx") - F.col("ax")) ** 2 + (F.col("by") - F.col("ay")) ** 2)
@@ -231,17 +231,25 @@ def _by_others(lines: DataFrame, reach: float, spacing: float, angle_deg: float)
     t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((F.col("x") - F.col("ax")) * dx + (F.col("y") - F.col("ay")) * dy) / (F.col("len") * F.col("len"))))
     far2 = (F.col("x") - F.col("ax") - t * dx) ** 2 + (F.col("y") - F.col("ay") - t * dy) ** 2
     along = F.abs(F.col("ux") * dx + F.col("uy") * dy) / F.col("len") >= math.cos(math.radians(angle_deg))
-    pairs = points_in_boxes(points, others, 2 * reach, reach).where((F.col("id") != F.col("own")) & (F.col("rank") <= F.col("own_rank")) & (far2 <= reach * reach) & along)
+    other = (F.col("id") != F.col("own")) & (F.col("rank") <= F.col("own_rank")) if ranked else F.lit(True)
+    pairs = points_in_boxes(points, others, 2 * reach, reach).where(other & (far2 <= reach * reach) & along)
     return sampled.groupBy("id").agg(F.count("*").alias("samples")), pairs.select("own", "own_rank", "own_len", "k", "id", "rank", "len")
 
 
 def shadowed_share(lines: DataFrame, reach: float, spacing: float, angle_deg: float = 28.0) -> DataFrame:
     """Per line (id, rank, ax, ay, bx, by; one segment) the share of its samples that lie by a line of a better (lower) rank.
 
-    By: within reach of the other, which runs in nearly the same direction. Samples meet segments by grid cell."""
-    total, pairs = _by_others(lines, reach, spacing, angle_deg)
-    hit = pairs.where("rank < own_rank").select("own", "k").distinct().groupBy("own").agg(F.count("*").alias("hits"))
-    return total.join(hit.withColumnRenamed("own", "id"), "id", "left").select("id", "samples", (F.coalesce("hits", F.lit(0)) / F.col("samples")).alias("shadowed"))
+    By: within reach of the other, which runs in nearly the same direction. Samples meet segments by grid cell. Lines on one
+    place have the same neighbours, of which those of the best rank count for all, so each place is joined once."""
+    ends = ["ax", "ay", "bx", "by"]
+    # samples of a place meet lines of any rank here, and the place's own; a line tells by its rank which are better
+    places = lines.groupBy(*ends).agg(F.min("id").alias("id"), F.min("rank").alias("rank"))
+    total, pairs = _by_others(places, reach, spacing, angle_deg, ranked=False)
+    best = pairs.groupBy("own", "k").agg(F.min("rank").alias("best")).groupBy("own", "best").agg(F.count("*").alias("n"))
+    told = best.groupBy(F.col("own").alias("id")).agg(F.collect_list(F.struct("best", "n")).alias("beside"))
+    known = places.drop("rank").join(total, "id").join(told, "id", "left").drop("id")
+    hits = F.aggregate(F.filter("beside", lambda b: b["best"] < F.col("rank")), F.lit(0).cast("bigint"), lambda s, b: s + b["n"])
+    return lines.join(known, ends).select("id", "samples", (F.coalesce(hits, F.lit(0)) / F.col("samples")).alias("shadowed"))
 
 
 def culled(lines: DataFrame, reach: float, spacing: float, share: float = 0.7, angle_deg: float = 30.0) -> DataFrame:

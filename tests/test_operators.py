@@ -168,3 +168,22 @@ def test_neighbours_of_equal_boxes(spark, monkeypatch):
     want = {a[0]: sum(a[0] != b[0] and a[1] - 6 < b[3] and a[3] + 6 > b[1] and a[2] - 6 < b[4] and a[4] + 6 > b[2] for b in own) for a in own}
     assert got == {k: n for k, n in want.items() if n}
     assert max(seen) == len({b[1:] for b in own}) < 140
+
+
+def test_shadows_of_lines_on_one_place(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    rows = []
+    for k, (x, y, flat, rank) in enumerate(rng.integers((0, 0, 0, 0), (10, 10, 2, 4), (400, 4)).tolist()):
+        rows.append((k, rank, x * 5.0, y * 2.0, x * 5.0 + 8 * flat, y * 2.0 + 8 * (1 - flat)))
+    seen = boxes_that_meet(monkeypatch)
+    got = {r.id: (r.samples, round(r.shadowed, 9)) for r in graph.shadowed_share(spark.createDataFrame(rows, "id bigint, rank int, ax double, ay double, bx double, by double"), 3.0, 2.0).collect()}
+
+    def by(px, py, ax, ay, bx, by):
+        t = max(0, min(1, ((px - ax) * (bx - ax) + (py - ay) * (by - ay)) / 64))
+        return math.hypot(px - ax - t * (bx - ax), py - ay - t * (by - ay)) <= 3
+
+    for own, rank, ax, ay, bx, by_ in rows:
+        better = [o for o in rows if o[1] < rank and (o[2] == o[4]) == (ax == bx)]
+        hits = sum(any(by(ax + (bx - ax) * k / 4, ay + (by_ - ay) * k / 4, *o[2:]) for o in better) for k in range(5))
+        assert got[own] == (5, round(hits / 5, 9))
+    assert max(seen) == len({r[2:] for r in rows}) < 200
