@@ -140,16 +140,21 @@ def spaced(points: DataFrame, order: list[str], radius: float) -> DataFrame:
     """Points (id, x, y) taken in order, without those within radius of one taken before.
 
     The outcome hangs on the order; only points within reach of each other bear on it, so each connected group is gone
-    through by itself."""
+    through by itself. Of points on one place only the first can be taken: what keeps it out keeps the others out too."""
     from geoloom.operators.cells import overlap_join
     from geoloom.operators.graph import components
 
-    ranked = points.withColumn("__o", F.struct(*order))
-    boxes = points.select("id", *(F.col(c).alias(f"{c}{i}") for c in "xy" for i in (0, 1)), "x", "y")
+    if radius <= 0:
+        return points
+    finite = F.coalesce((F.abs("x") < float("inf")) & (F.abs("y") < float("inf")), F.lit(False))
+    row = F.struct(F.struct(*order, "id").alias("__o"), F.struct(*points.columns).alias("__p"))
+    heads = points.where(finite).groupBy("x", "y").agg(F.min_by(row, row["__o"]).alias("__r")).select("__r.__p.*", "__r.__o")
+    first = heads.drop("__o")
+    boxes = first.select("id", *(F.col(c).alias(f"{c}{i}") for c in "xy" for i in (0, 1)), "x", "y")
     near = overlap_join(boxes, boxes, 2 * radius, radius).where("a_id < b_id").where((F.col("a_x") - F.col("b_x")) ** 2 + (F.col("a_y") - F.col("b_y")) ** 2 < radius**2).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
     root = components(near)
     own_root = root.select(F.col("node").alias("id"), F.col("root").alias("spot"))
-    numbered = ranked.join(own_root, "id").withColumn("n", F.row_number().over(Window.partitionBy("spot").orderBy("__o", "id"))).select("spot", "id", "n")
+    numbered = heads.join(own_root, "id").withColumn("n", F.row_number().over(Window.partitionBy("spot").orderBy("__o"))).select("spot", "id", "n")
     links = near.join(root.select(F.col("node").alias("a"), F.col("root").alias("spot")), "a").select("spot", "a", "b")
 
     def take(own: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
@@ -164,8 +169,8 @@ def spaced(points: DataFrame, order: list[str], radius: float) -> DataFrame:
         return pd.DataFrame({"id": pd.Series(sorted(taken), dtype="int64")})
 
     crowded = numbered.groupBy("spot").cogroup(links.groupBy("spot")).applyInPandas(take, "id bigint")
-    alone = points.join(root.select(F.col("node").alias("id")), "id", "left_anti")
-    return alone.unionByName(points.join(crowded, "id", "left_semi"))
+    alone = first.join(root.select(F.col("node").alias("id")), "id", "left_anti")
+    return points.where(~finite).unionByName(alone).unionByName(first.join(crowded, "id", "left_semi"))
 
 
 def signed_volume(triangles: DataFrame, model: str) -> DataFrame:

@@ -187,3 +187,20 @@ def test_shadows_of_lines_on_one_place(spark, monkeypatch):
         hits = sum(any(by(ax + (bx - ax) * k / 4, ay + (by_ - ay) * k / 4, *o[2:]) for o in better) for k in range(5))
         assert got[own] == (5, round(hits / 5, 9))
     assert max(seen) == len({r[2:] for r in rows}) < 200
+
+
+def test_spaced_points_on_one_place(spark, monkeypatch):
+    from geoloom.operators import measure
+
+    rng = np.random.default_rng(8)
+    rows = [(k, int(rng.integers(0, 50)), float(x), float(y)) for k, (x, y) in enumerate(rng.integers(0, 12, (500, 2)) * 3)]
+    lost = [(900, 0, None, 1.0), (901, 0, float("nan"), 1.0)]
+    seen = boxes_that_meet(monkeypatch)
+    got = measure.spaced(spark.createDataFrame(rows + lost, "id bigint, turn int, x double, y double"), ["turn"], 5.0)
+    assert got.columns == ["id", "turn", "x", "y"]
+    taken: list[tuple] = []
+    for r in sorted(rows, key=lambda r: (r[1], r[0])):
+        if not any(math.hypot(r[2] - t[2], r[3] - t[3]) < 5 for t in taken):
+            taken.append(r)
+    assert sorted(r.id for r in got.collect()) == sorted([t[0] for t in taken] + [900, 901])
+    assert max(seen) == len({r[2:] for r in rows}) <= 144
