@@ -105,16 +105,20 @@ def claims(cells: DataFrame, surveys: DataFrame) -> DataFrame:
 
 
 def picked(samples: DataFrame, picks: DataFrame, tolerance: float, share: float = 0.7) -> DataFrame:
-    """(line, owner): samples (line, k, x, y) vote for the owner of the nearest pick (x, y) in tolerance; the winner has at least that share."""
+    """(line, owner): samples (line, k, x, y) vote for the owner of the nearest pick (x, y) in tolerance; the winner has at least that share.
+
+    Samples and picks on one place are joined once; of picks on one place the lowest owner's is told."""
     from geoloom.operators.cells import points_in_boxes
 
-    boxes = picks.select("owner", F.col("x").alias("px"), F.col("y").alias("py"), *(F.col(c).alias(f"{c}{i}") for c in "xy" for i in (0, 1)))
+    first = picks.groupBy("x", "y").agg(F.min("owner").alias("owner"))
+    boxes = first.select("owner", F.col("x").alias("px"), F.col("y").alias("py"), *(F.col(c).alias(f"{c}{i}") for c in "xy" for i in (0, 1)))
     far2 = (F.col("x") - F.col("px")) ** 2 + (F.col("y") - F.col("py")) ** 2
-    near = points_in_boxes(samples, boxes, 4 * tolerance, tolerance).withColumn("d", far2).where(F.col("d") <= tolerance**2)
-    votes = near.groupBy("line", "k").agg(F.min(F.struct("d", "owner")).alias("o")).groupBy("line", F.col("o.owner").alias("owner")).agg(F.count("*").alias("votes"))
-    best = votes.groupBy("line").agg(F.max(F.struct("votes", (-F.col("owner")).alias("first"))).alias("b"))
-    total = samples.groupBy("line").agg(F.count("*").alias("n"))
-    return best.join(total, "line").where(F.col("b.votes") >= share * F.col("n")).select("line", (-F.col("b.first")).alias("owner"), F.col("b.votes").alias("votes"))
+    near = points_in_boxes(samples.select("x", "y").distinct(), boxes, 4 * tolerance, tolerance).withColumn("d", far2).where(F.col("d") <= tolerance**2)
+    owners = near.groupBy("x", "y").agg(F.min(F.struct("d", "owner"))["owner"].alias("owner"))
+    votes = samples.select("line", "x", "y").join(owners, ["x", "y"], "left").groupBy("line", "owner").agg(F.count("*").alias("votes"))
+    told = F.when(F.col("owner").isNotNull(), F.struct("votes", (-F.col("owner")).alias("first")))
+    best = votes.groupBy("line").agg(F.max(told).alias("b"), F.sum("votes").alias("n"))
+    return best.where(F.col("b.votes") >= share * F.col("n")).select("line", (-F.col("b.first")).alias("owner"), F.col("b.votes").alias("votes"))
 
 
 def not_covered(boxes: DataFrame, others: DataFrame, most: float = 0.25, size: float = 16.0) -> DataFrame:

@@ -204,3 +204,25 @@ def test_spaced_points_on_one_place(spark, monkeypatch):
             taken.append(r)
     assert sorted(r.id for r in got.collect()) == sorted([t[0] for t in taken] + [900, 901])
     assert max(seen) == len({r[2:] for r in rows}) <= 144
+
+
+def test_picks_and_samples_on_one_place(spark, monkeypatch):
+    from geoloom.operators import measure
+
+    rng = np.random.default_rng(9)
+    samples = [(line, k, float(x + k), float(y)) for line, (x, y) in enumerate(rng.integers(0, 8, (120, 2)) * 10) for k in range(7)]
+    picks = [(int(o), float(x), float(y)) for o, x, y in rng.integers((0, 0, 0), (9, 8, 8), (150, 3)) * (1, 12, 12)]
+    seen = boxes_that_meet(monkeypatch)
+    told = measure.picked(spark.createDataFrame(samples, "line bigint, k int, x double, y double"), spark.createDataFrame(picks, "owner int, x double, y double"), 6.0)
+    want = {}
+    for line in range(120):
+        votes: dict[int, int] = {}
+        for _, _, x, y in samples[7 * line : 7 * line + 7]:
+            near = [((x - u) ** 2 + (y - v) ** 2, o) for o, u, v in picks if (x - u) ** 2 + (y - v) ** 2 <= 36]
+            if near:
+                votes[min(near)[1]] = votes.get(min(near)[1], 0) + 1
+        n, owner = max(((n, -o) for o, n in votes.items()), default=(0, 0))
+        if n >= 0.7 * 7:
+            want[line] = (-owner, n)
+    assert {r.line: (r.owner, r.votes) for r in told.collect()} == want and 20 < len(want) < 120
+    assert max(seen) == len({p[1:] for p in picks}) < 70
