@@ -160,7 +160,7 @@ _RANK = "({s}.height IS NOT NULL)::INT * 4 + ({s}.floors IS NOT NULL)::INT * 2 +
 
 @query(with_views("footprints", f"SELECT a.id AS a_id, b.id AS b_id, round({_PAIR}, 6) AS share, CASE WHEN {_RANK.format(s='a')} < {_RANK.format(s='b')} THEN a.id ELSE b.id END AS drop_id FROM footprints a JOIN footprints b ON a.id < b.id AND a.x0 < b.x1 AND a.x1 > b.x0 AND a.y0 < b.y1 AND a.y1 > b.y0 WHERE {_PAIR} >= 0.7"))
 def duplicate_pairs(spark, sf_dir):
-    return features.duplicate_pairs(view(spark, sf_dir, "footprints").drop("has_parts", "class")).withColumn("share", F.round("share", 6))
+    return features.duplicate_pairs(view(spark, sf_dir, "footprints").drop("has_parts", "class"), digits=6)
 
 
 @query()

@@ -226,3 +226,33 @@ def test_picks_and_samples_on_one_place(spark, monkeypatch):
             want[line] = (-owner, n)
     assert {r.line: (r.owner, r.votes) for r in told.collect()} == want and 20 < len(want) < 120
     assert max(seen) == len({p[1:] for p in picks}) < 70
+
+
+def _footprints(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for k, (x, y, w, *known) in enumerate(rng.integers((0, 0, 0, 0, 0, 0), (6, 6, 4, 2, 2, 2), (420, 6)).tolist()):
+        rows.append((k * 11 % 420, x * 4.0, y * 4.0, x * 4.0 + 9 + w, y * 4.0 + 9, *(1.0 if v else None for v in known[:2]), "n" if known[2] else None))
+    return rows, spark.createDataFrame(rows, "id bigint, x0 double, y0 double, x1 double, y1 double, height double, floors double, name string")
+
+
+def _pairs(rows, least):
+    side = lambda a, b, lo: max(0.0, min(a[lo + 2], b[lo + 2]) - max(a[lo], b[lo]))
+    known = lambda r: tuple(v is not None for v in r[5:])
+    out = []
+    for a in sorted(rows, key=lambda r: r[0]):
+        for b in sorted(rows, key=lambda r: r[0]):
+            share = side(a, b, 1) * side(a, b, 2) / min((r[3] - r[1]) * (r[4] - r[2]) for r in (a, b))
+            if a[0] < b[0] and share >= least:
+                out.append((a[0], b[0], round(share, 6), a[0] if known(a) < known(b) else b[0]))
+    return out
+
+
+def test_pairs_of_equal_boxes(spark, monkeypatch):
+    rows, own = _footprints(spark)
+    seen = boxes_that_meet(monkeypatch)
+    monkeypatch.setattr(features, "BLOCK", 3)
+    assert sorted(tuple(r) for r in features.duplicate_pairs(own, digits=6).collect()) == _pairs(rows, 0.7)
+    monkeypatch.setattr(features, "BLOCK", 512)
+    assert sorted(tuple(r) for r in features.duplicate_pairs(own, digits=6).collect()) == _pairs(rows, 0.7)
+    assert seen[-1] == len({r[1:5] for r in rows}) < 140
