@@ -165,8 +165,7 @@ def duplicate_pairs(spark, sf_dir):
 
 @query()
 def duplicate_outlines(spark, sf_dir):
-    pairs = features.duplicate_pairs(view(spark, sf_dir, "footprints").drop("has_parts", "class"))
-    return features.drop_duplicates_in_order(pairs)
+    return features.drop_duplicate_boxes(view(spark, sf_dir, "footprints"))
 
 
 @query(with_views("footprints", "SELECT a.id AS a, b.id AS b FROM footprints a JOIN footprints b ON a.x0 < b.x1 AND a.x1 > b.x0 AND a.y0 < b.y1 AND a.y1 > b.y0 AND a.id < b.id"))

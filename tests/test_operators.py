@@ -256,3 +256,16 @@ def test_pairs_of_equal_boxes(spark, monkeypatch):
     monkeypatch.setattr(features, "BLOCK", 512)
     assert sorted(tuple(r) for r in features.duplicate_pairs(own, digits=6).collect()) == _pairs(rows, 0.7)
     assert seen[-1] == len({r[1:5] for r in rows}) < 140
+
+
+@pytest.mark.parametrize("least", [0.4, 0.7])
+def test_duplicate_boxes_go_in_order(spark, monkeypatch, least):
+    rows, own = _footprints(spark)
+    seen = boxes_that_meet(monkeypatch)
+    got = sorted(r.drop_id for r in features.drop_duplicate_boxes(own, least).collect())
+    gone: set[int] = set()
+    for a, b, _, d in _pairs(rows, least):
+        if a not in gone and b not in gone:
+            gone.add(d)
+    assert got == sorted(gone) and 100 < len(got) < 420
+    assert max(seen) == len({r[1:5] for r in rows}) < 140
