@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from geoloom.llm.components import components
 from geoloom.llm.minhash import Frequencies, _whole, frequencies
-from geoloom.llm.shared import slices, tasks_for, text_bytes, written
+from geoloom.llm.shared import partitions_for, slices, tasks_for, text_bytes, written
 from geoloom.llm.words import mix, shingles, word_hashes
 
 SIZE = 5
@@ -50,7 +50,9 @@ COMMON = 0.78
 #: Such runs are tried at each so many shingles, and half as many may be missing then.
 STEP = 4
 COLUMNS = 4096
+_SIDES, _PLACES = np.zeros(1 << 16, np.uint8), np.zeros(1 << 16, np.int64)  # of two-byte numbers, for in_common
 _SALT = np.random.default_rng(10_1925).integers(0, 1 << 64, HASHES, dtype=np.uint64)
+_POINT = np.dtype([("key", "<i8"), ("node", "<i8"), ("place", "<i4"), ("salt", "<i2")])
 _SPAN = "a bigint, b bigint, a_start bigint, a_length bigint, b_start bigint, b_length bigint, similarity double"
 
 
@@ -145,27 +147,51 @@ def meeting_points(offsets: np.ndarray, runs: np.ndarray, least: int, often: np.
 
 
 def meetings(texts: DataFrame, weighted: Frequencies, least: int) -> DataFrame:
-    """key, salt (0: its key is in one task), node and place of the meeting points of each text."""
+    """part and points: the meeting points (_POINT) of some texts, packed; all points of a key and salt (0: its key is in one
+    task) are in one part. Rows of some thousands of points cost a small part of what a row for each point does."""
     shared = texts.sparkSession.sparkContext.broadcast((weighted.keys, weighted.counts / weighted.texts))
+    parts = partitions_for(texts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             offsets, runs = shingles(*word_hashes(*text_bytes(batch.column("text"))), SIZE)
             key, text, place, split = meeting_points(offsets, runs, least, *shared.value)
-            node = batch.column("node").to_numpy()[text]
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(salts(node, split), pa.int16()), pa.array(node), pa.array(place, pa.int32())], names=["key", "salt", "node", "place"])
-
-    return texts.select("node", "text").mapInArrow(run, "key bigint, salt smallint, node bigint, place int")
+            points = np.zeros(len(key), _POINT)
+            points["key"], points["node"], points["place"] = key.view(np.int64), batch.column("node").to_numpy()[text], place
+            points["salt"] = salts(points["node"], split)
+            part = (_dealt_by(points) % np.uint64(parts)).astype(np.int64)
+            points = points[np.argsort(part, kind="stable")]
+            edges = np.concatenate([[0], np.cumsum(np.bincount(part, minlength=parts))])
+            some = np.flatnonzero(np.diff(edges))
+            packed = [points[edges[k] : edges[k + 1]].tobytes() for k in some]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(packed, pa.binary())], names=["part", "points"])
+
+    return texts.select("node", "text").mapInArrow(run, "part bigint, points binary").repartition(parts, "part").sortWithinPartitions("part")
+
+
+def fewest_distinct(own: np.ndarray, least: int) -> np.ndarray:
+    """How many distinct shingles each run of `least` of a text holds. A shingle counts where it stands for the first time in the run."""
+    order = np.argsort(own, kind="stable")
+    again = own[order[1:]] == own[order[:-1]]
+    starts = np.arange(len(own)) - least
+    starts[order[1:][again]] = np.maximum(starts[order[1:][again]], order[:-1][again])  # the last run before those in which it counts
+    turns = np.bincount(np.maximum(starts + 1, 0), minlength=len(own) + 1) - np.bincount(np.arange(len(own)) + 1, minlength=len(own) + 1)
+    return np.cumsum(turns)[: max(0, len(own) - least + 1)]
+
+
+def _first_apart(a: np.ndarray, b: np.ndarray) -> int:
+    """How many numbers a and b, equally long, have equal from the start on."""
+    if not len(a):
+        return 0
+    differs = a != b
+    at = int(differs.argmax())
+    return at if differs[at] else len(a)
 
 
 def _extended(a: np.ndarray, b: np.ndarray, i: int, j: int) -> tuple[int, int]:
     """How many shingles before and from (i, j) on are equal in a and b."""
-    n = min(len(a) - i, len(b) - j)
-    differs = a[i : i + n] != b[j : j + n]
-    after = int(differs.argmax()) if differs.any() else n
-    n = min(i, j)
-    differs = a[i - n : i][::-1] != b[j - n : j][::-1]
-    return int(differs.argmax()) if differs.any() else n, after
+    n, m = min(len(a) - i, len(b) - j), min(i, j)
+    return _first_apart(a[i - m : i][::-1], b[j - m : j][::-1]), _first_apart(a[i : i + n], b[j : j + n])
 
 
 def _aligned(a: np.ndarray, b: np.ndarray, runs: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
@@ -189,7 +215,9 @@ def _aligned(a: np.ndarray, b: np.ndarray, runs: list[tuple[int, int, int]]) ->
                 u, v = a[i : i + GAP + 1], b[j : j + GAP + 1]
             if not len(u) or not len(v):
                 continue
-            for p, q in np.argwhere(u[:, None] == v[None, :]).tolist():
+            equal = u[:, None] == v[None, :]
+            equal[1:, 1:] &= ~equal[:-1, :-1]  # one of each run
+            for p, q in np.argwhere(equal).tolist():
                 p, q = (i - 1 - p, j - 1 - q) if back else (i + p, j + q)
                 own = found.setdefault(p - q, set())
                 if not any(f <= p < f + m for f, _, m in own):
@@ -204,34 +232,38 @@ def _chains(runs: list[tuple[int, int, int]], joined: set[tuple[int, int, int, i
     """The joined runs, the runs alone, and where joined ones have too many edits the longest parts of them, from a run to a
     later one, that have few enough: as many equal shingles as the similarity asks for of both sides."""
     out = joined | {(s, s + n, t, t + n) for s, t, n in runs}
+    begin, begin2, wide = np.array(runs, np.int64).reshape(-1, 3).T
     for low, high, low2, high2 in joined:
         if min(high - low, high2 - low2) < least:
             continue
-        own = [r for r in runs if low <= r[0] and r[0] + r[2] <= high and low2 <= r[1] and r[1] + r[2] <= high2]
-        equal = np.cumsum([0, *(n for _, _, n in own)])
-        if equal[-1] < 2 * least * similarity / (1 + similarity):
+        within = (low <= begin) & (begin + wide <= high) & (low2 <= begin2) & (begin2 + wide <= high2)
+        if wide[within].sum() < 2 * least * similarity / (1 + similarity):
             continue
+        equal = np.concatenate([[0], np.cumsum(wide[within])])
         if equal[-1] >= similarity * (high - low + high2 - low2 - equal[-1]):
             continue
-        for i, (s, t, _) in enumerate(own):
-            for j in range(len(own) - 1, i, -1):
-                s2, t2 = own[j][0] + own[j][2], own[j][1] + own[j][2]
-                same = equal[j + 1] - equal[i]
-                if min(s2 - s, t2 - t) >= least and same >= similarity * (s2 - s + t2 - t - same):
-                    out.add((s, s2, t, t2))
-                    break
+        s, t, n = (c[within] for c in (begin, begin2, wide))
+        for i in range(len(s) - 1):
+            size, size2, same = (s + n)[i + 1 :] - s[i], (t + n)[i + 1 :] - t[i], equal[i + 2 :] - equal[i]
+            good = np.flatnonzero((np.minimum(size, size2) >= least) & (same >= similarity * (size + size2 - same)))
+            if len(good):
+                j = int(good[-1])
+                out.add((int(s[i]), int(s[i] + size[j]), int(t[i]), int(t[i] + size2[j])))
     return out
 
 
-def _runs(a: np.ndarray, b: np.ndarray) -> set[tuple[int, int, int]]:
+def _runs(a: np.ndarray, b: np.ndarray, repeated: bool = True) -> set[tuple[int, int, int]]:
     """(start in a, start in b, shingles) of the equal runs, as long as they go, in which some shingle stands for the first time
-    in one of the texts."""
-    order = np.argsort(a, kind="stable")
-    at = np.minimum(np.searchsorted(a[order], b), len(a) - 1)
-    j = np.flatnonzero(a[order[at]] == b)
-    i = order[at[j]]
+    in one of the texts. a, b: numbers from 0 on in place of the shingles. repeated: some stand more than once in a text."""
+    first = np.full(max(a.max(), b.max()) + 1, -1)
+    first[a[::-1]] = np.arange(len(a))[::-1]
+    j = np.flatnonzero(first[b] >= 0)
+    i = first[b[j]]
     new = np.ones(len(i), bool)
     new[1:] = (np.diff(i) != 1) | (np.diff(j) != 1)
+    if not repeated:
+        at = np.flatnonzero(new)
+        return set(zip(i[at].tolist(), j[at].tolist(), np.diff(np.append(at, len(i))).tolist(), strict=True))
     out: set[tuple[int, int, int]] = set()
     known: dict[int, int] = {}  # by diagonal, the end of the last run
     for p, q in zip(i[new].tolist(), j[new].tolist(), strict=True):
@@ -264,8 +296,17 @@ def shared_passages(a: np.ndarray, b: np.ndarray, least: int, similarity: float)
         return []
     if len(a) == len(b) and (a == b).all():
         return [(0, len(a), 0, len(b), 1.0)]
-    runs = _outer(sorted(_runs(a, b) | {(i, j, n) for j, i, n in _runs(b, a)}))
-    if len(np.unique(a)) < len(a) or len(np.unique(b)) < len(b):
+    values, number = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = number[: len(a)], number[len(a) :]
+    times = np.bincount(a, minlength=len(values)), np.bincount(b, minlength=len(values))
+    repeated = max(n.max() for n in times) > 1
+    # both passages hold a run of `least` shingles, and what they share is the similarity's part of either at least
+    asked = max(fewest_distinct(own, least).min() for own in (a, b)) if repeated else least
+    if np.count_nonzero((times[0] > 0) & (times[1] > 0)) < similarity * asked - 1e-9:
+        return []
+    runs = sorted(_runs(a, b, repeated))
+    if repeated:
+        runs = _outer(sorted(set(runs) | {(i, j, n) for j, i, n in _runs(b, a)}))
         runs = _outer(_aligned(a, b, runs))
     joined: list[list[int]] = []  # start and end in a, start and end in b
     open_ones: list[list[int]] = []
@@ -282,9 +323,10 @@ def shared_passages(a: np.ndarray, b: np.ndarray, least: int, similarity: float)
     for s, s2, t, t2 in _chains(runs, {tuple(x) for x in joined}, least, similarity):
         if min(s2 - s, t2 - t) < least:
             continue
-        u, v = np.unique(a[s:s2]), np.unique(b[t:t2])
-        both = len(np.intersect1d(u, v, assume_unique=True))
-        same = both / (len(u) + len(v) - both)
+        held = np.zeros((2, len(values)), bool)
+        held[0, a[s:s2]] = held[1, b[t:t2]] = True
+        both = np.count_nonzero(held[0] & held[1])
+        same = both / (np.count_nonzero(held) - both)
         if same >= similarity:
             out.append((s, s2 - s, t, t2 - t, same))
     out.sort(key=lambda p: -min(p[1], p[3]))
@@ -295,48 +337,77 @@ def shared_passages(a: np.ndarray, b: np.ndarray, least: int, similarity: float)
     return sorted(kept)
 
 
-def _groups(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """(rows of the distinct nodes of each key and salt, the bounds of the keys among them); rows are sorted by key, salt, node."""
-    key, salt, node = (table[c].to_numpy() for c in ("key", "salt", "node"))
-    new = np.ones(len(key), bool)
-    new[1:] = (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])
-    first = new.copy()
-    first[1:] |= node[1:] != node[:-1]
-    rows = np.flatnonzero(first)
-    return rows, np.append(np.flatnonzero(new[rows]), len(rows))
+def _dealt_by(points: np.ndarray) -> np.ndarray:
+    """One number of 64 bits for the key and salt of each of points (_POINT)."""
+    return mix(points["key"].view(np.uint64) + mix(points["salt"].astype(np.uint64)))
+
+
+def _shared(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct nodes of each key and salt that several nodes have or that is dealt, the bounds of the keys); points: _POINT."""
+    group = _dealt_by(points)
+    order = np.argsort(group)
+    new = np.ones(len(group), bool)
+    new[1:] = group[order[1:]] != group[order[:-1]]
+    alone = new & np.append(new[1:], True)
+    order = order[~alone | (points["salt"][order] > 0)]  # most keys are of one text
+    points, group = points[order], group[order]
+    order = np.lexsort((points["node"], group))
+    points, group = points[order], group[order]
+    first = np.ones(len(group), bool)
+    first[1:] = (group[1:] != group[:-1]) | (points["node"][1:] != points["node"][:-1])
+    points, group = points[first], group[first]
+    return points, np.concatenate([[0], np.flatnonzero(group[1:] != group[:-1]) + 1, [len(group)]]) if len(group) else np.zeros(1, np.int64)
+
+
+def _found(points: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The rows of met for whole keys; points: _POINT."""
+    points, bounds = _shared(points)
+    if not len(points):
+        return
+    key, salt, node, place = (np.ascontiguousarray(points[c]) for c in ("key", "salt", "node", "place"))
+    size = np.diff(bounds)
+    owner = np.repeat(np.arange(len(size)), size)
+    marks = mix(node.view(np.uint64))
+    sets = np.bitwise_xor.reduceat(marks, bounds[:-1]) + size.astype(np.uint64)
+    sets = np.where(salt > 0, key, sets[owner].view(np.int64))
+    told = np.flatnonzero((size > 1)[owner] | (salt > 0))
+    _, once = np.unique(mix(sets[told].view(np.uint64)) + marks[told], return_index=True)
+    told = told[once]
+    yield _kind(len(told), set=sets[told], salt=salt[told], a=node[told], place=place[told])
+    after = np.flatnonzero(owner[1:] == owner[:-1]) + 1
+    if len(after):
+        _, once, n = np.unique(marks[after] * np.uint64(3) + marks[after - 1], return_index=True, return_counts=True)
+        yield _kind(len(once), a=node[after[once] - 1], b=node[after[once]], n=n)
+    ends = np.unique(np.concatenate([bounds[:-1], bounds[1:] - 1]))
+    ends = ends[salt[ends] > 0]
+    if len(ends):
+        yield _kind(len(ends), set=key[ends], a=node[ends], place=place[ends], end=np.ones(len(ends), bool))
 
 
 def met(points: DataFrame) -> DataFrame:
     """What tasks find in keys of two texts and more, in rows of three kinds, each distinct within some thousands of keys:
 
     (set, salt, a, place) for a text a of a set of texts that a key has (a dealt key is a set of its own); (a, b, n) for texts
-    that follow one another, under n keys; and (set, a, place, end = true) for the first and last text of a dealt key's range."""
+    that follow one another, under n keys; and (set, a, place, end = true) for the first and last text of a dealt key's range.
+    points: key, salt, node, place; or as meetings packs them."""
+    kinds = ", ".join(f"{c} {t}" for c, t in _MET.items())
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, edges in _whole(batches, ("part",)):
+            for low, high in zip(edges[:-1], edges[1:], strict=True):
+                yield from _found(np.frombuffer(b"".join(table["points"].slice(low, high - low).to_pylist()), _POINT))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, _ in _whole(batches, ("key", "salt")):
-            rows, bounds = _groups(table)
-            key, salt, node, place = (table[c].to_numpy()[rows] for c in ("key", "salt", "node", "place"))
-            size = np.diff(bounds)
-            owner = np.repeat(np.arange(len(size)), size)
-            marks = mix(node.view(np.uint64))
-            sets = np.bitwise_xor.reduceat(marks, bounds[:-1]) + size.astype(np.uint64) if len(size) else marks
-            sets = np.where(salt > 0, key, sets[owner].view(np.int64))
-            many = (size > 1)[owner] | (salt > 0)
-            told = np.flatnonzero(many)
-            _, once = np.unique(mix(sets[told].view(np.uint64)) + marks[told], return_index=True)
-            told = told[once]
-            yield _kind(len(told), set=sets[told], salt=salt[told], a=node[told], place=place[told])
-            after = np.flatnonzero(owner[1:] == owner[:-1]) + 1
-            if len(after):
-                _, once, n = np.unique(marks[after] * np.uint64(3) + marks[after - 1], return_index=True, return_counts=True)
-                yield _kind(len(once), a=node[after[once] - 1], b=node[after[once]], n=n)
-            ends = np.unique(np.concatenate([bounds[:-1], bounds[1:] - 1])) if len(size) else told[:0]
-            ends = ends[salt[ends] > 0]
-            if len(ends):
-                yield _kind(len(ends), set=key[ends], a=node[ends], place=place[ends], end=np.ones(len(ends), bool))
+            rows = np.zeros(table.num_rows, _POINT)
+            for c in _POINT.names:
+                rows[c] = table[c].to_numpy()
+            yield from _found(rows)
 
+    if "part" in points.columns:
+        return points.mapInArrow(packed, kinds)
     dealt = points.repartition("key", "salt").sortWithinPartitions("key", "salt", "node").select("key", "salt", "node", "place")
-    return dealt.mapInArrow(run, ", ".join(f"{c} {t}" for c, t in _MET.items()))
+    return dealt.mapInArrow(run, kinds)
 
 
 _MET = {"set": "bigint", "salt": "smallint", "a": "bigint", "b": "bigint", "place": "int", "n": "bigint", "end": "boolean"}
@@ -355,27 +426,29 @@ def candidates(found: DataFrame) -> DataFrame:
 
 
 def surroundings(members: DataFrame, texts: DataFrame, least: int) -> DataFrame:
-    """set, node, near (two bytes of each shingle that is in a run of `least` with the place) and held (distinct shingles that
-    any such run holds) of members (set, node, place). texts: node, text."""
+    """set, node, label, near (two bytes of each shingle that is in a run of `least` with the place) and held (distinct shingles that
+    any such run holds) of members (set, node, place, label). texts: node, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            sets, nodes, near, held = [], [], [], []
-            for node, own, points in zip(batch.column("node").to_pylist(), text_runs(batch.column("text")), batch.column("points").to_pylist(), strict=True):
-                for point in points:
-                    here = own[max(0, point["place"] - least + 1) : point["place"] + least]
-                    fewest = least
-                    if len(np.unique(here)) < len(here):
-                        fewest = min(len(np.unique(here[k : k + least])) for k in range(max(1, len(here) - least + 1)))
-                    sets.append(point["set"])
-                    nodes.append(node)
-                    near.append((here & np.uint64(0xFFFF)).astype("<u2").tobytes())
-                    held.append(fewest)
-            yield pa.RecordBatch.from_arrays([pa.array(sets, pa.int64()), pa.array(nodes, pa.int64()), pa.array(near, pa.binary()), pa.array(held, pa.int32())], names=["set", "node", "near", "held"])
-
-    points = members.groupBy("node").agg(F.collect_list(F.struct("set", "place")).alias("points"))
+            nodes, near, held = [], [], []
+            points = batch.column("points")
+            bounds = points.offsets.to_numpy()
+            sets, places, labels = (points.values.field(c).slice(bounds[0], bounds[-1] - bounds[0]) for c in ("set", "place", "label"))
+            place = places.to_pylist()
+            bounds = (bounds - bounds[0]).tolist()
+            for k, (node, own) in enumerate(zip(batch.column("node").to_pylist(), text_runs(batch.column("text")), strict=True)):
+                fewest, short = fewest_distinct(own, least), (own & np.uint64(0xFFFF)).astype("<u2").tobytes()
+                for at in place[bounds[k] : bounds[k + 1]]:
+                    low = max(0, at - least + 1)
+                    near.append(short[2 * low : 2 * (at + least)])
+                    held.append(int(fewest[low : at + 1].min()))
+                nodes += [node] * (bounds[k + 1] - bounds[k])
+            yield pa.RecordBatch.from_arrays([sets, pa.array(nodes, pa.int64()), labels, pa.array(near, pa.binary()), pa.array(held, pa.int32())], names=["set", "node", "label", "near", "held"])
+
+    points = members.groupBy("node").agg(F.collect_list(F.struct("set", "place", "label")).alias("points"))
     tasks = tasks_for(members, 5000)
-    return texts.repartition(tasks, "node").join(points.repartition(tasks, "node"), "node").select("node", "text", "points").mapInArrow(run, "set bigint, node bigint, near binary, held int")
+    return texts.repartition(tasks, "node").join(points.repartition(tasks, "node"), "node").select("node", "text", "points").mapInArrow(run, "set bigint, node bigint, label bigint, near binary, held int")
 
 
 def in_common(x: list[bytes], y: list[bytes]) -> np.ndarray:
@@ -384,57 +457,89 @@ def in_common(x: list[bytes], y: list[bytes]) -> np.ndarray:
     for own in (x, y):
         number = np.frombuffer(b"".join(own), "<u2")
         sides.append((number, np.repeat(np.arange(len(own)), [len(v) // 2 for v in own])))
-    place = np.full(1 << 16, -1, np.int32)
-    both = np.zeros((2, 1 << 16), bool)
-    for k, (number, _) in enumerate(sides):
-        both[k, number] = True
-    shared = np.flatnonzero(both.all(axis=0))  # numbers of one side only count for no pair
-    place[shared] = np.arange(len(shared))
+    (of_x, _), (of_y, _) = sides
+    _SIDES[of_x] = 1
+    shared = np.unique(of_y[_SIDES[of_y] == 1])  # numbers of one side only count for no pair
+    _SIDES[of_x] = 0
+    if len(x) == len(y) == 1:
+        return np.full((1, 1), len(shared), np.float32)
+    _SIDES[shared] = 1
+    _PLACES[shared] = np.arange(len(shared))
+    sides = [(_PLACES[number[here]], owner[here]) for number, owner in sides for here in [_SIDES[number] == 1]]
+    _SIDES[shared] = 0
     out = np.zeros((len(x), len(y)), np.float32)
     for low in range(0, len(shared), COLUMNS):
         wide = min(COLUMNS, len(shared) - low)
         held = []
-        for own, (number, owner) in zip((x, y), sides, strict=True):
-            at = place[number] - low
-            here = (at >= 0) & (at < wide)
+        for own, (at, owner) in zip((x, y), sides, strict=True):
+            here = slice(None) if wide == len(shared) else (at >= low) & (at < low + wide)
             held.append(np.zeros((len(own), wide), np.float32))
-            held[-1][owner[here], at[here]] = 1
+            held[-1][owner[here], at[here] - low] = 1
         out += held[0] @ held[1].T
     return out
 
 
+def asked_of(held: np.ndarray) -> np.ndarray:
+    """How many shingles must be in common where a passage holds so many distinct ones."""
+    return np.maximum(COMMON * held - STEP // 2, 1)
+
+
+def alike(x: list[bytes], y: list[bytes], held: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(whether a run of `least` numbers of each of x has enough in common with each of y, the most that such runs have).
+    Runs begin at each STEP numbers and at the last place; held: the distinct numbers that a passage of each of y holds."""
+    good, most = np.zeros((len(x), len(y)), bool), np.zeros((len(x), len(y)), np.float32)
+    for low in range(0, len(x), 64):
+        cuts, distinct, bounds = [], [], [0]
+        for own in x[low : low + 64]:
+            last = max(0, len(own) // 2 - least)
+            starts = [*range(0, last, STEP), last]
+            cuts += [own[2 * k : 2 * (k + least)] for k in starts]
+            distinct.append(fewest_distinct(np.frombuffer(own, "<u2"), least)[starts])
+            bounds.append(len(cuts))
+        common = in_common(cuts, y)
+        enough = common >= asked_of(np.maximum(np.concatenate(distinct)[:, None], held[None, :]))
+        good[low : low + 64] = np.logical_or.reduceat(enough, bounds[:-1])
+        most[low : low + 64] = np.maximum.reduceat(common * enough, bounds[:-1])
+    return good, most
+
+
 def apart(members: DataFrame, most: int, least: int) -> DataFrame:
     """Pairs (a, b; a < b) of one set's texts of different labels with enough in common: each text's `most` best in each block;
     and a row of nulls where a block has more of them. members: set, node, label, near, held.
 
-    Each text outside a set's most frequent label meets all texts of the set, in blocks of about CHUNK by CHUNK."""
+    Two passages that hold their places hold as many distinct shingles as either `held`, so what they share goes by the larger.
+    Each text outside a set's most frequent label meets all texts of the set, in blocks of about CHUNK by CHUNK; a set of CHUNK
+    texts and fewer is one block, to which each text goes once."""
     sizes = members.groupBy("set", "label").agg(F.count("*").alias("n"))
     split = sizes.groupBy("set").agg(F.max_by("label", F.struct("n", "label")).alias("large"), F.sum("n").alias("all"), (F.sum("n") - F.max("n")).alias("rest")).where("rest > 0")
-    rows = members.join(split.select("set", "large", F.ceil(F.col("all") / CHUNK).alias("across"), F.ceil(F.col("rest") / CHUNK).alias("down")), "set")
+    rows = members.join(split.select("set", "large", "all", F.ceil(F.col("all") / CHUNK).alias("across"), F.ceil(F.col("rest") / CHUNK).alias("down")), "set")
     at = lambda n, salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(n))
-    each = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
-    whole = rows.withColumn("other", each("down")).withColumn("block", F.col("other") * F.col("across") + at("across", 1)).withColumn("outside", F.lit(False))
-    outside = rows.where("label != large").withColumn("other", each("across")).withColumn("block", at("down", 2) * F.col("across") + F.col("other")).withColumn("outside", F.lit(True))
+    down, across = (F.sequence(F.lit(0).cast("bigint"), F.col(c) - 1) for c in ("down", "across"))
+    # side 1: outside the most frequent label; 2: all; 3: both, in the only block
+    whole = F.transform(down, lambda k: F.struct((k * F.col("across") + at("across", 1)).alias("block"), F.lit(2).alias("side")))
+    outside = F.transform(across, lambda k: F.struct((at("down", 2) * F.col("across") + k).alias("block"), F.lit(1).alias("side")))
+    only = F.array(F.struct(F.lit(0).cast("bigint").alias("block"), F.when(F.col("label") != F.col("large"), 3).otherwise(2).alias("side")))
+    many = F.when(F.col("label") != F.col("large"), F.concat(whole, outside)).otherwise(whole)
+    placed = rows.select("set", "node", "label", "near", "held", F.explode(F.when(F.col("all") <= CHUNK, only).otherwise(many)).alias("at")).select("set", "at.block", "at.side", "node", "label", "near", "held")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, edges in _whole(batches, ("set", "block")):
-            names, labels, held, outer, near = table["node"].to_numpy(), table["label"].to_numpy(), table["held"].to_numpy(), table["outside"].to_numpy(), table["near"].to_pylist()
+            names, labels, held, side, near = table["node"].to_numpy(), table["label"].to_numpy(), table["held"].to_numpy(), table["side"].to_numpy(), table["near"].to_pylist()
             out: set[tuple] = set()
-            for low, high in zip(edges[:-1], edges[1:], strict=True):
-                own = np.arange(low, high)
-                x, y = own[outer[low:high]], own[~outer[low:high]]
+            for low, high in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                x, y = low + np.flatnonzero(side[low:high] & 1), low + np.flatnonzero(side[low:high] & 2)
                 if not len(x) or not len(y):
                     continue
-                asked = COMMON * np.minimum(held[x][:, None], held[y][None, :]) - STEP // 2
+                asked = asked_of(np.maximum(held[x][:, None], held[y][None, :]))
                 other = labels[x][:, None] != labels[y][None, :]
-                common = in_common([near[i] for i in x], [near[i] for i in y])
+                common = in_common([near[i] for i in x.tolist()], [near[i] for i in y.tolist()])
                 good = (common >= asked) & other  # only what has enough in all can have it in a run
                 up, left = good.any(axis=1), good.any(axis=0)
                 if not up.any():
                     continue
-                x, y, asked, other = x[up], y[left], asked[up][:, left], other[up][:, left]
-                common = np.max([in_common([near[i][2 * k : 2 * (k + least)] for i in x], [near[i] for i in y]) for k in range(0, least, STEP)], axis=0)
-                good = (common >= asked) & other
+                x, y, other = x[up], y[left], other[up][:, left]
+                good, common = alike([near[i] for i in x.tolist()], [near[i] for i in y.tolist()], held[y], least)
+                good &= other
                 if good.sum(axis=1).max() > most:
                     out.add((None, None))
                     best = np.argpartition(np.where(good, -common, 1), most - 1, axis=1)[:, :most]
@@ -446,7 +551,7 @@ def apart(members: DataFrame, most: int, least: int) -> DataFrame:
             a, b = zip(*out, strict=True) if out else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    dealt = whole.unionByName(outside).select("set", "block", "node", "label", "near", "held", "outside").repartition(tasks_for(members, 2000), "set", "block").sortWithinPartitions("set", "block")
+    dealt = placed.repartition(tasks_for(members, 2000), "set", "block").sortWithinPartitions("set", "block")
     return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
@@ -479,7 +584,7 @@ def verified(pairs: DataFrame, texts: DataFrame, least: int, similarity: float)
 
 def shared_spans(texts: DataFrame, least: int, similarity: float) -> tuple[DataFrame, DataFrame]:
     """(passages (_SPAN) of pairs of texts, as many as link all texts that share one; (node, root) of those). texts: node, text."""
-    found = written(met(meetings(texts, frequencies(texts), least)))
+    found = written(met(meetings(texts, frequencies(texts, exact=False), least)))  # for dealing keys only
     members = written(found.where("set is not null and end is null").groupBy(F.col("set"), F.col("a").alias("node")).agg(F.min("place").alias("place")))
     tried = written(candidates(found))
     own = written(texts.join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]))
@@ -490,18 +595,21 @@ def shared_spans(texts: DataFrame, least: int, similarity: float) -> tuple[DataF
         sides = [spans.select(F.col(x).alias("node"), F.struct(F.col(f"{x}_start").alias("start"), F.col(f"{x}_length").alias("length")).alias("s")) for x in "ab"]
         told = sides[0].unionByName(sides[1]).groupBy("node").agg(F.collect_set("s").alias("spans")).join(root, "node")
         inside = F.exists("spans", lambda s: (s["start"] <= F.col("place")) & (F.col("place") < s["start"] + s["length"] - SIZE + 1))
-        labelled = members.join(told, "node", "left").select("set", "node", "place", F.when(inside | F.lit(again), F.coalesce("root", "node")).otherwise(F.col("node")).alias("label"))
+        labelled = members.join(told, "node", "left").select("set", "node", "place", F.when(inside | F.lit(again), F.coalesce("root", "node")).otherwise(F.bitwise_not("node")).alias("label"))  # no class's label
         several = labelled.groupBy("set").agg((F.min("label") != F.max("label")).alias("several")).where("several").select("set")
-        left = written(labelled.join(several, "set"))
+        left = labelled.join(several, "set")
         if near is None:
-            near = written(surroundings(left, own, least))
-        out = written(apart(written(left.join(near, ["set", "node"])), most, least))
+            near = now = written(surroundings(written(left), own, least))
+        else:
+            now = written(left.select("set", "node", "label").join(near.drop("label"), ["set", "node"]))
+        out = written(apart(now, most, least))
         fresh = written(out.where("a is not null").join(tried, ["a", "b"], "left_anti"))
         if not fresh.isEmpty():
             tried, new = tried.unionByName(fresh), written(verified(fresh, own, least, similarity))
             if not new.isEmpty():
                 spans = spans.unionByName(new)
-        if again and out.where("a is null").isEmpty():
+        # labels of later rounds part no pair that these didn't, so nothing is untried if no block had more
+        if out.where("a is null").isEmpty():
             return spans, root if fresh.isEmpty() else components(spans.select("a", "b"))
         again, most = True, most * 8
 

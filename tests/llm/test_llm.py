@@ -868,6 +868,22 @@ def test_passages_between_texts_that_hold_runs_of_them(spark):
     assert sorted((r.doc_id, r.start, r.length, r.other_id, r.class_id) for r in got) == [(1, 20, 56, 2, 1), (2, 20, 56, 1, 1)]
 
 
+def test_passages_of_one_word_over_and_over(spark):
+    """A text that repeats a run isn't verified with each text that holds the run once, but with those that repeat it too."""
+    near = lambda v: np.array(v, "<u2").tobytes()
+    rows = [(1, 1, 1, near([7] * 91), 1), (1, 2, 2, near(range(91)), 46), (1, 3, 3, near([7] * 80), 1)]
+    members = spark.createDataFrame(rows, "set bigint, node bigint, label bigint, near binary, held int")
+    assert [tuple(r) for r in passages.apart(members, 4, 46).collect()] == [(1, 3)]
+
+
+def test_passages_end_when_nothing_is_untried(spark, monkeypatch):
+    rng, calls, apart = random.Random(79), [], passages.apart
+    monkeypatch.setattr(passages, "apart", lambda *a: calls.append(a) or apart(*a))
+    own = prose(rng, 60, 10**6)
+    got = passages.repeated_passages(texts(spark, [(k, f"{prose(rng, 30, 10**6)} {own}") for k in (1, 2)])).collect()
+    assert {r.doc_id for r in got} == {1, 2} and len(calls) == 1
+
+
 def test_passages_copies(spark):
     rng = random.Random(78)
     long, short = prose(rng, 80, 10**6), prose(rng, 40, 10**6)
