@@ -15,7 +15,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 _BASE = 0x9E3779B97F4A7C15
-_RUN = 1 << 20
+_RUN, _PIECE = 1 << 20, 1 << 16  # bytes summed up at once at most, and mostly: a piece's sums stay in the cache
 _TABLE = np.random.default_rng(7_301_2024).integers(0, 1 << 64, 256, dtype=np.uint64)
 _POWERS: dict[int, np.ndarray] = {}
 
@@ -43,7 +43,8 @@ def hash_spans(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     up, down = _powers(_BASE), _powers(pow(_BASE, -1, 1 << 64))
     at = 0
     while at < len(starts):
-        to = int(np.searchsorted(ends, starts[at] + _RUN, "right"))
+        to = int(np.searchsorted(ends, starts[at] + min(_PIECE, _RUN), "right"))
+        to = to if to > at else int(np.searchsorted(ends, starts[at] + _RUN, "right"))
         if to <= at:  # a word longer than a run
             digest = hashlib.blake2b(raw[starts[at] : ends[at]].tobytes(), digest_size=8).digest()
             out[at] = np.frombuffer(digest, np.uint64)[0]
@@ -87,13 +88,18 @@ def shingles(offsets: np.ndarray, hashes: np.ndarray, size: int) -> tuple[np.nda
     counts = np.diff(offsets)
     n = np.where(counts >= size, counts - size + 1, (counts > 0).astype(counts.dtype))
     out_offsets = np.concatenate([[0], np.cumsum(n)])
-    owner = np.repeat(np.arange(len(counts)), n)
-    at = offsets[:-1][owner] + np.arange(out_offsets[-1]) - out_offsets[:-1][owner]
-    end = offsets[1:][owner]
-    out = np.full(len(at), size, np.uint64)
+    at = np.repeat(offsets[:-1] - out_offsets[:-1], n) + np.arange(out_offsets[-1])
+    base = np.uint64(0xD6E8FEB86659FD93)
+    runs = np.full(max(0, len(hashes) - size + 1), size, np.uint64)  # those over a text's end aren't taken
     for k in range(size):
-        here = at + k
-        inside = here < end
-        part = hashes[np.minimum(here, max(0, len(hashes) - 1))] if len(hashes) else np.zeros(len(at), np.uint64)
-        out = out * np.uint64(0xD6E8FEB86659FD93) + np.where(inside, part, np.uint64(k + 1))
+        runs *= base
+        runs += hashes[k : len(runs) + k]
+    short = np.flatnonzero((counts > 0) & (counts < size))
+    out = runs[np.minimum(at, len(runs) - 1)] if len(runs) else np.zeros(len(at), np.uint64)
+    first = np.full(len(short), size, np.uint64)
+    for k in range(size if len(short) else 0):
+        inside = k < counts[short]
+        part = hashes[np.minimum(offsets[:-1][short] + k, len(hashes) - 1)]
+        first = first * base + np.where(inside, part, np.uint64(k + 1))
+    out[out_offsets[:-1][short]] = first
     return out_offsets, mix(out)

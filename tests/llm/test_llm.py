@@ -884,6 +884,44 @@ def test_passages_end_when_nothing_is_untried(spark, monkeypatch):
     assert {r.doc_id for r in got} == {1, 2} and len(calls) == 1
 
 
+def test_passages_alike_give_forests(spark):
+    """A group gives as many pairs as link it, not all of its pairs, and says that it has more."""
+    rng = random.Random(80)
+    own = [rng.randrange(1 << 16) for _ in range(91)]
+    near = lambda k: np.array([*own[: k % 4], *own], "<u2").tobytes()
+    members = spark.createDataFrame([(1, k, 1000 + k, near(k), 46) for k in range(100)], "set bigint, node bigint, label bigint, near binary, held int")
+    for most in (1, 3):
+        got = [tuple(r) for r in passages.apart(members, most, 46).collect()]
+        pairs, goes = [p for p in got if p[1] is not None], list(range(100))
+        assert sorted(p for p in got if p[1] is None) == [(1, None)] and 99 <= len(pairs) <= most * 99
+        for _ in goes:
+            for a, b in pairs:
+                goes[a] = goes[b] = min(goes[a], goes[b])
+        assert set(goes) == {0}
+
+
+def test_passages_links_of_the_rest(spark, monkeypatch):
+    """What no forest holds is verified too, and links classes."""
+    monkeypatch.setattr(passages, "FORESTS", 0)
+    monkeypatch.setattr(passages, "FIRST_KEYS", 100)
+    rng = random.Random(81)
+    own = [prose(rng, 60, 10**6) for _ in range(2)]
+    got = passages.repeated_passages(texts(spark, [(k, f"{prose(rng, 30, 10**6)} {own[k % 2]}") for k in range(8)])).collect()
+    assert {(r.doc_id, r.class_id) for r in got} == {(k, k % 2) for k in range(8)}
+
+
+def test_passages_within_others_are_not_told(spark):
+    """Rows of a document don't grow with the texts that share parts of one passage."""
+    rng = random.Random(82)
+    own = prose(rng, 300, 10**6).split()
+    rows = [(k, " ".join([prose(rng, 20, 10**6), *own, prose(rng, 20, 10**6)])) for k in (1, 2)]
+    rows += [(3 + k, " ".join([prose(rng, 20, 10**6), *own[10 * k : 10 * k + 60 + k], prose(rng, 20, 10**6)])) for k in range(20)]
+    got = passages.repeated_passages(texts(spark, rows)).collect()
+    told = {(r.doc_id, r.start, r.start + r.length) for r in got}
+    assert {d for d, *_ in told} == {d for d, _ in rows} and {r.class_id for r in got} == {1} and len(told) == len(got)
+    assert not [(x, y) for x in told for y in told if x != y and x[0] == y[0] and y[1] <= x[1] and x[2] <= y[2]]
+
+
 def test_passages_copies(spark):
     rng = random.Random(78)
     long, short = prose(rng, 80, 10**6), prose(rng, 40, 10**6)
