@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from geoloom.llm.components import components
 from geoloom.llm.minhash import Frequencies, _whole, frequencies
-from geoloom.llm.shared import partitions_for, slices, tasks_for, text_bytes, written
+from geoloom.llm.shared import dealt, partitions_for, slices, tasks_for, text_bytes, written
 from geoloom.llm.words import mix, shingles, word_hashes
 from geoloom.llm.words import spans as word_spans
 
@@ -441,9 +441,9 @@ def candidates(found: DataFrame) -> DataFrame:
     return pairs.groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= FIRST_KEYS).select("a", "b")
 
 
-def surroundings(members: DataFrame, texts: DataFrame, least: int) -> DataFrame:
+def surroundings(members: DataFrame, texts: DataFrame, parts: int, least: int) -> DataFrame:
     """set, node, label, near (two bytes of each shingle that is in a run of `least` with the place) and held (distinct shingles that
-    any such run holds) of members (set, node, place, label). texts: node, text."""
+    any such run holds) of members (set, node, place, label). texts: node, text, dealt by node in so many parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -462,10 +462,14 @@ def surroundings(members: DataFrame, texts: DataFrame, least: int) -> DataFrame:
                 nodes += [node] * (bounds[k + 1] - bounds[k])
             yield pa.RecordBatch.from_arrays([sets, pa.array(nodes, pa.int64()), labels, pa.array(near, pa.binary()), pa.array(held, pa.int32())], names=["set", "node", "label", "near", "held"])
 
-    points = members.groupBy("node").agg(F.collect_list(F.struct("set", "place", "label")).alias("points"))
-    tasks = tasks_for(members, 5000)
-    own = texts.join(members.select("node").distinct(), "node", "left_semi")
-    return own.repartition(tasks, "node").join(points.repartition(tasks, "node"), "node").select("node", "text", "points").mapInArrow(run, "set bigint, node bigint, label bigint, near binary, held int")
+    points = members.repartition(parts, "node").groupBy("node").agg(F.collect_list(F.struct("set", "place", "label")).alias("points"))
+    both = texts.join(points.hint("shuffle_hash"), "node").select("node", "text", "points")
+    return both.mapInArrow(run, "set bigint, node bigint, label bigint, near binary, held int").coalesce(few(parts))
+
+
+def few(parts: int) -> int:
+    """Tasks that go through so many parts, some each: a file of a few kB takes as long to open as to read."""
+    return max(1, parts // 4)
 
 
 def in_common(x: list[bytes], y: list[bytes]) -> np.ndarray:
@@ -536,7 +540,7 @@ def blocks(members: DataFrame) -> DataFrame:
     only = F.array(F.struct(F.lit(0).cast("bigint").alias("block"), F.when(F.col("label") != F.col("large"), 3).otherwise(2).alias("side")))
     many = F.when(F.col("label") != F.col("large"), F.concat(whole, outside)).otherwise(whole)
     placed = rows.select("set", "node", "label", "near", "held", F.explode(F.when(F.col("all") <= CHUNK, only).otherwise(many)).alias("at")).select("set", "at.block", "at.side", "node", "label", "near", "held")
-    return placed.repartition(tasks_for(members, 2000), "set", "block").sortWithinPartitions("set", "block")
+    return placed.repartition(tasks_for(members, 6000), "set", "block").sortWithinPartitions("set", "block")
 
 
 def good_pairs(x: np.ndarray, y: np.ndarray, labels: np.ndarray, held: np.ndarray, near: list[bytes], least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -657,15 +661,15 @@ def untried(members: DataFrame, tried: DataFrame, least: int) -> DataFrame:
     found = blocks(members).mapInArrow(run, "node bigint, label bigint, partners array<bigint>")
     found = found.groupBy("node").agg(F.first("label").alias("label"), F.array_distinct(F.flatten(F.collect_list("partners"))).alias("partners"))
     both = tried.select(F.col("a").alias("node"), "b").unionByName(tried.select(F.col("b").alias("node"), F.col("a").alias("b")))
-    known = both.join(found.select("node"), "node", "left_semi").groupBy("node").agg(F.collect_list("b").alias("known"))
+    known = both.groupBy("node").agg(F.collect_list("b").alias("known"))  # of all texts, for found must not be made twice
     rest = F.when(F.col("known").isNull(), F.col("partners")).otherwise(F.array_except("partners", "known"))
     return found.join(known, "node", "left").select("node", "label", rest.alias("partners")).where(F.size("partners") > 0)
 
 
-def crossing(left: DataFrame, texts: DataFrame, least: int, similarity: float) -> DataFrame:
+def crossing(left: DataFrame, texts: DataFrame, parts: int, least: int, similarity: float) -> DataFrame:
     """The passages (_SPAN) of pairs of texts and partners, as many as link all labels that any such pair links: all are verified,
     in blocks, but those whose labels are linked there already. So passages leave the task, not pairs.
-    left: rows of untried, as written. texts: node, text."""
+    left: rows of untried, as written. texts: node, text, dealt by node in so many parts."""
     rows, links = left.agg(F.count("*"), F.sum(F.size("partners"))).first()
     across = max(1, -(-rows // (CHUNK // 2)))
     names = [c.split()[0] for c in _SPAN.split(", ")]
@@ -713,13 +717,13 @@ def crossing(left: DataFrame, texts: DataFrame, least: int, similarity: float) -
                     yield pa.RecordBatch.from_arrays([*(pa.array(s, pa.int64()) for s in spans), pa.array(same, pa.float64())], names=names)
 
     tasks = max(1, min(10_000, (links or 0) // 4000))
-    own = texts.join(left.select("node"), "node", "left_semi")
-    dealt = left.mapInArrow(placed, "block bigint, node bigint, label bigint, partners array<bigint>").join(own, "node")
-    return dealt.repartition(tasks, "block").sortWithinPartitions("block").select("block", "node", "label", "partners", "text").mapInArrow(run, _SPAN)
+    lists = left.mapInArrow(placed, "block bigint, node bigint, label bigint, partners array<bigint>")
+    return texts.join(lists.repartition(parts, "node"), "node").coalesce(few(parts)).repartition(tasks, "block").sortWithinPartitions("block").select("block", "node", "label", "partners", "text").mapInArrow(run, _SPAN)
 
 
-def verified(pairs: DataFrame, texts: DataFrame, least: int, similarity: float) -> DataFrame:
-    """The passages (_SPAN) that the texts of each pair (a, b) share. texts: node, text."""
+def verified(pairs: DataFrame, texts: DataFrame, parts: int, least: int, similarity: float) -> DataFrame:
+    """The passages (_SPAN) that the texts of each pair (a, b) share. texts: node, text, dealt by node in so many parts, so only the
+    text of a is shuffled, once for each pair."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in _SPAN.split(", ")]
@@ -739,10 +743,10 @@ def verified(pairs: DataFrame, texts: DataFrame, least: int, similarity: float)
                 *spans, same = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([*(pa.array(s, pa.int64()) for s in spans), pa.array(same, pa.float64())], names=names)
 
-    of = lambda x: texts.join(pairs.select(F.col(x).alias("node")).distinct(), "node", "left_semi").select(F.col("node").alias(x), F.col("text").alias(f"t{x}"))
-    tasks = tasks_for(pairs, 500)  # by number, for little data that takes long
-    both = pairs.join(of("a"), "a").repartition(tasks, "b").join(of("b").repartition(tasks, "b"), "b")
-    return both.select("a", "b", "ta", "tb").mapInArrow(run, _SPAN)
+    of = lambda x: texts.select(F.col("node").alias(x), F.col("text").alias(f"t{x}"))
+    first = of("a").join(pairs.repartition(parts, "a").hint("shuffle_hash"), "a").coalesce(few(parts))
+    both = first.repartition(parts, "b").join(of("b").hint("shuffle_hash"), "b")
+    return both.select("a", "b", "ta", "tb").mapInArrow(run, _SPAN).coalesce(few(parts))
 
 
 def shared_spans(texts: DataFrame, least: int, similarity: float) -> tuple[DataFrame, DataFrame]:
@@ -750,26 +754,31 @@ def shared_spans(texts: DataFrame, least: int, similarity: float) -> tuple[DataF
     found = written(met(meetings(texts, frequencies(texts, exact=False), least)))  # for dealing keys only
     members = written(found.where("set is not null and end is null").groupBy(F.col("set"), F.col("a").alias("node")).agg(F.min("place").alias("place")))
     tried = written(candidates(found))
-    own = written(texts.join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]))
-    spans = written(verified(tried, own, least, similarity))
+    parts = partitions_for(texts)
+    own = texts.repartition(parts, "node").join(members.select("node").repartition(parts, "node"), "node", "left_semi")
+    own = dealt(own.dropDuplicates(["node"]), "node", parts)
+    spans = written(verified(tried, own, parts, least, similarity))
     for again in (False, True):
         root = components(spans.select("a", "b"))
         sides = [spans.select(F.col(x).alias("node"), F.struct(F.col(f"{x}_start").alias("start"), F.col(f"{x}_length").alias("length")).alias("s")) for x in "ab"]
         told = sides[0].unionByName(sides[1]).groupBy("node").agg(F.collect_set("s").alias("spans")).join(root, "node")
         inside = F.exists("spans", lambda s: (s["start"] <= F.col("place")) & (F.col("place") < s["start"] + s["length"] - SIZE + 1))
-        labelled = members.join(told, "node", "left").select("set", "node", "place", F.when(inside | F.lit(again), F.coalesce("root", "node")).otherwise(F.bitwise_not("node")).alias("label"))  # no class's label
+        some = members.join(more, "set", "left_semi") if again else members
+        label = F.when(inside | F.lit(again), F.coalesce("root", "node")).otherwise(F.bitwise_not("node"))  # no class's label
+        labelled = written(some.join(told, "node", "left").select("set", "node", "place", label.alias("label")))
         several = labelled.groupBy("set").agg((F.min("label") != F.max("label")).alias("several")).where("several").select("set")
         left = labelled.join(several, "set")
         if again:
-            rest = written(untried(left.select("set", "node", "label").join(near.drop("label"), ["set", "node"]).join(more, "set", "left_semi"), tried, least))
-            new = written(crossing(rest, own, least, similarity))
+            left = written(left.select("set", "node", "label").join(near.drop("label"), ["set", "node"]))
+            rest = written(untried(left, tried, least))
+            new = written(crossing(rest, own, parts, least, similarity))
         else:
-            near = written(surroundings(written(left), own, least))
+            near = written(surroundings(left, own, parts, least))
             out = written(apart(near, FORESTS, least))
             fresh = written(out.where("b is not null").join(tried, ["a", "b"], "left_anti"))
             tried = tried.unionByName(fresh)
             more = out.where("b is null").select(F.col("a").alias("set"))
-            new = written(verified(fresh, own, least, similarity))
+            new = written(verified(fresh, own, parts, least, similarity))
         linked = not new.isEmpty()
         spans = spans.unionByName(new) if linked else spans
         # labels of the second round part no pair that these didn't, so nothing is untried if no block had more
@@ -791,15 +800,17 @@ def repeated_passages(docs: DataFrame, least_words: int = 50, similarity: float
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
     texts = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), F.xxhash64(text).alias("node"), text.alias("text"))
     spans, root = shared_spans(texts.select("node", "text"), least, similarity)
-    ids = written(texts.select("doc_id", "node").distinct())
-    nodes = written(ids.groupBy("node").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")))
 
     def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             words = np.diff(word_spans(*text_bytes(batch.column("text")))[0])
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(words, pa.int64())], names=["node", "length"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("node"), pa.array(words, pa.int64())], names=["doc_id", "node", "length"])
 
-    whole = texts.join(nodes.where("n > 1").select("node"), "node", "left_semi").select("node", "text").mapInArrow(lengths, "node bigint, length bigint").distinct().where(F.col("length") >= least_words)
+    # of all texts where they are read: copies aren't known yet, and finding them would shuffle the texts
+    ids = written(texts.mapInArrow(lengths, "doc_id bigint, node bigint, length bigint").distinct())
+    nodes = written(ids.groupBy("node").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n"), F.max("length").alias("length")))
+    ids = ids.drop("length")
+    whole = nodes.where((F.col("n") > 1) & (F.col("length") >= least_words))
     copies = whole.select("node", F.lit(0).cast("bigint").alias("start"), "length", F.col("node").alias("other"), F.lit(0).cast("bigint").alias("other_start"), F.lit(1.0).alias("similarity"))
     sides = [spans.select(F.col(x).alias("node"), F.col(f"{x}_start").alias("start"), F.col(f"{x}_length").alias("length"), F.col(y).alias("other"), F.col(f"{y}_start").alias("other_start"), "similarity") for x, y in ("ab", "ba")]
     named = nodes.select(F.col("node").alias("other"), "first", "last")

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _WRITTEN: list[tuple[SparkSession, str]] = []
+_NAMED: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,8 +38,25 @@ def written(df: DataFrame, compression: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dealt(df: DataFrame, key: str, parts: int, compression: str = "zstd") -> DataFrame:
+    """df as written does, as a table of so many buckets by key, a file each: joins by key with what is repartitioned by that number
+    don't shuffle it. Its name is in the catalog until the driver's Python ends."""
+    spark, name = df.sparkSession, f"llm_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}"
+    out = df.repartition(parts, key).write.option("compression", compression).option("path", path)
+    out.format("parquet").bucketBy(parts, key).saveAsTable(name)
+    _WRITTEN.append((spark, path))
+    _NAMED.append((spark, name))
+    return spark.table(name)
+
+
 @atexit.register
 def _forget() -> None:
+    for spark, name in _NAMED:
+        try:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+        except Exception:  # noqa: BLE001  as below
+            break
     for spark, path in _WRITTEN:
         try:
             where = spark._jvm.org.apache.hadoop.fs.Path(path)

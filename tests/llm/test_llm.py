@@ -910,6 +910,33 @@ def test_passages_links_of_the_rest(spark, monkeypatch):
     assert {(r.doc_id, r.class_id) for r in got} == {(k, k % 2) for k in range(8)}
 
 
+def test_passages_shuffle_few_texts(spark, monkeypatch):
+    """No step shuffles texts more than once, and none finds pairs twice over."""
+    seen, found = passages.written, []
+
+    def nodes(plan):
+        plan = plan.executedPlan() if plan.nodeName() == "AdaptiveSparkPlan" else plan
+        below = plan.children()
+        return [(plan.nodeName(), re.findall(r"(\w+)#", plan.output().mkString(" ")))] + [x for k in range(below.size()) for x in nodes(below.apply(k))]
+
+    def written(df, *a):
+        found.append(nodes(df._jdf.queryExecution().executedPlan()))
+        return seen(df, *a)
+
+    monkeypatch.setattr(passages, "written", written)
+    monkeypatch.setattr(passages, "FORESTS", 0)
+    rng = random.Random(81)
+    own = [prose(rng, 60, 10**6) for _ in range(2)]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = passages.repeated_passages(texts(spark, [(k, f"{prose(rng, 30, 10**6)} {own[k % 2]}") for k in range(8)])).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(got) == 8
+    assert max(sum(name == "Exchange" and bool({"text", "ta", "tb"} & set(columns)) for name, columns in plan) for plan in found) == 1
+    assert [sum(name == "MapInArrow" for name, _ in plan) for plan in found if any("partners" in columns for _, columns in plan)] == [1, 2]  # pairs; blocks of them
+
+
 def test_passages_within_others_are_not_told(spark):
     """Rows of a document don't grow with the texts that share parts of one passage."""
     rng = random.Random(82)
