@@ -31,3 +31,13 @@ def components(links: DataFrame) -> DataFrame:
         links = written(joined.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
         if links.isEmpty():
             return found.select("node.v", "root.v").toDF("node", "root")
+
+
+def extended(known: DataFrame, links: DataFrame) -> DataFrame:
+    """components of more links (a, b) and those that gave known (node, root): only what the links join is gone through again."""
+    ends = links.where("a != b").select("a", "b").distinct()
+    of = lambda x: known.select(F.col("node").alias(x), F.col("root").alias(f"r{x}"))
+    rooted = ends.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    top = components(rooted.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    others = ends.select(F.col("a").alias("node")).union(ends.select("b")).distinct().join(known, "node", "left_anti").select("node", F.col("node").alias("root"))
+    return written(known.unionByName(others).join(top, "root", "left").select("node", F.coalesce("top", "root").alias("root")))

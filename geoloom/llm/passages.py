@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from geoloom.llm.components import components
+from geoloom.llm.components import components, extended
 from geoloom.llm.minhash import Frequencies, _whole, frequencies
 from geoloom.llm.shared import dealt, partitions_for, slices, tasks_for, text_bytes, written
 from geoloom.llm.words import mix, shingles, word_hashes
@@ -758,8 +758,8 @@ def shared_spans(texts: DataFrame, least: int, similarity: float) -> tuple[DataF
     own = texts.repartition(parts, "node").join(members.select("node").repartition(parts, "node"), "node", "left_semi")
     own = dealt(own.dropDuplicates(["node"]), "node", parts)
     spans = written(verified(tried, own, parts, least, similarity))
+    root = components(spans.select("a", "b"))
     for again in (False, True):
-        root = components(spans.select("a", "b"))
         sides = [spans.select(F.col(x).alias("node"), F.struct(F.col(f"{x}_start").alias("start"), F.col(f"{x}_length").alias("length")).alias("s")) for x in "ab"]
         told = sides[0].unionByName(sides[1]).groupBy("node").agg(F.collect_set("s").alias("spans")).join(root, "node")
         inside = F.exists("spans", lambda s: (s["start"] <= F.col("place")) & (F.col("place") < s["start"] + s["length"] - SIZE + 1))
@@ -779,12 +779,12 @@ def shared_spans(texts: DataFrame, least: int, similarity: float) -> tuple[DataF
             tried = tried.unionByName(fresh)
             more = out.where("b is null").select(F.col("a").alias("set"))
             new = written(verified(fresh, own, parts, least, similarity))
-        linked = not new.isEmpty()
-        spans = spans.unionByName(new) if linked else spans
+        if not new.isEmpty():
+            spans, root = spans.unionByName(new), extended(root, new)
         # labels of the second round part no pair that these didn't, so nothing is untried if no block had more
         if more.isEmpty():
             break
-    return spans, components(spans.select("a", "b")) if linked else root
+    return spans, root
 
 
 def repeated_passages(docs: DataFrame, least_words: int = 50, similarity: float = 0.8) -> DataFrame:

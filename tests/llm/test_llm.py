@@ -910,6 +910,16 @@ def test_passages_links_of_the_rest(spark, monkeypatch):
     assert {(r.doc_id, r.class_id) for r in got} == {(k, k % 2) for k in range(8)}
 
 
+def test_components_extended(spark):
+    links = lambda pairs: spark.createDataFrame(pairs, "a bigint, b bigint")
+    known = components.components(links([(1, 2), (2, 3), (5, 6), (8, 9)]))
+    for more, groups in (([(3, 6), (10, 11), (9, 9)], {(1, 2, 3, 5, 6), (8, 9), (10, 11)}), ([(12, 1), (12, 8), (1, 3)], {(1, 2, 3, 8, 9, 12), (5, 6)}), ([], {(1, 2, 3), (5, 6), (8, 9)})):
+        own = collections.defaultdict(list)
+        for r in components.extended(known, links(more)).collect():
+            own[r.root].append(r.node)
+        assert {tuple(sorted(v)) for v in own.values()} == groups and all(k in v for k, v in own.items())
+
+
 def test_passages_shuffle_few_texts(spark, monkeypatch):
     """No step shuffles texts more than once, and none finds pairs twice over."""
     seen, found = passages.written, []
